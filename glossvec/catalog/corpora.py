@@ -51,8 +51,9 @@ def _(x):
 
 
 @query("apply_merge", r"""
-SELECT w, f, string_split(replace(s, o || 't' || c || o || 'h' || c, o || 'th' || c)[2:-2], c || o) AS sy
-FROM (SELECT w, f, o, c, o || array_to_string(sy, c || o) || c AS s FROM split_words, (SELECT chr(29) AS o, chr(30) AS c))""")
+SELECT w, f, string_split(replace(s, chr(29) || 't' || chr(30) || chr(29) || 'h' || chr(30), chr(29) || 'th' || chr(30))[2:-2],
+                          chr(30) || chr(29)) AS sy
+FROM (SELECT w, f, chr(29) || array_to_string(sy, chr(30) || chr(29)) || chr(30) AS s FROM split_words)""")
 def _(x):
     return mg.apply_merge(mg.split_words(mg.word_table(x.documents)), "t", "h")
 
@@ -81,7 +82,7 @@ def _(x):
 
 # --- tokenisers ------------------------------------------------------------
 
-ROUNDS = 60
+ROUNDS = 40
 
 
 def _trained(x, name, train):
@@ -106,7 +107,7 @@ def _wordpiece(x):
 
 @query("train_bpe")
 def _(x):
-    return mg.train_bpe(x.documents, rounds=ROUNDS).merge_table()
+    return _bpe(x).merge_table()
 
 
 @query("train_corpus_tokeniser")

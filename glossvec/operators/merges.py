@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from glossvec.constants import BPE_SPECIALS, CONTINUATION, WORDPIECE_SPECIALS
 from glossvec.operators.tokens import pretokens
 from glossvec.plans.lookups import as_list, list_parts
+from glossvec.plans.joins import task_count
 from glossvec.session import cut_lineage
 
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
@@ -74,11 +75,10 @@ def split_words(words: DataFrame, prefix: str = "") -> DataFrame:
 
 def pair_frequencies(words: DataFrame) -> DataFrame:
     """Adjacent symbol pairs weighted by word count: a, b, n. Words of one symbol have none."""
-    many = words.where(F.size("sy") > 1)
-    firsts = F.slice("sy", F.lit(1), F.size("sy") - 1)
-    nexts = F.slice("sy", F.lit(2), F.size("sy") - 1)
-    pairs = many.select("f", F.explode(F.arrays_zip(firsts.alias("a"), nexts.alias("b"))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("f").alias("n"))
+    n = F.greatest(F.size("sy") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("sy", F.lit(1), n).alias("a"), F.slice("sy", F.lit(2), n).alias("b"))
+    rows = words.select("f", F.explode(pairs).alias("p"))
+    return rows.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("f").alias("n"))
 
 
 def best_pair(pairs: DataFrame) -> DataFrame:
@@ -152,40 +152,45 @@ def train_merges(
 
     `words` holds (w, f). The driver sees the ranking's head and the alphabet,
     both bounded; the words stay distributed. One job settles as many merges as
-    are certain from its ranking, and the words are checkpointed every
-    MERGES_PER_CHECKPOINT merges.
+    are certain from its ranking. Each job keeps the words it merged for the
+    next one, and the lineage is cut every MERGES_PER_CHECKPOINT merges.
     """
     specials = list(BPE_SPECIALS if specials is None else specials)
-    base = cut_lineage(words.select("f", start_symbols("w", prefix).alias("s")))
-    letters = [r["c"] for r in base.select(F.explode(symbols("s")).alias("c")).distinct().orderBy("c").collect()]
-    size = len(set(specials) | set(letters))
+    spread = words.select("f", start_symbols("w", prefix).alias("s")).repartition(task_count(words))
+    current = cut_lineage(spread)
+    letters = [r["c"] for r in current.select(F.explode(symbols("s")).alias("c")).distinct().orderBy("c").collect()]
     seen = set(specials) | set(letters)
     merges: list[tuple] = []
     pending = 0
-    current = base
+    kept: DataFrame | None = None
 
     def done() -> bool:
-        return (rounds is not None and len(merges) >= rounds) or (vocab_size is not None and size >= vocab_size)
+        return (rounds is not None and len(merges) >= rounds) or (vocab_size is not None and len(seen) >= vocab_size)
 
     while not done():
         pairs = pair_frequencies(current.select("f", symbols("s").alias("sy")))
         top = [tuple(r) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(TOP_PAIRS).collect()]
+        if kept is not None:
+            kept.unpersist()
         if not top:
             break
         col = F.col("s")
         for a, b, n in settled_prefix(top, len(top) < TOP_PAIRS, seen, prefix):
             merged = joined_symbol(a, b, prefix)
             merges.append((a, b, merged, n))
+            seen.add(merged)
             col = merge_in(col, a, b, prefix)
             pending += 1
-            if merged not in seen:
-                seen.add(merged)
-                size += 1
             if done():
                 break
-        current = current.select("f", col.alias("s"))
+        before, current = current, current.select("f", col.alias("s"))
         if pending >= MERGES_PER_CHECKPOINT:
-            current, pending = cut_lineage(current), 0
+            current, pending, kept = cut_lineage(current), 0, None
+            before.unpersist()
+        else:
+            current = current.persist()
+            kept = before if before.is_cached else None
+    current.unpersist()
     return MergeTraining(words.sparkSession, merges, letters, specials, prefix)
 
 

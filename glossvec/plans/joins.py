@@ -14,6 +14,11 @@ LOOKUP_SALTS = 32
 _measured: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
 
 
+def task_count(df: DataFrame) -> int:
+    """The session's shuffle width, for stages whose work is far larger than their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _column_bytes(field: T.StructField):
     col = F.col(f"`{field.name}`")
     kind = field.dataType
