@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossvec.constants import UNK_ID
-from glossvec.functions.text import word_runs
+from glossvec.functions.text import WORD_RUN, word_runs
 from glossvec.functions.vectors import l2_norm
 from glossvec.operators.pooling import definition_vectors
 from glossvec.operators.tokens import pretokenise
 from glossvec.operators.vocabulary import build_vocabulary, char_vocabulary, token_rows, word_frequencies
-from glossvec.plans.joins import lookup_join
+from glossvec.plans.joins import lookup_join, spread
 from glossvec.plans.lookups import with_token_ids
 
 
@@ -28,11 +28,11 @@ class Inputs:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread(self.table("documents"), "doc_id")
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return self.table("conversations")
+        return spread(self.table("conversations"), "conv_id")
 
     @cached_property
     def embeddings(self) -> DataFrame:
@@ -55,8 +55,8 @@ class Inputs:
     @cached_property
     def definitions(self) -> DataFrame:
         """Every document with a word, as a definition: token_id, tokens[]."""
-        rows = self.documents.select(F.col("doc_id").alias("token_id"), word_runs("text").alias("tokens"))
-        return rows.where(F.size("tokens") > 0)
+        kept = self.documents.where(F.col("text").rlike(WORD_RUN))
+        return kept.select(F.col("doc_id").alias("token_id"), word_runs("text").alias("tokens"))
 
     @cached_property
     def def_tokens(self) -> DataFrame:
@@ -73,13 +73,15 @@ class Inputs:
     @cached_property
     def dictionary(self) -> DataFrame:
         """Every document as the definition of its first word; words repeat: doc_id, word, definition."""
-        t = self.documents.select("doc_id", word_runs("text").alias("t")).where(F.size("t") > 1)
+        two_words = rf"{WORD_RUN}[^\p{{L}}\p{{M}}\p{{N}}_]+{WORD_RUN}"
+        t = self.documents.where(F.col("text").rlike(two_words)).select("doc_id", word_runs("text").alias("t"))
         rest = F.slice("t", F.lit(2), F.size("t") - 1)
         return t.select("doc_id", F.element_at("t", 1).alias("word"), F.array_join(rest, " ").alias("definition"))
 
     @cached_property
     def def_vectors(self) -> DataFrame:
-        return definition_vectors(self.definitions, self.vocab, self.vectors)
+        """The mean vector of every definition, kept as a stored sheet would be: token_id, v."""
+        return definition_vectors(self.definitions, self.vocab, self.vectors).persist()
 
     @cached_property
     def def_queries(self) -> DataFrame:
@@ -87,7 +89,9 @@ class Inputs:
 
     @cached_property
     def lexicon_queries(self) -> DataFrame:
-        return self.def_queries.join(self.lexicon.select(F.col("token_id").alias("query_id")), "query_id", "left_semi")
+        tokens = F.split("definition", " ").alias("tokens")
+        pooled = definition_vectors(self.lexicon.select("token_id", tokens), self.vocab, self.vectors)
+        return pooled.withColumnRenamed("token_id", "query_id")
 
     @cached_property
     def char_vocab(self) -> DataFrame:
@@ -113,10 +117,9 @@ class Inputs:
 
     @cached_property
     def sequences(self) -> DataFrame:
-        """Ids of every document in order, unknown words as -1: doc_id, ids[]."""
-        return with_token_ids(self.documents.select("doc_id", "text"), word_runs("text"), self.vocab, "ids", UNK_ID).select(
-            "doc_id", "ids"
-        )
+        """The tokenised dataset, unknown words as -1, kept as a stored one would be: doc_id, ids[]."""
+        coded = with_token_ids(self.documents.select("doc_id", "text"), word_runs("text"), self.vocab, "ids", UNK_ID)
+        return coded.select("doc_id", "ids").persist()
 
     @cached_property
     def token_seq(self) -> DataFrame:

@@ -102,7 +102,7 @@ def _(x):
 
 @query("definition_vectors", f"SELECT token_id, {R6.format('v')} AS v FROM def_vectors")
 def _(x):
-    return rounded(x.def_vectors)
+    return rounded(pl.definition_vectors(x.definitions, x.vocab, x.vectors))
 
 
 @query("char_mean_word_vector", f"""

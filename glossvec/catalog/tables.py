@@ -319,8 +319,9 @@ SELECT p.sent_id, p.pos, substring(d.text, CAST(p.start AS BIGINT) + 1, p."end"
 FROM pretokens p JOIN documents d ON d.doc_id = p.sent_id""")
 def _(x):
     spans = x.pretokens.groupBy("sent_id").agg(F.collect_list(F.struct("pos", "start", "end")).alias("s"))
-    rows = spans.join(x.sentences, "sent_id").select("sent_id", "text", F.inline("s"))
-    return rows.select("sent_id", "pos", txt.char_span("text", "start", "end").alias("tok"))
+    met = spans.join(x.sentences, "sent_id")
+    cut = met.select("sent_id", "s.pos", txt.char_spans("text", F.col("s.start"), F.col("s.end")).alias("tok"))
+    return cut.select("sent_id", F.inline(F.arrays_zip("pos", "tok")))
 
 
 @query("hyphen_to_space", "SELECT doc_id, replace(text, '-', ' ') AS text FROM documents")

@@ -50,6 +50,24 @@ def char_span(t, start, end) -> Column:
     return F.substring(_col(t), s + 1, e - s)
 
 
+@pandas_udf(T.ArrayType(T.StringType()))
+def _spans(t: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    rows = [
+        None if s is None or a is None or e is None else [s[i:j] for i, j in zip(a, e)]
+        for s, a, e in zip(t, starts, ends)
+    ]
+    return pd.Series(rows, dtype=object)
+
+
+def char_spans(t, starts, ends) -> Column:
+    """Many spans of one text at once: `[starts[i], ends[i])` for every i.
+
+    A substring expression counts characters from the front each time, which
+    is quadratic in the length of a text with many spans.
+    """
+    return _spans(_col(t), _col(starts), _col(ends))
+
+
 def hyphen_to_space(t) -> Column:
     return F.translate(_col(t), "-", " ")
 

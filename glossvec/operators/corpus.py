@@ -17,8 +17,9 @@ from glossvec.plans.ordering import global_rank, running_total
 
 def corpus_batches(documents: DataFrame, size: int = 1000, key: str = "doc_id") -> DataFrame:
     """Consecutive batches in key order: batch_id, key, text."""
-    ranked = global_rank(documents.select(key, "text"), F.col(key), [F.col(key)], "__at")
-    return ranked.select(F.floor(F.col("__at") / size).cast("bigint").alias("batch_id"), key, "text")
+    ranked = global_rank(documents.select(key), F.col(key), [F.col(key)], "__at")
+    batch = F.floor(F.col("__at") / size).cast("bigint").alias("batch_id")
+    return documents.select(key, "text").join(ranked, key).select(batch, key, "text")
 
 
 def group_texts(
@@ -37,10 +38,11 @@ def group_texts(
     pieces at the two ends of a sequence are shuffled.
     """
     groups = [group_key] if group_key else []
-    sized = seq.select(*groups, key, F.col(ids).alias("__ids")).where(F.size("__ids") > 0)
-    placed = running_total(
-        sized, F.col(key), [F.col(key)], F.size("__ids"), "__at", rows_per_bucket, within=groups
-    )
+    # Only keys and lengths are ordered; the sequences themselves meet their place by key.
+    sizes = seq.select(*groups, key, F.size(ids).alias("__n"))
+    starts = running_total(sizes, F.col(key), [F.col(key)], F.col("__n"), "__at", rows_per_bucket, within=groups)
+    rows = seq.select(*groups, key, F.col(ids).alias("__ids"))
+    placed = rows.join(starts.where("__n > 0").select(key, "__at"), key)
     width = F.lit(chunk)
     first = F.floor(F.col("__at") / width)
     last = F.floor((F.col("__at") + F.size("__ids") - 1) / width)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossvec.functions.labels import argmax, id_to_label, softmax
+from glossvec.functions.labels import argmax, id_to_label, top_share
+from glossvec.functions.text import char_spans
 
 
 def decode_entities(logits: DataFrame, labels: dict[int, str], key: str = "sent_id") -> DataFrame:
@@ -13,10 +14,10 @@ def decode_entities(logits: DataFrame, labels: dict[int, str], key: str = "sent_
 
     `logits` holds (sent_id, pos, tok, logits[], start, end).
     """
-    best = logits.withColumn("__best", argmax("logits"))
-    named = best.withColumn("entity", id_to_label("__best", labels)).where(F.col("entity") != "O")
-    score = F.element_at(softmax("logits"), F.col("__best").cast("int") + 1)
-    return named.select(key, "pos", "entity", score.alias("score"), F.col("tok").alias("word"), "start", "end")
+    named = logits.withColumn("entity", id_to_label(argmax("logits"), labels)).where(F.col("entity") != "O")
+    return named.select(
+        key, "pos", "entity", top_share("logits").alias("score"), F.col("tok").alias("word"), "start", "end"
+    )
 
 
 def entity_groups(ner_tokens: DataFrame, texts: DataFrame, key: str = "sent_id") -> DataFrame:
@@ -42,7 +43,9 @@ def entity_groups(ner_tokens: DataFrame, texts: DataFrame, key: str = "sent_id")
         .groupBy(key, "entity_group", "__g")
         .agg(F.avg("score").alias("score"), F.min("start").alias("start"), F.max("end").alias("end"))
     )
-    start, size = F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")
-    return grouped.join(texts.select(key, "text"), key).select(
-        key, "entity_group", "score", "start", "end", F.substring("text", start, size).alias("word")
-    )
+    # One row per sentence meets the text, so the text is not copied once per group.
+    spans = grouped.groupBy(key).agg(F.collect_list(F.struct("entity_group", "score", "start", "end")).alias("s"))
+    met = spans.join(texts.select(key, "text"), key)
+    word = char_spans("text", F.col("s.start"), F.col("s.end"))
+    rows = met.select(key, "s", word.alias("w")).select(key, F.explode(F.arrays_zip("s", "w")).alias("z"))
+    return rows.select(key, "z.s.entity_group", "z.s.score", "z.s.start", "z.s.end", F.col("z.w").alias("word"))

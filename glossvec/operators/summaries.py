@@ -80,7 +80,9 @@ def running_mean_loss(df: DataFrame, step: str = "step", loss: str = "loss", eve
 
 def unigram_counts(documents: DataFrame, by: str) -> DataFrame:
     """Count of every word per group, with its loss -log p over all groups: by, w, n, loss."""
-    counts = token_rows(documents, key=by).groupBy(by, F.col("tok").alias("w")).agg(F.count("*").alias("n"))
+    # The filter keeps nothing out; with it all three uses below share one exchange.
+    rows = token_rows(documents, key=by).where(F.col("tok").isNotNull())
+    counts = rows.groupBy(by, F.col("tok").alias("w")).agg(F.count("*").alias("n"))
     totals = counts.groupBy("w").agg(F.sum("n").alias("nw"))
     total = counts.agg(F.sum("n")).scalar()
     losses = totals.withColumn("loss", -F.log(F.col("nw") / total)).select("w", "loss")

@@ -120,8 +120,9 @@ def pad_batch(
     seq: DataFrame, batch_size: int = 8, pad: int = PAD_ID, key: str = "doc_id", ids: str = "ids"
 ) -> DataFrame:
     """Batches of consecutive rows, each padded to its longest; mask 0 on padding."""
-    ranked = global_rank(seq, F.col(key), [F.col(key)], "__at")
-    batched = ranked.withColumn("batch_id", F.floor(F.col("__at") / batch_size).cast("bigint"))
+    ranked = global_rank(seq.select(key), F.col(key), [F.col(key)], "__at")
+    places = ranked.select(key, F.floor(F.col("__at") / batch_size).cast("bigint").alias("batch_id"))
+    batched = seq.select(key, ids).join(places, key)
     longest = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
     missing = longest - F.size(ids)
     return batched.select(

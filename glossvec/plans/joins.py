@@ -19,6 +19,21 @@ def task_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+# File bytes per task under which a table is spread before work on it starts.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small stored table by key over all tasks.
+
+    A few row groups would leave most cores idle through all text work. A table
+    with enough bytes for every task is read as it lies.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks, key) if stored < tasks * SPREAD_BYTES else df
+
+
 def _column_bytes(field: T.StructField):
     col = F.col(f"`{field.name}`")
     kind = field.dataType
