@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import weakref
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,18 +34,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(tasks, key) if stored < tasks * SPREAD_BYTES else df
 
 
-def _column_bytes(field: T.StructField):
-    col = F.col(f"`{field.name}`")
-    kind = field.dataType
+def _value_bytes(col: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        size = F.octet_length(col)
-    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        size = F.aggregate(col, F.lit(0), lambda acc, x: acc + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
-    elif isinstance(kind, T.ArrayType):
-        size = F.size(col) * 8
-    else:
-        size = F.lit(8)
-    return F.coalesce(size.cast("bigint"), F.lit(0)) + 8
+        return F.octet_length(col)
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(col.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.size(col) * 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.VariantType)):
+        return F.octet_length(F.to_json(F.struct(col))) * 4
+    return F.lit(8)
+
+
+def _column_bytes(field: T.StructField) -> Column:
+    size = _value_bytes(F.col(f"`{field.name}`"), field.dataType)
+    return F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)) + 8
 
 
 def measured_bytes(df: DataFrame) -> int:

@@ -14,6 +14,8 @@ def build_session(app: str = "glossvec", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Mean vectors and token lists are grouped by document: many small groups per task.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2048",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     builder = SparkSession.builder.appName(app)
