@@ -15,8 +15,8 @@ _measured: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictiona
 
 
 def task_count(df: DataFrame) -> int:
-    """The session's shuffle width, for stages whose work is far larger than their bytes."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The cores of the session, for a table that is gone through many times."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
 
 
 # File bytes per task under which a table is spread before work on it starts.
@@ -29,7 +29,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     A few row groups would leave most cores idle through all text work. A table
     with enough bytes for every task is read as it lies.
     """
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    tasks = task_count(df)
     stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(tasks, key) if stored < tasks * SPREAD_BYTES else df
 
