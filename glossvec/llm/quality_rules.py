@@ -92,21 +92,20 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
     made = F.struct(
         bound(_words(t), lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n_words"), F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
+            F.size(w).cast("bigint").alias("n_words"), F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"), _repeat_words(w).alias("n_repeat_words"))).alias("__w"),
         bound(lines, lambda x: F.struct(
-            F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"))).alias("l"),
-        F.length(without_blanks(t)).cast("bigint").alias("word_chars"),
-        _length_without(t, "#*$%&|<>").alias("n_symbols"),
-        _length_without(t, "A-Z").alias("n_capitals"),
-        _length_without(t, r"\p{L}").alias("n_letters"),
-        _length_without(t, "!").alias("n_exclamations"),
-        _length_without(t, ".").alias("n_stops"),
+            F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"))).alias("__l"),
+        F.length(without_blanks(t)).cast("bigint").alias("__word_chars"),
+        _length_without(t, "#*$%&|<>").alias("__n_symbols"),
+        _length_without(t, "A-Z").alias("__n_capitals"),
+        _length_without(t, r"\p{L}").alias("__n_letters"),
+        _length_without(t, "!").alias("__n_exclamations"),
+        _length_without(t, ".").alias("__n_stops"),
     )
-    full = docs.withColumn("__counts", made)
-    flat = {c: f"__counts.w.{c}" for c in ("n_words", "n_distinct", "n_repeat_words")} | {c: f"__counts.l.{c}" for c in ("n_lines", "n_dup_lines")}
-    flat |= {c: f"__counts.{c}" for c in ("word_chars", "n_symbols", "n_capitals", "n_letters", "n_exclamations", "n_stops")}
+    # A generator is evaluated once per row; a struct would be taken apart and its fields evaluated at every use.
     # "__" keeps the counts apart from input columns of the same names.
-    return full.select("*", *[F.col(at).alias(f"__{c}") for c, at in flat.items()]).drop("__counts")
+    at = {c: f"__w.{c}" for c in ("n_words", "n_distinct", "n_repeat_words")} | {c: f"__l.{c}" for c in ("n_lines", "n_dup_lines")}
+    return docs.select("*", F.inline(F.array(made))).withColumns({f"__{c}": F.col(at.get(c, f"__{c}")) for c in COUNTS}).drop("__w", "__l")
 
 
 def _prefixed(sql: str) -> str:
@@ -147,31 +146,39 @@ def _sums_sql(post: str) -> list[str]:
 
 
 def _posterior(rows: DataFrame, params: list[float], votes: str, name: str) -> DataFrame:
-    """Add the posterior. The parameters are one array value, so the compiled code serves every iteration."""
-    with_params = rows.withColumn("__p", F.array(*[F.lit(p) for p in params]))
-    return with_params.withColumn(name, F.expr(_posterior_sql([f"get(__p, {i})" for i in range(len(params))], votes))).drop("__p")
+    """Add the posterior. The parameters are one array value, so one plan and its compiled code serve every iteration."""
+    p, rules = F.array(*[F.lit(x) for x in params]), len(RULES)
+
+    def score(y: int) -> Column:
+        terms = F.transform(F.split(F.col(votes), ""), lambda v, j: F.get(p, 2 + (y * rules + j) * 3 + F.instr(F.lit("-0+"), v) - 1))
+        return F.aggregate(terms, F.get(p, F.lit(y)), lambda acc, x: acc + x)
+
+    return rows.withColumn(name, 1 / (1 + F.exp(score(0) - score(1))))
 
 
 def fit_label_model(patterns: DataFrame, iterations: int = ITERATIONS) -> list[float]:
     """Parameters of the label model from (votes, n), by expectation-maximisation.
 
     Class-conditional votes, abstentions included, with Dirichlet priors. Each
-    step is one aggregate over the patterns, at most 3 ** rules rows.
+    step is one aggregate over the patterns, at most 3 ** rules rows, and
+    returns one row per rule and vote.
     """
     params = _start()
     for _ in range(iterations):
-        sums = _posterior(patterns, params, "votes", "p").agg(*[F.coalesce(F.expr(s), F.lit(0.0)).cast("double").alias(f"s{i}") for i, s in enumerate(_sums_sql("p"))]).first()
-        total, good = sums[0], sums[1]
-        if not total:
+        scored = _posterior(patterns, params, "votes", "p")
+        seen = scored.select("n", "p", F.posexplode(F.split("votes", "")).alias("j", "v"))
+        sums = {(r["j"], r["v"]): (r["bad"], r["good"]) for r in seen.groupBy("j", "v").agg(
+            F.sum(F.col("n") * (1 - F.col("p"))).alias("bad"), F.sum(F.col("n") * F.col("p")).alias("good")).collect()}
+        if not sums:
             return params
-        share = (good + 1) / (total + 2)
+        bad, good = (sum(sums.get((0, v), (0.0, 0.0))[y] for v in "-0+") for y in (0, 1))
+        share = (good + 1) / (good + bad + 2)
         new = [math.log(1 - share), math.log(share)]
         for y in (0, 1):
-            weight = PRIOR_SHARE[y] * total
+            weight = PRIOR_SHARE[y] * (good + bad)
             for j in range(len(RULES)):
-                a = 2 + (y * len(RULES) + j) * 3
-                rows = sums[a] + sums[a + 1] + sums[a + 2] + weight
-                new += [math.log((sums[a + v] + weight * PRIOR[y][v]) / rows) for v in range(3)]
+                seen_by = [sums.get((j, v), (0.0, 0.0))[y] for v in "-0+"]
+                new += [math.log((seen_by[v] + weight * PRIOR[y][v]) / (sum(seen_by) + weight)) for v in range(3)]
         params = new
     return params
 
@@ -184,8 +191,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, it
     Columns of `docs` that have the name of an added one are replaced.
     """
     cols = docs.columns if keep is None else keep
-    counted = with_counts(docs, text).select(*cols, *[f"__{c}" for c in COUNTS], votes_column().alias("__votes"))
-    counted = written(counted, "quality")
+    counted = written(with_counts(docs, text).select(*cols, *[f"__{c}" for c in COUNTS]), "quality").withColumn("__votes", votes_column())
     patterns = written(counted.groupBy(F.col("__votes").alias("votes")).agg(F.count("*").alias("n")), "votes")
     params = fit_label_model(patterns, iterations)
     judged = _posterior(counted, params, "__votes", "__posterior")
