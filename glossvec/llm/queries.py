@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossvec.llm import exact_dedup, line_dedup, quality_rules
+from glossvec.llm import best_fit_packing, chat_prefixes, exact_dedup, line_dedup, quality_rules, toxicity
 from glossvec.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,6 @@ def _over(table: str, name: str, apply: Callable[[DataFrame], DataFrame], sql: s
 _over("documents", "op3_quality_rules", quality_rules.quality_query, quality_rules.quality_sql())
 _over("documents", "op4_line_dedup", line_dedup.lines_query, line_dedup.lines_sql())
 _over("documents", "op5_exact_dedup", exact_dedup.exact_query, exact_dedup.EXACT_SQL)
+_over("conversations", "op2_chat_prefixes", chat_prefixes.chat_query, chat_prefixes.CHAT_SQL)
+_over("documents", "op9_best_fit_packing", best_fit_packing.packing_query)
+QUERIES["op1_toxicity"] = lambda spark, folder: toxicity.toxicity_query(tables(spark, folder, "documents"), tables(spark, folder, "labels"))
