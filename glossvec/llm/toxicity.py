@@ -29,7 +29,7 @@ LABELLED = 16_000
 #: Bytes of word beginnings; hashed features; what a lexicon entry needs.
 PREFIXES = (4, 5, 6)
 DIMENSIONS = 1 << 20
-LEXICON_TEXTS, LEXICON_ODDS = 4, 2.5
+LEXICON_TEXTS, LEXICON_ODDS = 8, 4.0
 #: Lexicon voters by kind of feature.
 VOTERS_BY_KIND = 6
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -105,41 +105,82 @@ class LabelModel:
         return np.maximum(total, 1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        # A voter is no worse than chance: its vote never speaks for the other class, and silence for neither.
         ratio = self.logs[1] - self.logs[0]
+        ratio = np.stack([np.minimum(ratio[:, 0], 0), np.zeros(len(ratio)), np.maximum(ratio[:, 2], 0)], 1)
         evidence = np.take_along_axis(np.broadcast_to(ratio, (len(votes), *ratio.shape)), (votes.astype(int) + 1)[:, :, None], 2)[:, :, 0]
         z = np.log(self.share / (1 - self.share)) + evidence @ self.weights
         return 1 / (1 + np.exp(-z.clip(-40, 40)))
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, dims: int = DIMENSIONS, rounds: int = 150, l2: float = 2e-4, least: int = 3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets over sets of features, by accelerated gradient steps."""
+class Lexicons:
+    """Entries dealt to voters: for each kind of feature, the voter of each entry counted from 1, and 0 for all others."""
+
+    def __init__(self):
+        self.voter = np.zeros((1 + len(PREFIXES), DIMENSIONS), dtype=np.int8)
+
+    def add(self, kind: int, entries: np.ndarray) -> None:
+        self.voter[kind, entries] = 1 + kind * VOTERS_BY_KIND + entries % VOTERS_BY_KIND
+
+    def votes(self, kinds: list[np.ndarray]) -> np.ndarray:
+        out = np.full(self.voter.shape[0] * VOTERS_BY_KIND, -1, dtype=np.int8)
+        for kind, own in enumerate(kinds):
+            hit = self.voter[kind, own]
+            out[hit[hit > 0] - 1] = 1
+        return out
+
+    def design(self, kinds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the classifier: hashed features that share one length, then hits by kind and voters that voted."""
+        own = np.unique(np.concatenate(kinds))
+        hits = [int((self.voter[kind, x] > 0).sum()) for kind, x in enumerate(kinds)]
+        dense = np.log1p(np.array([*hits, (self.votes(kinds) > 0).sum()], dtype=float))
+        index = np.concatenate([own, DIMENSIONS + np.arange(len(dense))])
+        return index, np.concatenate([np.full(len(own), 1 / max(len(own), 1) ** 0.5), dense])
+
+
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, dims: int, rounds: int = 200, l2: float = 1e-5, least: int = 3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets over (indices, values), by accelerated gradient steps."""
     weights = np.zeros(dims, dtype=np.float32)
-    lens = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-    known, index, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    lens = [len(index) for index, _ in rows]
+    known, index, seen = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True, return_counts=True)
     use = seen >= least
-    new = np.cumsum(use) - 1
     keep = use[index]
     owner = np.repeat(np.arange(len(rows)), lens)[keep]
-    index = new[index[keep]]
-    # A text's features share its scale, so that long texts do not drown short ones in the fit.
-    scale = 1 / np.sqrt(np.maximum(lens, 1))
-    value = scale[owner]
-    w, m, v, b = np.zeros(int(use.sum())), np.zeros(int(use.sum())), np.zeros(int(use.sum())), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))) if len(rows) else -5.0
-    mb = vb = 0.0
-    for t in range(1, rounds + 1 if len(rows) else 1):
-        z = np.bincount(owner, w[index] * value, len(rows)) + b
-        r = 1 / (1 + np.exp(-z)) - target
-        g = np.bincount(index, r[owner] * value, len(w)) / len(rows) + l2 * w
-        gb = r.mean()
+    value = np.concatenate([r[1] for r in rows])[keep]
+    index = (np.cumsum(use) - 1)[index[keep]]
+    mean = target.mean() * 0.998 + 0.001
+    w, m, v = (np.zeros(int(use.sum())) for _ in range(3))
+    b, mb, vb = float(np.log(mean / (1 - mean))), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        r = 1 / (1 + np.exp(-(np.bincount(owner, w[index] * value, len(rows)) + b))) - target
+        g, gb = np.bincount(index, r[owner] * value, len(w)) / len(rows) + l2 * w, r.mean()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        rate = 0.3 * (1 - t / (rounds + 1)) + 0.01
+        rate = 1 - t / (rounds + 1) + 0.01
         w = w - rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b = b - rate * mb / (1 - 0.9**t) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     weights[known[use]] = w
     return weights, b
 
 
+#: Inputs beside the hashed ones: hits by kind, voters that voted.
+DENSE = 2 + len(PREFIXES)
+
+
+class Classifier:
+    """Lexicons, weights, intercept, and a report of the fit."""
+
+    def __init__(self, lexicons: Lexicons, weights: np.ndarray, intercept: float, report: dict):
+        self.lexicons, self.weights, self.intercept, self.report = lexicons, weights, intercept, report
+
+    def scores(self, texts: list[list[np.ndarray]]) -> list[float]:
+        out = []
+        for kinds in texts:
+            index, value = self.lexicons.design(kinds)
+            z = float(self.weights[index] @ value) + self.intercept
+            out.append(1 / (1 + np.exp(-max(min(z, 40.0), -40.0))))
+        return out
+
+
 def sample_labels(labels: DataFrame, label: str, bound: int) -> DataFrame:
     """Training labels, at most `bound`, chosen by a hash: those whose crc32 of the id is not 0 modulo 5."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
@@ -169,8 +210,8 @@ def _labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select("text", "y", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("part")).mapInArrow(run, FEATURES)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = LABELLED) -> tuple[np.ndarray, float, dict]:
-    """(weights, intercept, report) from the bounded draw of labelled texts.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = LABELLED) -> Classifier:
+    """The classifier from the bounded draw of labelled texts.
 
     To the driver come the feature numbers of at most `bound` texts.
     """
@@ -181,46 +222,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
     rows.sort(key=lambda r: (r[1], r[0], [len(k) for k in r[2]], r[2][0].tobytes()))
     makers, learners = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
     if not makers or not learners or not any(r[0] for r in makers):
-        return np.zeros(DIMENSIONS, np.float32), -40.0, {"texts": len(rows)}
+        return Classifier(Lexicons(), np.zeros(DIMENSIONS + DENSE, np.float32), -40.0, {"texts": len(rows)})
+    # Copies of one text would make a lexicon of all its words.
+    makers = list({tuple(k.tobytes() for k in r[2]): r for r in makers}.values())
     n = [sum(1 for r in makers if r[0] == y) for y in (0, 1)]
-    lexicons = []
+    lexicons = Lexicons()
     for kind in range(1 + len(PREFIXES)):
         df = [np.bincount(np.concatenate([r[2][kind] for r in makers if r[0] == y] or [np.zeros(0, np.int32)]), minlength=DIMENSIONS) for y in (0, 1)]
         odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
-        toxic = np.flatnonzero((df[1] >= LEXICON_TEXTS) & (odds >= LEXICON_ODDS))
-        lexicons += [np.sort(toxic[toxic % VOTERS_BY_KIND == k]) for k in range(VOTERS_BY_KIND)]
-
-    def lexicon_votes(kinds):
-        return [1 if len(np.intersect1d(kinds[j // VOTERS_BY_KIND], lex, True)) else -1 if len(kinds[0]) >= 20 else 0 for j, lex in enumerate(lexicons)]
-
-    votes = np.array([[*lexicon_votes(r[2]), *r[3]] for r in learners], dtype=np.int8)
+        lexicons.add(kind, np.flatnonzero((df[1] >= LEXICON_TEXTS) & (odds >= LEXICON_ODDS)))
+    votes = np.array([[*lexicons.votes(r[2]), *r[3]] for r in learners], dtype=np.int8)
     truth = np.array([r[0] for r in learners])
     model = LabelModel().fit(votes)
     posterior = model.posterior(votes)
-    sets = [np.unique(np.concatenate(r[2])) for r in learners]
-    weights, intercept = fit_linear(sets, posterior)
+    weights, intercept = fit_linear([lexicons.design(r[2]) for r in learners], posterior, DIMENSIONS + DENSE)
     report = {
-        "texts": len(rows), "entries": [len(x) for x in lexicons], "share": model.share, "weights": model.weights.tolist(),
+        "texts": len(rows), "entries": (lexicons.voter > 0).sum(1).tolist(), "share": model.share, "weights": model.weights.tolist(),
         "agreement": float(((posterior >= 0.5) == truth).mean()), "found": float((posterior[truth == 1] >= 0.5).mean()) if truth.any() else 0.0,
     }
-    return weights, intercept, report
+    return Classifier(lexicons, weights, intercept, report)
 
 
-def score_texts(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "text") -> DataFrame:
-    """`docs` with `score`. The model that is sent to the tasks has a fixed size, 4 bytes by DIMENSIONS."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def score_texts(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
+    """`docs` with `score`. The model that is sent to the tasks has a fixed size, 8 bytes by DIMENSIONS."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "score"]
 
     def run(batches):
         import pyarrow as pa
 
-        w = sent.value
         for batch in batches:
-            scores = []
-            for kinds in features(scan.utf8(batch.column(text))):
-                own = np.unique(np.concatenate(kinds))
-                z = float(w[own].sum(dtype=np.float64)) / max(len(own), 1) ** 0.5 + intercept
-                scores.append(1 / (1 + np.exp(-max(min(z, 40), -40))))
+            scores = sent.value.scores(features(scan.utf8(batch.column(text))))
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores, pa.float64())], names=[*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double"
@@ -229,8 +261,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, intercept: float, text: st
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     """`docs` with score and predicted."""
-    weights, intercept, _ = fit_toxicity(docs, labels, "toxic", bound)
-    return score_texts(docs, weights, intercept).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score_texts(docs, fit_toxicity(docs, labels, "toxic", bound)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
