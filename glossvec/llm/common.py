@@ -59,22 +59,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
-    """Join rows with one-row-per-key `groups` whose column `size` counts the rows of the key.
+def hot_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Join rows with one-row-per-key `groups` whose column `size` counts the rows of the key, `total` over all keys.
 
-    Keys over 1/HOT_SHARE of `total` rows are at most HOT_SHARE many: those are
-    broadcast and their rows stay where they are. All others meet in a shuffle
-    in which no key is large. `how` is inner or left_semi.
+    Keys over 1/HOT_SHARE of `total` rows are at most HOT_SHARE many. Their names
+    are broadcast, their rows are dealt over as many tasks as they need, and the
+    group is copied to those; every other key is small. There are no more than
+    HOT_SHARE copies in all beyond the groups themselves.
     """
     limit = max(total // HOT_SHARE, 1)
-    hot = groups.where(F.col(size) > limit).limit(HOT_SHARE)
-    cold = groups.where(F.col(size) <= limit)
-    marks = hot.select(*on, F.lit(True).alias("__hot"))
-    marked = rows.join(F.broadcast(marks), on, "left")
-    return (
-        marked.where("__hot").drop("__hot").join(F.broadcast(hot), on, how)
-        .unionByName(marked.where("__hot is null").drop("__hot").join(cold, on, how))
-    )
+    sized = groups.withColumn("__tasks", F.ceil(F.col(size) / limit).cast("int"))
+    hot = sized.where("__tasks > 1").select(*on, F.col("__tasks").alias("__dealt")).limit(HOT_SHARE)
+    others = [c for c in rows.columns if c not in on] or on
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "__salt", F.pmod(F.xxhash64(*others), F.coalesce("__dealt", F.lit(1))).cast("int"))
+    copies = sized.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__tasks") - 1)))
+    return salted.join(copies, [*on, "__salt"]).drop("__salt", "__tasks", "__dealt")
 
 
 def tables(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossvec.llm import best_fit_packing, chat_prefixes, exact_dedup, line_dedup, minhash_dedup, quality_rules, toxicity
+from glossvec.llm import best_fit_packing, chat_prefixes, exact_dedup, line_dedup, minhash_dedup, quality_rules, suffix_dedup, toxicity
 from glossvec.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,4 @@ _over("conversations", "op2_chat_prefixes", chat_prefixes.chat_query, chat_prefi
 _over("documents", "op9_best_fit_packing", best_fit_packing.packing_query)
 QUERIES["op1_toxicity"] = lambda spark, folder: toxicity.toxicity_query(tables(spark, folder, "documents"), tables(spark, folder, "labels"))
 _over("documents", "op6_circulant_minhash", minhash_dedup.near_query)
+_over("documents", "op7_suffix_dedup", suffix_dedup.repeats_query)
