@@ -25,8 +25,8 @@ from glossvec.llm.common import written
 
 CAPACITY = 1024
 END = 2
-#: Pieces that are numbered in one task.
-RANKED = 200_000
+#: Pieces of one length that are numbered together.
+RANKED = 1_000
 #: Nodes that the search visits, and fillings that it tries at one.
 NODES, WIDTH = 20_000, 6
 
@@ -283,11 +283,11 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int,
     return out
 
 
-def ranked_pieces(pieces: DataFrame, total: int, ranked: int = RANKED) -> DataFrame:
+def ranked_pieces(pieces: DataFrame, counts: dict[int, int], ranked: int = RANKED) -> DataFrame:
     """Add `rank`, the number of a piece among those of its length, without a task that sees a whole length."""
-    buckets = max(1, -(-total // ranked))
+    buckets = F.array(*[F.lit(-(-counts.get(x, 0) // ranked) or 1) for x in range(max(counts, default=0) + 1)])
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    with_bucket = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    with_bucket = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(buckets, F.col("length").cast("int"))))
     sizes = with_bucket.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
@@ -315,7 +315,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    ranked = ranked_pieces(pieces, sum(counts.values())).select(*names, "rank")
+    ranked = ranked_pieces(pieces, counts).select(*names, "rank")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
     return ranked.mapInArrow(run, schema)
 

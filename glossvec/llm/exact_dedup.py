@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossvec.llm.common import text_of, without_blanks, written
+from glossvec.plans.joins import fits_broadcast
 
 #: Runs that meet in one merge.
 FAN_IN = 16
@@ -91,6 +92,16 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     return met.select(*[F.col(f"in_{c}").alias(c) for c in cols if c not in added], *[v.alias(c) for c, v in added.items()])
 
 
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """`docs` with the row that stays of each group. Ids are sent, texts are not; a null id is told by its row."""
+    gone = exact_groups(docs, text, key, keep=[key]).where("NOT kept")
+    gone = written(gone.select(F.col(key).alias("__gone"), "text_sha256").distinct(), "gone")
+    # A repeated id may hold a text that stays and one that goes.
+    own = docs.withColumn("__sha", F.sha2(without_blanks(text_of(text)), 256))
+    side = F.broadcast(gone) if fits_broadcast(gone) else gone
+    return own.join(side, F.col(key).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("text_sha256")), "left_anti").select(*docs.columns)
+
+
 def exact_query(docs: DataFrame) -> DataFrame:
     return exact_groups(docs.select("doc_id", "text"), keep=["doc_id"])
 
