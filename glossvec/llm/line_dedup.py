@@ -42,16 +42,18 @@ def drop_shared_lines(
     document, and it is counted before and after the shuffle. What goes back are
     positions, not texts.
     """
-    hashed = docs.select(F.col(key).alias("__id"), _hashes(text_of(text), min_chars).alias("hs"))
-    each = hashed.select("__id", F.posexplode("hs").alias("pos", "l")).where("l is not null").select("__id", "pos", "l.h", "l.g")
-    lines = each.groupBy("h", "g", "__id").agg(F.collect_set("pos").alias("pos"))
-    lines = written(lines, "lines")
-    shared = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("__id").alias("holder")).where(F.col("n") >= min_documents)
-    shared = written(shared, "shared")
+    # Rows that share an id are told apart by a hash of the text: positions are theirs, the document is one.
+    known = docs.withColumn("__row", F.xxhash64(text_of(text)))
+    hashed = known.select(F.col(key).alias("__id"), F.col("__row").alias("__of"), _hashes(text_of(text), min_chars).alias("hs"))
+    each = hashed.select("__id", "__of", F.posexplode("hs").alias("pos", "l")).where("l is not null").select("__id", "__of", "pos", "l.h", "l.g")
+    lines = written(each.groupBy("h", "g", "__id", "__of").agg(F.collect_set("pos").alias("pos")), "lines")
+    holders = lines.groupBy("h", "g", "__id").agg(F.count("*").alias("rows"))
+    shared = holders.groupBy("h", "g").agg(F.count("*").alias("documents"), F.sum("rows").alias("n"), F.max("__id").alias("holder"))
+    shared = written(shared.where(F.col("documents") >= min_documents).drop("documents"), "shared")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     dropped = hot_join(lines, shared, ["h", "g"], "n", total).where(~F.col("__id").eqNullSafe(F.col("holder")))
-    dropped = dropped.groupBy(F.col("__id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("__drop"))
-    met = docs.join(dropped, F.col(key).eqNullSafe(F.col("__id")), "left").drop("__id")
+    dropped = dropped.groupBy("__id", "__of").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("__drop"))
+    met = known.join(dropped, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")), "left").drop("__id", "__of", "__row")
     drop = F.coalesce(F.col("__drop"), F.array().cast("array<int>"))
     cut = F.when(F.size(drop) == 0, text_of(text)).otherwise(F.concat_ws("\n", bound(F.split(text_of(text), "\n"), lambda x: bound(drop, lambda d: _without(x, d)))))
     return met.select(

@@ -296,41 +296,44 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
-    """`docs` (or its columns `keep`) with n_bytes, n_removed, n_spans, kept_sha256, and `kept`, the bytes that are left.
-
-    Cuts fall between bytes, so `kept` need not be valid UTF-8. Columns of these
-    names in `docs` are replaced.
-    """
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    cols = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    own = _identified(docs, text)
-    slim = own.select("doc_id", F.col("__row").alias("row"), text_of(text).alias("text"))
-    rows = own.select("doc_id", F.col("__row").alias("row"), text_of(text).alias("text"), *[F.col(c).alias(f"in_{c}") for c in cols if c not in ("doc_id", text)])
-    met = _join_rows(rows, removed_spans(slim), "left")
-    passed = [f"in_{c}" for c in cols if c not in ("doc_id", text)]
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"doc_id {fields['doc_id']}", *[f"`{c}` {fields[c]}" for c in passed], "text string", "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"])
+def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool) -> DataFrame:
+    """doc_id, the columns `passed` under names with in_, text, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+    own = _identified(docs, text).select("doc_id", F.col("__row").alias("row"), text_of(text).alias("text"), F.col(text).isNull().alias("none"), *[F.col(c).alias(f"in_{c}") for c in passed])
+    met = _join_rows(own, removed_spans(own.select("doc_id", "row", "text")), "left")
+    names = ["doc_id", *[f"in_{c}" for c in passed]]
+    fields = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = ", ".join([*[f"`{c}` {fields[c]}" for c in names], "text string", "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [[], [], [], [], []]
-            for t, spans in zip(scan.utf8(batch.column("text")), batch.column("spans").to_pylist()):
+            out = [[], [], [], [], [], []]
+            for t, none, spans in zip(scan.utf8(batch.column("text")), batch.column("none").to_pylist(), batch.column("spans").to_pylist()):
                 merged = _merge(spans or [])
                 kept = _cut(t, merged)
-                for o, v in zip(out, (len(t), len(t) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text else b"")):
+                shown = None if none or not with_text else t.decode()
+                for o, v in zip(out, (shown, len(t), len(t) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text else b"")):
                     o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            shown = batch.column("text") if with_text else pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[batch.column(c) for c in passed], shown, *[pa.array(o, k) for o, k in zip(out, kinds)]],
-                names=["doc_id", *passed, "text", *added])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(o, k) for o, k in zip(out, kinds)]], names=[*names, "text", *ADDED])
+
+    return met.mapInArrow(run, schema)
 
-    done = met.mapInArrow(run, schema)
-    names = {c: F.col("doc_id") if c == "doc_id" else F.col("text").alias(text) if c == text else F.col(f"in_{c}").alias(c) for c in cols}
-    return done.select(*names.values(), *added)
+
+ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+
+def cut_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """`docs` (or its columns `keep`) with n_bytes, n_removed, n_spans, kept_sha256, and `kept`, the bytes that are left.
+
+    Cuts fall between bytes, so `kept` need not be valid UTF-8. Columns of these
+    names in `docs` are replaced.
+    """
+    cols = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    done = _cut_rows(docs, text, [c for c in cols if c not in ("doc_id", text)], with_text)
+    own = {"doc_id": F.col("doc_id"), text: F.col("text").alias(text)}
+    return done.select(*[own.get(c, F.col(f"in_{c}").alias(c)) for c in cols], *ADDED)
 
 
 def repeats_query(docs: DataFrame) -> DataFrame:
@@ -339,16 +342,17 @@ def repeats_query(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with its texts rid of repeated passages. A character that a cut splits goes with it."""
-
-    out = cut_repeats(docs)
+    """`docs` with its texts rid of repeated passages. A character that a cut splits goes with it; a null text stays null."""
+    names = docs.columns
+    done = _cut_rows(docs, "text", [c for c in names if c not in ("doc_id", "text")], True)
+    inner = {c: c if c in ("doc_id", "text") else f"in_{c}" for c in names}
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(inner[c]) for c in names], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.select(*docs.columns, "kept").mapInArrow(run, schema)
+    return done.select(*inner.values(), "kept").mapInArrow(run, schema)
