@@ -6,11 +6,12 @@ the least value that the second, shifted by k along the circle, gives them. Band
 of coordinates name buckets. Texts with equal sets are one class and travel once.
 
 Pairs are never written out per bucket. In a bucket every member meets one hub;
-then one more, the member that most hubs agreed with; and only pairs of members
-that no confirmed links join by then are tested one by one. Every link is
-confirmed on full sets. What no link joins has been tested, so that links inside
-buckets are complete; a pair at the threshold shares a bucket with a probability
-of 1 - (1 - 0.8**5)**32, all but 3 in a million.
+then one more, the member that most hubs agreed with; and only members that no
+confirmed links join by then are compared one by one, by longer signatures in
+blocks, of which the near ones are confirmed. Every link is confirmed on full
+sets. A pair at the threshold shares a bucket with a probability of
+1 - (1 - 0.8**5)**32, all but 3 in a million; signatures err by over five
+deviations before they rule it out.
 
 Defined results: A-Z count as lower case; a null or empty text, or one without
 words, has an empty set and is linked with nothing; a text of fewer words than a
@@ -38,6 +39,10 @@ THRESHOLD = 80
 PER_TASK = 2_000
 #: Pairs whose signatures agree in less than the threshold by this much are not read in full: over six deviations.
 MARGIN = 0.2
+#: The same for the longer signatures of what hubs leave open.
+FINE, FINE_MARGIN = 2_048, 0.05
+#: Members that a task holds while others stream past.
+HELD = 2_048
 _FLAT = 1 << 16
 
 CLASS = ["fp1", "fp2", "n"]
@@ -197,8 +202,68 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    near = written(_similar(pairs, classes), "near")
+def _fine_signatures(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, fine): FINE coordinates of a byte each, of the classes `wanted`."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
+            fine = (signatures(sets, FINE) & np.uint32(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([f.tobytes() for f in fine], pa.binary())], names=["id", "fine"])
+
+    return _sets(docs, wanted, width).mapInArrow(run, "id bigint, fine binary")
+
+
+def _left_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, id, comp) of one bucket but two components whose fine signatures allow the threshold.
+
+    The members of all components of a bucket but its largest are held, in blocks
+    of HELD; all members stream past each block, in parts of PER_TASK. No row is
+    made of a pair that the signatures rule out.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    sizes = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("m"), F.max("m").alias("most"))
+    sizes = sizes.select(F.col("key").alias("k"), "largest", F.ceil((F.col("m") - F.col("most")) / HELD).cast("int").alias("blocks"), F.ceil(F.col("m") / PER_TASK).cast("int").alias("tasks"))
+    met = members.join(sizes, F.col("key") == F.col("k")).drop("k").join(fine, "id")
+    every = F.sequence(F.lit(0), F.col("tasks") - 1)
+    held = met.where("comp <> largest").select(
+        "key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(every).alias("task"), F.lit(0).alias("kind"), "id", "comp", "fine")
+    passing = met.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.col("tasks")).cast("int").alias("task"),
+        F.lit(1).alias("kind"), "id", "comp", "fine")
+    rows = held.unionByName(passing).repartition("key", "block", "task").sortWithinPartitions("key", "block", "task", "kind")
+    least = THRESHOLD / 100 - FINE_MARGIN
+
+    def run(batches):
+        import pyarrow as pa
+
+        of, ids, comps, sigs, matrix = None, [], [], [], None
+        for batch in batches:
+            a, b = [], []
+            for key, block, task, kind, i, comp, f in zip(*[batch.column(c).to_pylist() for c in ("key", "block", "task", "kind", "id", "comp", "fine")]):
+                if of != (key, block, task):
+                    of, ids, comps, sigs, matrix = (key, block, task), [], [], [], None
+                own = np.frombuffer(f, np.uint8)
+                if kind == 0:
+                    ids.append(i)
+                    comps.append(comp)
+                    sigs.append(own)
+                elif ids:
+                    if matrix is None:
+                        matrix = (np.array(ids), np.array(comps), np.stack(sigs))
+                    near = ((matrix[2] == own).mean(1) - 1 / 256) / (1 - 1 / 256)
+                    for j in matrix[0][(near >= least) & (matrix[1] != comp)].tolist():
+                        a.append(min(i, j))
+                        b.append(max(i, j))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _links(docs: DataFrame, classes: DataFrame, near: DataFrame, width: int) -> DataFrame:
+    """Those of the written pairs `near` that full sets confirm."""
     ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     sets = written(_sets(docs, written(classes.select("id", *CLASS).join(ids, "id"), "ids"), width), "sets")
     return written(_confirm(near, sets), "links")
@@ -215,7 +280,7 @@ def near_components(docs: DataFrame, width: int = 2) -> DataFrame:
     members = written(hot_join(keyed, buckets, ["key"], "m", total).select("key", "id", "hub"), "members")
 
     tested = written(members.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = _links(docs, classes, tested, width)
+    links = _links(docs, classes, written(_similar(tested, classes), "near"), width)
     labels = components(links)
 
     # A second hub: in each bucket that is not one component, the member with most confirmed links.
@@ -226,17 +291,15 @@ def near_components(docs: DataFrame, width: int = 2) -> DataFrame:
     pairs = hot_join(open_members, hubs, ["key"], "m", total).where("hub.comp <> comp").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b"))
     pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
-        links = links.unionByName(_links(docs, classes, pairs, width))
+        links = links.unionByName(_links(docs, classes, written(_similar(pairs, classes), "near"), width))
         tested = tested.unionByName(pairs)
         labels = components(links)
         open_members = _open(members, labels, total)
 
-    # The rest, pair by pair: members of all components of a bucket but its largest, with members of other components.
-    parts = open_members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"))
-    few = open_members.join(largest, "key").where("comp <> largest").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    pairs = few.join(open_members, "key").where("cx <> comp").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    # The rest one by one, where longer signatures do not rule it out.
+    ids = written(open_members.select("id").distinct(), "ids")
+    fine = _fine_signatures(docs, classes.select("id", *CLASS).join(ids, "id"), width)
+    pairs = written(_left_pairs(open_members, fine).join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         links = links.unionByName(_links(docs, classes, pairs, width))
         labels = components(links)
