@@ -221,42 +221,46 @@ def _left_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
 
     The members of all components of a bucket but its largest are held, in blocks
     of HELD; all members stream past each block, in parts of PER_TASK. No row is
-    made of a pair that the signatures rule out.
+    made of a pair that the signatures rule out, and of buckets that two members
+    share, the first one makes it.
     """
+    shared = members.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     parts = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
     sizes = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("m"), F.max("m").alias("most"))
     sizes = sizes.select(F.col("key").alias("k"), "largest", F.ceil((F.col("m") - F.col("most")) / HELD).cast("int").alias("blocks"), F.ceil(F.col("m") / PER_TASK).cast("int").alias("tasks"))
-    met = members.join(sizes, F.col("key") == F.col("k")).drop("k").join(fine, "id")
+    met = members.join(sizes, F.col("key") == F.col("k")).drop("k").join(fine, "id").join(shared, "id")
     every = F.sequence(F.lit(0), F.col("tasks") - 1)
     held = met.where("comp <> largest").select(
-        "key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(every).alias("task"), F.lit(0).alias("kind"), "id", "comp", "fine")
+        "key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(every).alias("task"), F.lit(0).alias("kind"), "id", "comp", "fine", "keys")
     passing = met.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.col("tasks")).cast("int").alias("task"),
-        F.lit(1).alias("kind"), "id", "comp", "fine")
+        F.lit(1).alias("kind"), "id", "comp", "fine", "keys")
     rows = held.unionByName(passing).repartition("key", "block", "task").sortWithinPartitions("key", "block", "task", "kind")
     least = THRESHOLD / 100 - FINE_MARGIN
 
     def run(batches):
         import pyarrow as pa
 
-        of, ids, comps, sigs, matrix = None, [], [], [], None
+        of, ids, comps, sigs, buckets, matrix = None, [], [], [], {}, None
         for batch in batches:
             a, b = [], []
-            for key, block, task, kind, i, comp, f in zip(*[batch.column(c).to_pylist() for c in ("key", "block", "task", "kind", "id", "comp", "fine")]):
+            for key, block, task, kind, i, comp, f, keys in zip(*[batch.column(c).to_pylist() for c in ("key", "block", "task", "kind", "id", "comp", "fine", "keys")]):
                 if of != (key, block, task):
-                    of, ids, comps, sigs, matrix = (key, block, task), [], [], [], None
+                    of, ids, comps, sigs, buckets, matrix = (key, block, task), [], [], [], {}, None
                 own = np.frombuffer(f, np.uint8)
                 if kind == 0:
                     ids.append(i)
                     comps.append(comp)
                     sigs.append(own)
+                    buckets[i] = set(keys)
                 elif ids:
                     if matrix is None:
                         matrix = (np.array(ids), np.array(comps), np.stack(sigs))
                     near = ((matrix[2] == own).mean(1) - 1 / 256) / (1 - 1 / 256)
                     for j in matrix[0][(near >= least) & (matrix[1] != comp)].tolist():
-                        a.append(min(i, j))
-                        b.append(max(i, j))
+                        if next(k for k in keys if k in buckets[j]) == key:
+                            a.append(min(i, j))
+                            b.append(max(i, j))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
