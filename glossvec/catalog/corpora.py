@@ -20,13 +20,13 @@ from glossvec.operators import vocabulary as voc
 
 @query("build_vocabulary", "SELECT word, token_id, freq FROM vocab")
 def _(x):
-    counts = voc.word_frequencies(x.documents.where(F.col("lang") == "en"))
+    counts = voc.word_frequencies(x.documents)
     return voc.build_vocabulary(counts, x.embeddings.count())
 
 
 @query("char_vocabulary", "SELECT ch, n FROM char_vocab")
 def _(x):
-    return voc.char_vocabulary(x.documents.where(F.col("lang") == "en"))
+    return voc.char_vocabulary(x.documents, share=1e-4)
 
 
 @query("word_frequencies", "SELECT tok AS w, count(*) AS n FROM def_tokens GROUP BY tok")
@@ -259,7 +259,7 @@ def _(x):
 
 _MASKED = """
 SELECT doc_id, pos,
-       CASE WHEN h[1:4] < '2666' THEN CASE WHEN h[5:8] < 'cccd' THEN -5 WHEN h[5:8] < 'e666' THEN CAST('0x' || h[9:16] AS BIGINT) % 500 ELSE id END
+       CASE WHEN h[1:4] < '2666' THEN CASE WHEN h[5:8] < 'cccd' THEN -5 WHEN h[5:8] < 'e666' THEN CAST('0x' || h[9:16] AS BIGINT) % (SELECT count(*) FROM vocab) ELSE id END
             ELSE id END AS {a},
        CASE WHEN h[1:4] < '2666' THEN id ELSE -100 END AS {b}
 FROM (SELECT *, md5(concat_ws(':', '{s}', doc_id, pos)) AS h FROM token_seq)"""
@@ -267,12 +267,12 @@ FROM (SELECT *, md5(concat_ws(':', '{s}', doc_id, pos)) AS h FROM token_seq)"""
 
 @query("mlm_mask", _MASKED.format(a="input_id", b="label", s=42))
 def _(x):
-    return cp.mlm_mask(x.token_seq, vocab_size=500)
+    return cp.mlm_mask(x.token_seq, vocab_size=x.vocab.count())
 
 
 @query("fixed_eval_mask", _MASKED.format(a="masked_input_ids", b="masked_labels", s=7))
 def _(x):
-    return cp.fixed_eval_mask(x.token_seq, seed=7, vocab_size=500)
+    return cp.fixed_eval_mask(x.token_seq, seed=7, vocab_size=x.vocab.count())
 
 
 @query("whole_word_mask", f"""

@@ -15,6 +15,7 @@ from glossvec.operators.tokens import pretokenise
 from glossvec.operators.vocabulary import build_vocabulary, char_vocabulary, token_rows, word_frequencies
 from glossvec.plans.joins import lookup_join, spread
 from glossvec.plans.lookups import with_token_ids
+from glossvec.sources.corpora import vector_sheet
 
 
 class Inputs:
@@ -40,9 +41,8 @@ class Inputs:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        """The most frequent English words, as many as there are vectors: word, token_id, freq."""
-        counts = word_frequencies(self.documents.where(F.col("lang") == "en"))
-        return build_vocabulary(counts, self.embeddings.count()).persist()
+        """The most frequent words of all documents, as many as there are vectors: word, token_id, freq."""
+        return build_vocabulary(word_frequencies(self.documents), self.embeddings.count()).persist()
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -64,11 +64,22 @@ class Inputs:
 
     @cached_property
     def lexicon(self) -> DataFrame:
-        """word, token_id, definition, norm."""
+        """Every document whose first word has a vector, as an entry for it: entry, word, token_id, definition, norm."""
         norms = self.vectors.select("token_id", F.round(l2_norm("v"), 6).alias("norm"))
         words = lookup_join(self.vocab.select("token_id", "word"), norms, "token_id")
-        texts = self.definitions.select("token_id", F.array_join("tokens", " ").alias("definition"))
-        return lookup_join(texts, words, "token_id").select("word", "token_id", "definition", "norm").persist()
+        found = lookup_join(self.dictionary.withColumnRenamed("doc_id", "entry"), words, "word")
+        return found.select("entry", "word", "token_id", "definition", "norm")
+
+    @cached_property
+    def head_vectors(self) -> DataFrame:
+        """The vector of every entry's word, by entry: token_id, v."""
+        entries = self.lexicon.select(F.col("entry"), "token_id")
+        return lookup_join(entries, self.vectors, "token_id").select(F.col("entry").alias("token_id"), "v")
+
+    @cached_property
+    def sheet(self) -> DataFrame:
+        """The definition vector of every word, of its last entry: word, v."""
+        return vector_sheet(self.def_vectors, self.lexicon.select(F.col("entry").alias("token_id"), "word"))
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -89,13 +100,12 @@ class Inputs:
 
     @cached_property
     def lexicon_queries(self) -> DataFrame:
-        tokens = F.split("definition", " ").alias("tokens")
-        pooled = definition_vectors(self.lexicon.select("token_id", tokens), self.vocab, self.vectors)
-        return pooled.withColumnRenamed("token_id", "query_id")
+        named = lookup_join(self.sheet, self.vocab.select("word", "token_id"), "word")
+        return named.select(F.col("token_id").alias("query_id"), "v")
 
     @cached_property
     def char_vocab(self) -> DataFrame:
-        return char_vocabulary(self.documents.where(F.col("lang") == "en")).persist()
+        return char_vocabulary(self.documents, share=1e-4).persist()
 
     @cached_property
     def char_ids(self) -> DataFrame:

@@ -15,7 +15,7 @@ from glossvec.operators import reconstruction as rec
 from glossvec.operators import search as se
 from glossvec.operators import summaries as sm
 from glossvec.operators import vocabulary as voc
-from glossvec.operators.filters import band_word_positions, record_holders
+from glossvec.operators.filters import band_word_positions, last_wins, record_holders
 from glossvec.sources.corpora import vector_sheet
 
 
@@ -25,8 +25,8 @@ def rounded(df, col="v"):
 
 R6 = "list_transform({}, lambda z: round(z, 6) + 0.0)"
 DEF_Q = "SELECT token_id AS query_id, v FROM def_vectors"
-LEX_Q = "SELECT d.token_id AS query_id, d.v FROM def_vectors d JOIN lexicon USING (token_id)"
-OWN_Q = "SELECT l.token_id AS query_id, e.v FROM lexicon l JOIN vectors e USING (token_id)"
+LEX_Q = "SELECT l.token_id AS query_id, arg_max(d.v, l.entry) AS v FROM lexicon l JOIN def_vectors d ON d.token_id = l.entry GROUP BY l.token_id"
+OWN_Q = "SELECT l.token_id AS query_id, e.v FROM (SELECT DISTINCT token_id FROM lexicon) l JOIN vectors e USING (token_id)"
 VECS = "SELECT token_id, v FROM vectors"
 
 # --- scalar functions on vectors -------------------------------------------
@@ -38,18 +38,18 @@ def _(x):
 
 
 def _pairs(x):
-    return rec.training_pairs(x.def_vectors, x.vectors)
+    return rec.training_pairs(x.def_vectors, x.head_vectors)
 
 
 @query("cosine", """
-SELECT token_id, round(list_cosine_similarity(d.v, e.v), 6) AS cosine FROM def_vectors d JOIN vectors e USING (token_id)""")
+SELECT token_id, round(list_cosine_similarity(d.v, e.v), 6) AS cosine FROM def_vectors d JOIN head_vectors e USING (token_id)""")
 def _(x):
     return _pairs(x).select("token_id", F.round(vec.cosine("x", "y"), 6).alias("cosine"))
 
 
 @query("squared_l2", """
 SELECT token_id, round(list_sum(list_transform(list_zip(d.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS d2
-FROM def_vectors d JOIN vectors e USING (token_id)""")
+FROM def_vectors d JOIN head_vectors e USING (token_id)""")
 def _(x):
     return _pairs(x).select("token_id", F.round(vec.squared_l2("x", "y"), 6).alias("d2"))
 
@@ -116,13 +116,14 @@ def _(x):
 
 @query("gather_positions", f"""
 SELECT s.doc_id, s.pos, s.id, {R6.format('e.v')} AS v
-FROM token_seq s JOIN lexicon l ON l.token_id = s.doc_id
+FROM token_seq s JOIN lexicon l ON l.entry = s.doc_id AND s.pos > 0
 JOIN def_tokens d ON d.token_id = s.doc_id AND d.pos = s.pos
-JOIN (SELECT word FROM lexicon WHERE norm > 1.3 AND norm < 1.35) b ON b.word = d.tok
+JOIN (SELECT DISTINCT word FROM lexicon WHERE norm > 1.3 AND norm < 1.35) b ON b.word = d.tok
 JOIN vectors e ON e.token_id = s.id""")
 def _(x):
-    at = band_word_positions(x.lexicon, 1.3, 1.35, offset=0).join(x.vocab.select("word", "token_id"), "word")
-    return rounded(pl.gather_positions(x.sequences, at.withColumnRenamed("token_id", "doc_id"), x.vectors))
+    # The word itself is the first token of its document, so a place in the definition is one further there.
+    at = band_word_positions(x.lexicon, 1.3, 1.35, offset=1, key="entry").withColumnRenamed("entry", "doc_id")
+    return rounded(pl.gather_positions(x.sequences, at, x.vectors))
 
 
 @query("first_token_pool", f"""
@@ -160,20 +161,18 @@ def _(x):
 
 @query("patch_band_vectors", f"""
 SELECT e.token_id, {R6.format('coalesce(d.v, e.v)')} AS v
-FROM vectors e LEFT JOIN (SELECT d.token_id, d.v FROM def_vectors d JOIN lexicon l USING (token_id) WHERE l.norm > {LO} AND l.norm < {HI}) d
-USING (token_id)""")
+FROM vectors e LEFT JOIN band_sheet d USING (token_id)""")
 def _(x):
-    sheet = vector_sheet(x.def_vectors, x.vocab)
-    return rounded(pl.patch_band_vectors(x.vectors, sheet, x.lexicon, LO, HI))
+    return rounded(pl.patch_band_vectors(x.vectors, x.sheet, x.lexicon, LO, HI))
 
 
 # --- losses and descriptions -----------------------------------------------
 
 @query("mse", """
 SELECT round(avg((a - b) * (a - b)), 8) AS mse
-FROM (SELECT unnest(d.v) AS a, unnest(e.v) AS b FROM def_vectors d JOIN vectors e USING (token_id))""")
+FROM (SELECT unnest(d.v) AS a, unnest(e.v) AS b FROM def_vectors d JOIN head_vectors e USING (token_id))""")
 def _(x):
-    return pl.mse(x.def_vectors, x.vectors).select(F.round("mse", 8).alias("mse"))
+    return pl.mse(x.def_vectors, x.head_vectors).select(F.round("mse", 8).alias("mse"))
 
 
 _NORM = "sqrt(list_sum(list_transform({}, lambda z: z * z)))"
@@ -181,18 +180,18 @@ _NORM = "sqrt(list_sum(list_transform({}, lambda z: z * z)))"
 
 @query("norm_shrink_rate", f"""
 SELECT round(avg(CASE WHEN {_NORM.format('e.v')} > {_NORM.format('d.v')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8) AS rate
-FROM vectors e JOIN def_vectors d USING (token_id)""")
+FROM head_vectors e JOIN def_vectors d USING (token_id)""")
 def _(x):
-    return pl.norm_shrink_rate(x.vectors, x.def_vectors).select(F.round("rate", 8).alias("rate"))
+    return pl.norm_shrink_rate(x.head_vectors, x.def_vectors).select(F.round("rate", 8).alias("rate"))
 
 
 @query("evaluate_reconstruction", f"""
 SELECT (SELECT round(avg((a - b) * (a - b)), 8)
-        FROM (SELECT unnest(d.v) AS a, unnest(e.v) AS b FROM def_vectors d JOIN vectors e USING (token_id))) AS mse,
+        FROM (SELECT unnest(d.v) AS a, unnest(e.v) AS b FROM def_vectors d JOIN head_vectors e USING (token_id))) AS mse,
        (SELECT round(avg(CASE WHEN {_NORM.format('e.v')} > {_NORM.format('d.v')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8)
-        FROM vectors e JOIN def_vectors d USING (token_id)) AS rate""")
+        FROM head_vectors e JOIN def_vectors d USING (token_id)) AS rate""")
 def _(x):
-    found = rec.evaluate_reconstruction(x.def_vectors, x.vectors)
+    found = rec.evaluate_reconstruction(x.def_vectors, x.head_vectors)
     return found.select(F.round("mse", 8).alias("mse"), F.round("rate", 8).alias("rate"))
 
 
@@ -231,16 +230,16 @@ def _(x):
     return _described(sm.describe_column(x.lexicon, "norm"))
 
 
-@query("describe_first_n", _DESCRIBE.format(key="", src="SELECT norm AS x FROM lexicon ORDER BY token_id LIMIT 100", tail=""))
+@query("describe_first_n", _DESCRIBE.format(key="", src="SELECT norm AS x FROM lexicon ORDER BY entry, norm LIMIT 100", tail=""))
 def _(x):
-    return _described(sm.describe_first_n(x.lexicon, "token_id", "norm", 100))
+    return _described(sm.describe_first_n(x.lexicon, "entry", "norm", 100))
 
 
 @query("embedding_shift", _DESCRIBE.format(key="which, ", tail=" GROUP BY which", src=f"""
 SELECT unnest([a, b, b - a]) AS x, unnest(['table', 'context', 'shift']) AS which
-FROM (SELECT {_NORM.format('e.v')} AS a, {_NORM.format('d.v')} AS b FROM vectors e JOIN def_vectors d USING (token_id))"""))
+FROM (SELECT {_NORM.format('e.v')} AS a, {_NORM.format('d.v')} AS b FROM head_vectors e JOIN def_vectors d USING (token_id))"""))
 def _(x):
-    return _described(se.embedding_shift(x.vectors, x.def_vectors))
+    return _described(se.embedding_shift(x.head_vectors, x.def_vectors))
 
 
 @query("norm_histogram", """
@@ -310,32 +309,31 @@ def _(x):
 @query("recall_report", f"""
 SELECT r.word, r.method, r.hits, r.distances, l.definition
 FROM (SELECT word, method, list(hit ORDER BY rank) AS hits, list(distance ORDER BY rank) AS distances FROM ({_HITS}) GROUP BY ALL) r
-JOIN lexicon l USING (word)""")
+JOIN (SELECT word, arg_max(definition, entry) AS definition FROM lexicon GROUP BY word) l USING (word)""")
 def _(x):
-    return rc.recall_report(x.lexicon_queries, x.lexicon, x.vocab, x.vectors, x.lexicon)
+    last = last_wins(x.lexicon.select("word", "definition", "entry"), "word", F.col("entry"))
+    return rc.recall_report(x.lexicon_queries, x.lexicon, x.vocab, x.vectors, last)
 
 
 @query("attach_definition", """
-SELECT v.word, v.token_id, d.definition FROM vocab v
-LEFT JOIN (SELECT word, string_agg(definition, ' ' ORDER BY definition) AS definition FROM dictionary GROUP BY word) d USING (word)""")
+SELECT v.word, v.token_id, d.doc_id AS place, d.definition FROM vocab v LEFT JOIN dictionary d USING (word)""")
 def _(x):
-    return rc.attach_definition(x.vocab.select("word", "token_id"), x.dictionary).select("word", "token_id", "definition")
+    return rc.attach_definition(x.vocab.select("word", "token_id"), x.dictionary).select("word", "token_id", "place", "definition")
 
 
 _PATCHED = f"""
 SELECT e.token_id, coalesce(d.v, e.v) AS v
-FROM vectors e LEFT JOIN (SELECT d.token_id, d.v FROM def_vectors d JOIN lexicon l USING (token_id) WHERE l.norm > {LO} AND l.norm < {HI}) d
-USING (token_id)"""
+FROM vectors e LEFT JOIN band_sheet d USING (token_id)"""
 
 
 def _patched(x):
-    return pl.patch_band_vectors(x.vectors, vector_sheet(x.def_vectors, x.vocab), x.lexicon, LO, HI)
+    return pl.patch_band_vectors(x.vectors, x.sheet, x.lexicon, LO, HI)
 
 
 @query("stage_compare", f"""
 SELECT a.word, 'cosine' AS method, r1.rank, b1.word AS hit_1, b2.word AS hit_2
 FROM ({nearest_sql(OWN_Q, VECS, 'cosine', 2, 11)}) r1
-JOIN ({nearest_sql(f"SELECT l.token_id AS query_id, e.v FROM lexicon l JOIN ({_PATCHED}) e USING (token_id)", _PATCHED, 'cosine', 2, 11)}) r2 USING (query_id, rank)
+JOIN ({nearest_sql(f"SELECT l.token_id AS query_id, e.v FROM (SELECT DISTINCT token_id FROM lexicon) l JOIN ({_PATCHED}) e USING (token_id)", _PATCHED, 'cosine', 2, 11)}) r2 USING (query_id, rank)
 JOIN vocab a ON a.token_id = r1.query_id JOIN vocab b1 ON b1.token_id = r1.hit_id JOIN vocab b2 ON b2.token_id = r2.hit_id""")
 def _(x):
     def hits(vectors):
@@ -410,12 +408,12 @@ def _(x):
     return rk.shortest_norms(x.vectors, x.vocab).withColumn("norm", F.round("norm", 6))
 
 
-@query("common_words_by_norm", "SELECT word, norm FROM lexicon WHERE word IN (SELECT word FROM vocab) ORDER BY norm, word LIMIT 20")
+@query("common_words_by_norm", "SELECT DISTINCT word, norm FROM lexicon WHERE word IN (SELECT word FROM vocab) ORDER BY norm, word LIMIT 20")
 def _(x):
     return rk.common_words_by_norm(x.lexicon, x.vocab)
 
 
-@query("common_words_by_norm_last", "SELECT word, norm FROM lexicon WHERE word IN (SELECT word FROM vocab) ORDER BY norm DESC, word LIMIT 20")
+@query("common_words_by_norm_last", "SELECT DISTINCT word, norm FROM lexicon WHERE word IN (SELECT word FROM vocab) ORDER BY norm DESC, word LIMIT 20")
 def _(x):
     return rk.common_words_by_norm(x.lexicon, x.vocab, end="last")
 
@@ -427,7 +425,7 @@ def _(x):
 
 
 _THIRDS = """
-SELECT word, norm, CAST(least(floor((row_number() OVER (ORDER BY norm, token_id) - 1) / greatest(1, (SELECT count(*) // 3 FROM lexicon))), 2) AS BIGINT) AS third
+SELECT word, norm, CAST(least(floor((row_number() OVER (ORDER BY norm, word) - 1) / greatest(1, (SELECT count(*) // 3 FROM lexicon))), 2) AS BIGINT) AS third
 FROM lexicon"""
 
 
@@ -447,21 +445,22 @@ def _(x):
 
 
 @query("record_holders", r"""
-SELECT word, n AS n_words FROM (SELECT word, n, max(n) OVER (ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
-  FROM (SELECT word, token_id, CAST(len(regexp_extract_all(definition, '\S+')) AS BIGINT) AS n FROM lexicon))
+SELECT word, n AS n_words FROM (SELECT word, n, max(n) OVER (ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+  FROM (SELECT word, entry, CAST(len(regexp_extract_all(definition, '\S+')) AS BIGINT) AS n FROM lexicon))
 WHERE best IS NULL OR n > best""")
 def _(x):
-    return record_holders(x.lexicon)
+    return record_holders(x.lexicon, "entry")
 
 
 # --- reconstruction --------------------------------------------------------
 
 def _training(x):
-    return rec.training_pairs(x.def_vectors, x.vectors, x.lexicon, LO, HI)
+    entries = x.lexicon.select(F.col("entry").alias("token_id"), "norm")
+    return rec.training_pairs(x.def_vectors, x.head_vectors, entries, LO, HI)
 
 
 @query("gram_sums", f"""
-WITH p AS (SELECT d.v AS x, e.v AS y FROM def_vectors d JOIN vectors e USING (token_id) JOIN lexicon l USING (token_id)
+WITH p AS (SELECT d.v AS x, e.v AS y FROM def_vectors d JOIN head_vectors e USING (token_id) JOIN lexicon l ON l.entry = d.token_id
            WHERE l.norm > {LO} AND l.norm < {HI}),
 xi AS (SELECT x, y, unnest(x) AS a, unnest(range(len(x))) AS i FROM p),
 xx AS (SELECT i, a, unnest(x) AS b, unnest(range(len(x))) AS j FROM xi),
@@ -484,6 +483,6 @@ def _(x):
 
 @query("grid_select")
 def _(x):
-    pairs = rec.training_pairs(x.def_vectors, x.vectors)
+    pairs = rec.training_pairs(x.def_vectors, x.head_vectors)
     holdout = F.pmod(F.xxhash64("token_id"), F.lit(5)) == 0
     return rec.grid_select(pairs, [1e-1, 1e-2, 1e-3, 1e-4, 1e-5], holdout)

@@ -53,7 +53,7 @@ RELATIONS = {
     "vocab": rf"""
 SELECT w AS word, CAST(row_number() OVER (ORDER BY c DESC, w) - 1 AS BIGINT) AS token_id, c AS freq
 FROM (SELECT w, count(*) AS c
-      FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents WHERE lang = 'en')
+      FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents)
       GROUP BY w)
 QUALIFY row_number() OVER (ORDER BY c DESC, w) <= (SELECT count(*) FROM embeddings)""",
     "vectors": """
@@ -66,21 +66,25 @@ WHERE len(tokens) > 0""",
     "def_tokens": """
 SELECT token_id, CAST(i - 1 AS BIGINT) AS pos, tok
 FROM (SELECT token_id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM definitions)""",
-    "lexicon": """
-SELECT o.word, o.token_id, array_to_string(d.tokens, ' ') AS definition,
-       round(sqrt(list_sum(list_transform(e.v, lambda x: x * x))), 6) AS norm
-FROM vocab o JOIN vectors e USING (token_id) JOIN definitions d USING (token_id)""",
     "dictionary": """
 SELECT token_id AS doc_id, tokens[1] AS word, array_to_string(tokens[2:], ' ') AS definition
 FROM definitions WHERE len(tokens) > 1""",
+    "lexicon": """
+SELECT d.doc_id AS entry, d.word, o.token_id, d.definition,
+       round(sqrt(list_sum(list_transform(e.v, lambda x: x * x))), 6) AS norm
+FROM dictionary d JOIN vocab o USING (word) JOIN vectors e USING (token_id)""",
+    "head_vectors": "SELECT l.entry AS token_id, e.v FROM lexicon l JOIN vectors e ON e.token_id = l.token_id",
     "def_vectors": pooled_sql(
         "SELECT t.token_id, o.token_id AS id, count(*) AS n FROM def_tokens t JOIN vocab o ON o.word = t.tok GROUP BY ALL",
         "token_id",
     ),
+    "band_sheet": """
+SELECT l.token_id, arg_max(d.v, l.entry) AS v FROM lexicon l JOIN def_vectors d ON d.token_id = l.entry
+WHERE l.norm > 1.1 AND l.norm < 1.6 GROUP BY l.token_id""",
     "char_vocab": r"""
 SELECT ch, n FROM (
   SELECT ch, count(*) AS n, sum(count(*)) OVER () AS total
-  FROM (SELECT unnest(regexp_extract_all(lower(text), '\S')) AS ch FROM documents WHERE lang = 'en') GROUP BY ch)
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '\S')) AS ch FROM documents) GROUP BY ch)
 WHERE n * 10000 >= total""",
     "char_ids": "SELECT ch, CAST(row_number() OVER (ORDER BY n DESC, ch) - 1 AS BIGINT) AS char_id FROM char_vocab",
     "issues": """

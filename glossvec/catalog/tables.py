@@ -66,7 +66,7 @@ def _(x):
 
 @query("norm_band_filter", f"SELECT word, token_id, definition, norm FROM lexicon WHERE norm > {LO} AND norm < {HI}")
 def _(x):
-    return flt.norm_band_filter(x.lexicon, LO, HI)
+    return flt.norm_band_filter(x.lexicon, LO, HI).drop("entry")
 
 
 @query("norm_quartile_bands", """
@@ -97,24 +97,24 @@ SELECT word, token_id, definition, norm FROM lexicon l
 WHERE EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(l.definition, '\S+')) AS w) d
               JOIN lexicon b ON b.word = d.w WHERE b.norm > 1.3 AND b.norm < 1.4)""")
 def _(x):
-    return flt.definition_contains_band_word(x.lexicon, 1.3, 1.4).select("word", "token_id", "definition", "norm")
+    return flt.definition_contains_band_word(x.lexicon, 1.3, 1.4, "entry").select("word", "token_id", "definition", "norm")
 
 
 @query("band_word_positions", f"""
-SELECT l.word, coalesce(list(d.pos + 1 ORDER BY d.pos) FILTER (WHERE b.word IS NOT NULL), []::BIGINT[]) AS positions
-FROM lexicon l JOIN def_tokens d USING (token_id)
-LEFT JOIN (SELECT word FROM lexicon WHERE norm > {LO} AND norm < {HI}) b ON b.word = d.tok
-GROUP BY l.token_id, l.word""")
+SELECT l.entry, l.word, coalesce(list(d.pos ORDER BY d.pos) FILTER (WHERE b.word IS NOT NULL), []::BIGINT[]) AS positions
+FROM lexicon l JOIN def_tokens d ON d.token_id = l.entry AND d.pos > 0
+LEFT JOIN (SELECT DISTINCT word FROM lexicon WHERE norm > {LO} AND norm < {HI}) b ON b.word = d.tok
+GROUP BY l.entry, l.word""")
 def _(x):
-    return flt.band_word_positions(x.lexicon, LO, HI)
+    return flt.band_word_positions(x.lexicon, LO, HI, key="entry")
 
 
 @query("char_coverage_filter", r"""
 SELECT word, token_id, definition, norm FROM lexicon
-WHERE token_id NOT IN (SELECT token_id FROM (SELECT token_id, unnest(list_distinct(regexp_extract_all(word || definition, '\S'))) AS c FROM lexicon)
+WHERE entry NOT IN (SELECT entry FROM (SELECT entry, unnest(list_distinct(regexp_extract_all(word || definition, '\S'))) AS c FROM lexicon)
                        WHERE c NOT IN (SELECT ch FROM char_vocab))""")
 def _(x):
-    return flt.char_coverage_filter(x.lexicon, x.char_vocab, ["word", "definition"])
+    return flt.char_coverage_filter(x.lexicon, x.char_vocab, ["word", "definition"]).drop("entry")
 
 
 @query("clean_word_filter", r"""
@@ -155,9 +155,9 @@ def _(x):
 
 
 @query("row_range", """
-SELECT word, token_id, norm FROM (SELECT *, row_number() OVER (ORDER BY token_id) - 1 AS n FROM lexicon) WHERE n >= 50 AND n < 150""")
+SELECT word, entry, norm FROM (SELECT *, row_number() OVER (ORDER BY entry) - 1 AS n FROM lexicon) WHERE n >= 50 AND n < 150""")
 def _(x):
-    return flt.row_range(x.lexicon.select("word", "token_id", "norm"), "token_id", 50, 150)
+    return flt.row_range(x.lexicon.select("word", "entry", "norm"), "entry", 50, 150)
 
 
 @query("with_length", "SELECT doc_id, CAST(length(definition) AS BIGINT) AS length FROM dictionary")
@@ -215,7 +215,7 @@ def _(x):
 
 @query("definition_band_words", f"""
 SELECT DISTINCT word FROM lexicon
-WHERE norm > {LO} AND norm < {HI} AND word IN (SELECT d.tok FROM def_tokens d JOIN lexicon l USING (token_id))""")
+WHERE norm > {LO} AND norm < {HI} AND word IN (SELECT d.tok FROM def_tokens d JOIN lexicon l ON l.entry = d.token_id AND d.pos > 0)""")
 def _(x):
     return flt.definition_band_words(x.lexicon, LO, HI)
 
@@ -244,10 +244,10 @@ def _(x):
 
 @query("compare_tables", """
 SELECT a.word, a.doc_id AS doc_id_1, a.definition AS definition, b.token_id, b.norm
-FROM dictionary a JOIN (SELECT word, token_id, norm, token_id AS doc_id FROM lexicon) b USING (word)""")
+FROM dictionary a JOIN (SELECT DISTINCT word, token_id, norm FROM lexicon) b USING (word)""")
 def _(x):
     a = x.dictionary
-    b = x.lexicon.select("word", "token_id", "norm", F.col("token_id").alias("doc_id"))
+    b = x.lexicon.select("word", "token_id", "norm", F.col("token_id").alias("doc_id")).distinct()
     return shp.compare_tables(a, b, "word").drop("doc_id_2")
 
 

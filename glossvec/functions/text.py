@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,15 +72,10 @@ def hyphen_to_space(t) -> Column:
     return F.translate(_col(t), "-", " ")
 
 
-@pandas_udf(T.StringType())
-def _strip_accents(t: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _strip_accents(t: pa.Array) -> pa.Array:
     # NFD, then drop the combining marks; Spark has no built-in normaliser.
-    def one(s):
-        if s is None or s.isascii():
-            return s
-        return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
-
-    return t.map(one)
+    return pc.replace_substring_regex(pc.utf8_normalize(t.cast(pa.string()), form="NFD"), r"\p{Mn}+", "")
 
 
 def normalise_text(t) -> Column:

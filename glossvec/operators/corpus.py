@@ -16,10 +16,9 @@ from glossvec.plans.ordering import global_rank, running_total
 
 
 def corpus_batches(documents: DataFrame, size: int = 1000, key: str = "doc_id") -> DataFrame:
-    """Consecutive batches in key order: batch_id, key, text."""
-    ranked = global_rank(documents.select(key), F.col(key), [F.col(key)], "__at")
-    batch = F.floor(F.col("__at") / size).cast("bigint").alias("batch_id")
-    return documents.select(key, "text").join(ranked, key).select(batch, key, "text")
+    """Consecutive batches in key order, null keys first: batch_id, key, text."""
+    ranked = global_rank(documents.select(key, "text"), F.col(key), [F.xxhash64("text")], "__at")
+    return ranked.select(F.floor(F.col("__at") / size).cast("bigint").alias("batch_id"), key, "text")
 
 
 def group_texts(
@@ -138,8 +137,7 @@ def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def _place(df: DataFrame, key: str, seed: int, out: str, rows_per_bucket: int | None = None) -> DataFrame:
     keyed = df.withColumn("__h", order_key(seed, key))
-    lead = F.conv(F.substring("__h", 1, 8), 16, 10)
-    return global_rank(keyed, lead, [F.col("__h"), F.col(key)], out, rows_per_bucket).drop("__h")
+    return global_rank(keyed, F.col("__h"), [F.col(key)], out, rows_per_bucket).drop("__h")
 
 
 def train_test_split(

@@ -53,7 +53,7 @@ def definition_contains_band_word(lexicon: DataFrame, lo: float, hi: float, key:
 def band_word_positions(
     lexicon: DataFrame, lo: float, hi: float, offset: int = 1, key: str = "token_id"
 ) -> DataFrame:
-    """0-based positions of band words in the encoded definition, whose first token shifts them by `offset`."""
+    """0-based positions of band words in the encoded definition, whose first token shifts them by `offset`: key, word, positions."""
     band = band_words(lexicon, lo, hi).withColumn("hit", F.lit(True))
     rows = lexicon.select(key, F.col("word").alias("head"), F.posexplode_outer(words("definition")).alias("p", "word"))
     at = F.when(F.col("hit"), F.col("p").cast("bigint") + offset)
@@ -61,7 +61,7 @@ def band_word_positions(
         lookup_join(rows, band, "word", "left")
         .groupBy(key, F.col("head").alias("word"))
         .agg(F.array_sort(F.collect_list(at)).alias("positions"))
-        .select("word", "positions")
+        .select(key, "word", "positions")
     )
 
 
@@ -73,7 +73,9 @@ def definition_band_words(lexicon: DataFrame, lo: float, hi: float) -> DataFrame
 
 def _covered(char_vocab: DataFrame, cols: list[str], check_space: bool) -> Column:
     # One row per character at most, so the list is bounded by Unicode itself.
-    known = "".join(r["ch"] for r in char_vocab.select("ch").distinct().collect())
+    # Longer entries of a vocabulary say nothing about single characters.
+    single = char_vocab.select("ch").where(F.char_length("ch") == 1).distinct()
+    known = "".join(r["ch"] for r in single.collect())
     if not check_space:
         known += " \t\n\r\f\v"
     left = [F.translate(c, known, "") == "" for c in cols]

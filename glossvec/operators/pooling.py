@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossvec.functions.vectors import l2_norm
 from glossvec.plans.joins import fits_broadcast, lookup_join
-from glossvec.plans.lookups import as_list, list_parts
+from glossvec.plans.lookups import as_list, first_by_word, list_parts, unique_words
 
 
 def gather_vectors(ids: DataFrame, vectors: DataFrame, on: str = "token_id") -> DataFrame:
@@ -34,20 +34,22 @@ def definition_vectors(
 
     `definitions` holds one row per unique key with its `tokens` array. While
     vocabulary and matrix fit the broadcast limit nothing is shuffled. Beyond
-    it the words are counted per definition, joined and averaged. Definitions
+    it the words are counted per definition, joined and averaged. A repeated
+    word has its lowest id; that id needs a vector to count. Definitions
     without a known word give no row.
     """
     if fits_broadcast(vocab.select("word", "token_id"), limit) and fits_broadcast(vectors, limit):
         return _pooled_in_place(definitions, vocab, vectors, key)
     rows = definitions.select(key, F.explode("tokens").alias("tok"))
-    names = vocab.select(F.col("word").alias("tok"), F.col("token_id").alias("id"))
+    names = unique_words(vocab).select(F.col("word").alias("tok"), F.col("token_id").alias("id"))
     counted = lookup_join(rows, names, "tok", limit=limit).groupBy(key, "id").agg(F.count("*").alias("n"))
     side = vectors.select(F.col("token_id").alias("id"), "v")
     return mean_vector(lookup_join(counted, side, "id", limit=limit), key, weight="n")
 
 
 def _pooled_in_place(definitions: DataFrame, vocab: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    table = vocab.select("word", "token_id").join(vectors.select("token_id", "v"), "token_id").toArrow()
+    table = vocab.select("word", "token_id").join(vectors.select("token_id", "v"), "token_id", "left").toArrow().sort_by("token_id")
+    table = first_by_word(table)
     words = table.column("word").combine_chunks().cast(pa.string())
     values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     matrix = values.reshape(len(words), -1) if len(words) else np.zeros((0, 1))
@@ -175,7 +177,7 @@ def patch_band_vectors(
     vectors: DataFrame, sheet: DataFrame, lexicon: DataFrame, lo: float, hi: float
 ) -> DataFrame:
     """Replace the vectors of band words by the sheet's; all others stay."""
-    band = lexicon.where((F.col("norm") > lo) & (F.col("norm") < hi)).select("token_id", "word")
+    band = lexicon.where((F.col("norm") > lo) & (F.col("norm") < hi)).select("token_id", "word").distinct()
     new = band.join(sheet.select("word", F.col("v").alias("v_new")), "word").select("token_id", "v_new")
     return vectors.join(new, "token_id", "left").select("token_id", F.coalesce("v_new", "v").alias("v"))
 

@@ -9,7 +9,6 @@ from glossvec.functions.hashing import draw, order_key
 from glossvec.functions.vectors import l2_norm
 from glossvec.operators.pooling import norms
 from glossvec.operators.vocabulary import vocab_dictionary_overlap
-from glossvec.plans.joins import lookup_join
 from glossvec.plans.ordering import global_rank
 
 
@@ -28,7 +27,7 @@ def shortest_norms(vectors: DataFrame, vocab: DataFrame, k: int = 20) -> DataFra
 
 def common_words_by_norm(lexicon: DataFrame, vocab: DataFrame, k: int = 20, end: str = "first") -> DataFrame:
     """Words of both dictionary and vocabulary, the k of lowest (`first`) or highest (`last`) norm."""
-    common = vocab_dictionary_overlap(lexicon, vocab).select("word", "norm")
+    common = vocab_dictionary_overlap(lexicon, vocab).select("word", "norm").distinct()
     order = F.asc("norm") if end == "first" else F.desc("norm")
     return common.orderBy(order, "word").limit(k)
 
@@ -43,7 +42,7 @@ def sort_token_ids(seq: DataFrame, first: int = 5, last: int = 3, key: str = "do
 def norm_rank_thirds(lexicon: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """Rank by norm, cut into three runs of floor(n/3); the remainder goes to the last."""
     size = max(1, lexicon.count() // 3)
-    ranked = global_rank(lexicon, F.col("norm"), [F.col("token_id")], "__at", rows_per_bucket)
+    ranked = global_rank(lexicon, F.col("norm"), [F.col("word")], "__at", rows_per_bucket)
     third = F.least(F.floor(F.col("__at") / size), F.lit(2)).cast("bigint")
     return ranked.select("word", "norm", third.alias("third"))
 
@@ -67,9 +66,11 @@ def sample_per_group(
     picked = draws.select(group, "draw", draw(order_key(seed, group, "draw"), F.col("n"), 1).alias("__at"))
     keyed = df.select(group, col, F.substring(order_key(seed, col), 1, 8).alias("h"))
     ranked = global_rank(
-        keyed, F.conv("h", 16, 10), [F.col("h"), F.col(col)], "__at", rows_per_bucket, within=[group]
+        keyed, F.col("h"), [F.col(col)], "__at", rows_per_bucket, within=[group]
     )
-    return lookup_join(ranked, picked, [group, "__at"]).select(group, "draw", col)
+    # A place is one row of its group, so no key is large; a null group is one like others.
+    wanted = picked.select(F.col(group).alias("__g"), "draw", F.col("__at").alias("__p"))
+    return ranked.join(wanted, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__at") == F.col("__p"))).select(group, "draw", col)
 
 
 def norm_compare(v1: DataFrame, v2: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossvec.plans.joins import lookup_join
+
 
 def column_symmetric_difference(df: DataFrame, keep: list[str]) -> list[str]:
     """Columns in exactly one of the schema and the keep-list, in schema order."""
@@ -66,8 +68,8 @@ def read_named_split(df: DataFrame, split: str) -> DataFrame:
 
 
 def compare_tables(a: DataFrame, b: DataFrame, on: str, suffixes: tuple[str, str] = ("_1", "_2")) -> DataFrame:
-    """Inner merge; shared columns get the suffixes, duplicate keys multiply."""
+    """Inner merge; shared columns get the suffixes, duplicate keys multiply. `b` is the side that is broadcast or copied."""
     shared = [c for c in a.columns if c in b.columns and c != on]
     left = a.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = b.withColumnsRenamed({c: c + suffixes[1] for c in shared})
-    return left.join(right, on)
+    return lookup_join(left, right, on)

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossvec.operators.vocabulary import token_rows
-from glossvec.plans.ordering import exact_quantiles
+from glossvec.plans.joins import lookup_join
+from glossvec.plans.ordering import ROWS_PER_BUCKET, exact_quantiles
+
 
+def describe_column(df: DataFrame, col: str, rows_per_bucket: int | None = None, rows: int | None = None) -> DataFrame:
+    """count, mean, sample std, min, exact quartiles, max.
 
-def describe_column(df: DataFrame, col: str, rows_per_bucket: int | None = None) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max."""
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], rows_per_bucket)
+    `rows` is a bound of the rows if one is known; up to the bucket size all
+    figures then come from one pass.
+    """
     x = F.col(col)
+    if rows is not None and rows <= (rows_per_bucket or ROWS_PER_BUCKET):
+        at = F.percentile(x.cast("double"), F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+        q = [at[i] for i in range(3)]
+    else:
+        q = [F.lit(v) for v in exact_quantiles(df, col, [0.25, 0.5, 0.75], rows_per_bucket)]
     return df.agg(
         F.count(x).alias("count"),
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"),
         F.min(x).cast("double").alias("min"),
-        *[F.lit(v).cast("double").alias(n) for v, n in zip(q, ("p25", "p50", "p75"))],
+        *[v.cast("double").alias(n) for v, n in zip(q, ("p25", "p50", "p75"))],
         F.max(x).cast("double").alias("max"),
     )
 
 
 def describe_first_n(df: DataFrame, order: str, col: str, n: int = 100) -> DataFrame:
-    """Description of the first `n` rows of an ordering."""
-    return describe_column(df.orderBy(order).limit(n).select(col), col)
+    """Description of the first `n` rows of an ordering, ties by the described value."""
+    return describe_column(df.orderBy(order, col).limit(n).select(col), col, rows=n)
 
 
 def norm_histogram(lexicon: DataFrame, col: str = "norm", bins: int = 10) -> DataFrame:
@@ -86,7 +93,8 @@ def unigram_counts(documents: DataFrame, by: str) -> DataFrame:
     totals = counts.groupBy("w").agg(F.sum("n").alias("nw"))
     total = counts.agg(F.sum("n")).scalar()
     losses = totals.withColumn("loss", -F.log(F.col("nw") / total)).select("w", "loss")
-    return counts.join(losses, "w")
+    # A frequent word has a row in nearly every group.
+    return lookup_join(counts, losses, "w")
 
 
 def corpus_perplexity(documents: DataFrame, by: str) -> DataFrame:
@@ -94,6 +102,3 @@ def corpus_perplexity(documents: DataFrame, by: str) -> DataFrame:
     mean = F.sum(F.col("n") * F.col("loss")) / F.sum("n")
     return unigram_counts(documents, by).groupBy(by).agg(F.exp(mean).alias("ppl"))
 
-
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), dfs)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossvec.constants import CLS_ID, CONTINUATION, PAD_ID, SEP_ID, SPACE_MARK, UNK_ID
 from glossvec.functions.text import PUNCT_ONE, PUNCT_RUN, WORD_RUN
-from glossvec.plans.lookups import with_token_ids
+from glossvec.plans.lookups import list_parts, with_token_ids
 from glossvec.plans.ordering import global_rank
 
 # Token patterns by mode: word or punctuation runs; every mark alone; runs with their leading space.
@@ -29,25 +32,52 @@ def pretokenise(documents: DataFrame, mode: str = "punct", key: str = "doc_id",
     """Pre-tokens with 0-based position and character span: key, pos, tok, start, end.
 
     The pattern also matches the whitespace between tokens, so offsets are
-    running lengths. Documents are spread by key before they are exploded:
-    the text moves once and the window needs no further exchange.
+    running lengths inside one array: they are summed where the text lies, and
+    nothing is shuffled.
     """
     gaps = TOKEN_PATTERNS[mode] if mode == "space" else TOKEN_PATTERNS[mode] + r"|\s+"
-    pieces = F.regexp_extract_all(F.col(text), F.lit(gaps), F.lit(0))
-    rows = documents.select(key, text).repartition(key).select(key, F.posexplode(pieces).alias("at", "piece"))
-    so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_token = F.lit(True) if mode == "space" else ~F.col("piece").rlike(r"^\s+$")
-    placed = rows.select(
-        key,
-        "piece",
-        is_token.alias("is_token"),
-        F.sum(F.char_length("piece")).over(so_far).cast("bigint").alias("end"),
-        (F.sum(is_token.cast("int")).over(so_far) - 1).cast("bigint").alias("pos"),
-    )
-    shown = F.translate("piece", " ", SPACE_MARK) if mode == "space" else F.col("piece")
-    return placed.where("is_token").select(
-        key, "pos", shown.alias("tok"), (F.col("end") - F.char_length("piece")).alias("start"), "end"
-    )
+    pieces = F.regexp_extract_all(F.col(text), F.lit(gaps), F.lit(0)).alias("pieces")
+    kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(key, pieces).mapInArrow(_offsets(mode == "space"), f"`{key}` {kind}, pos bigint, tok string, start bigint, end bigint")
+    return rows.withColumn("tok", F.translate("tok", " ", SPACE_MARK)) if mode == "space" else rows
+
+
+# Pieces that are laid out at a time: rows of a batch expand to one per token.
+PIECES_AT_A_TIME = 1 << 18
+
+
+def _offsets(keep_gaps: bool):
+    def run(batches):
+        for batch in batches:
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
+            for lo, hi in _slices(lengths, PIECES_AT_A_TIME):
+                part = batch.slice(lo, hi - lo)
+                values, n = list_parts(part.column(1))
+                size = np.asarray(pc.utf8_length(values)).astype(np.int64)
+                real = np.ones(len(values), bool) if keep_gaps else ~np.asarray(pc.match_substring_regex(values, "^[ \t\n\x0b\x0c\r]+$"))
+                owner = np.repeat(np.arange(len(n)), n)
+                first = np.repeat(np.cumsum(n) - n, n)
+                ends, seen = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(real)])
+                at = np.flatnonzero(real)
+                take = pa.array(at)
+                columns = [seen[at] - seen[first[at]], values.take(take), ends[at] - ends[first[at]], ends[at + 1] - ends[first[at]]]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(owner[at])), *[c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns]],
+                    [batch.schema.names[0], "pos", "tok", "start", "end"])
+
+    return run
+
+
+def _slices(lengths: np.ndarray, most: int):
+    """Consecutive rows of about `most` items together, one row at least."""
+    lo, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > lo and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(lengths):
+        yield lo, len(lengths)
 
 
 def token_offsets(documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from glossvec.constants import UNK_ID
 from glossvec.functions.text import chars, word_runs
-from glossvec.plans.joins import lookup_join
+from glossvec.plans.joins import fits_broadcast, lookup_join
+from glossvec.plans.lookups import words_of
 
 
 def token_rows(documents: DataFrame, tokens: Column | None = None, key: str = "doc_id") -> DataFrame:
@@ -42,8 +43,8 @@ def alphabet(documents: DataFrame, tokens: Column | None = None) -> DataFrame:
     return documents.select(F.explode(per_row).alias("ch")).distinct().orderBy("ch")
 
 
-def char_vocabulary(documents: DataFrame, share: float = 1e-4) -> DataFrame:
-    """Visible characters holding at least `share` of the text."""
+def char_vocabulary(documents: DataFrame, share: float = 0.0) -> DataFrame:
+    """Visible characters holding at least `share` of the text; all of them by default."""
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"\S"), F.lit(0))
     counts = documents.select(F.explode(found).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
@@ -59,11 +60,17 @@ def token_to_id(tokens: DataFrame, vocab: DataFrame, unk: int | None = UNK_ID) -
     return found.withColumn("id", F.coalesce("id", F.lit(unk).cast("bigint")))
 
 
-def id_to_token(seq: DataFrame, vocab: DataFrame, key: str = "key", ids: str = "ids") -> DataFrame:
-    """Array of ids to the array of words, order kept; unknown ids give `[UNK]`."""
+def id_to_token(seq: DataFrame, vocab: DataFrame, key: str = "key", ids: str = "ids", limit: int | None = None) -> DataFrame:
+    """Array of ids to the array of words, order kept; unknown ids give `[UNK]`.
+
+    A vocabulary under the size limit travels to the tasks and nothing is
+    shuffled; beyond it ids are exploded, joined and put back by `key`.
+    """
+    if fits_broadcast(vocab.select("word", "token_id"), limit):
+        return seq.select(key, words_of(F.col(ids), vocab).alias("tokens"))
     names = vocab.select(F.col("token_id").alias("id"), F.col("word"))
     rows = seq.select(key, F.posexplode_outer(ids).alias("pos", "id"))
-    found = lookup_join(rows, names, "id", "left")
+    found = lookup_join(rows, names, "id", "left", limit)
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("word", F.lit("[UNK]")).alias("w")))
     return found.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(item)), lambda z: z["w"]).alias("tokens")

@@ -25,12 +25,38 @@ def as_list(values: pa.Array, lengths: np.ndarray) -> pa.Array:
 
 
 def vocabulary_arrays(vocab: DataFrame) -> tuple[pa.Array, pa.Array]:
-    """Words and ids on the driver. Call only behind `fits_broadcast`."""
-    table = vocab.select("word", "token_id").toArrow()
+    """Words and ids on the driver, lowest id first. Call only behind `fits_broadcast`."""
+    table = vocab.select("word", "token_id").toArrow().sort_by("token_id")
     words = table.column("word").combine_chunks().cast(pa.string())
     return words, table.column("token_id").combine_chunks().cast(pa.int64())
 
 
+def first_by_word(table: pa.Table) -> pa.Table:
+    """The first row of every word of a sorted table, if it has a vector."""
+    words = table.column("word").combine_chunks()
+    first = pc.equal(pc.index_in(words, value_set=words), pa.array(np.arange(len(words)), pa.int32())) if len(words) else pa.array([], pa.bool_())
+    return table.filter(pc.and_(first, pc.is_valid(table.column("v").combine_chunks()))) if len(words) else table
+
+
+def unique_words(vocab: DataFrame) -> DataFrame:
+    """word, token_id: a repeated word has its lowest id, whatever the size of the vocabulary."""
+    return vocab.groupBy("word").agg(F.min("token_id").alias("token_id"))
+
+
+def words_of(ids: Column, vocab: DataFrame, unknown: str = "[UNK]") -> Column:
+    """Words of an array of ids, in the task. Call only behind `fits_broadcast`."""
+    shipped = vocab.sparkSession.sparkContext.broadcast(vocabulary_arrays(vocab))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def decode(col: pa.Array) -> pa.Array:
+        names, numbers = shipped.value
+        values, lengths = list_parts(col)
+        at = pc.index_in(values.cast(pa.int64()), value_set=numbers)
+        return as_list(pc.fill_null(pc.take(names, at), unknown), lengths)
+
+    return decode(ids)
+
+
 def with_token_ids(
     df: DataFrame,
     tokens: Column,
@@ -40,7 +66,7 @@ def with_token_ids(
     key: str = "doc_id",
     limit: int | None = None,
 ) -> DataFrame:
-    """Add `out`, the ids of an array of tokens in order, unknown tokens as `unk`.
+    """Add `out`, the ids of an array of tokens in order, unknown tokens as `unk`. A repeated word has its lowest id.
 
     Under the size limit the vocabulary travels to the tasks and no row is
     shuffled. Beyond it the tokens are exploded, joined and put back by `key`,
@@ -59,7 +85,7 @@ def with_token_ids(
             return as_list(pc.fill_null(pc.take(numbers, at), unk), lengths)
 
         return named.withColumn(out, encode("__toks")).drop("__toks")
-    names = vocab.select(F.col("word").alias("__tok"), F.col("token_id").alias("__id"))
+    names = unique_words(vocab).select(F.col("word").alias("__tok"), F.col("token_id").alias("__id"))
     rows = named.select(key, F.posexplode("__toks").alias("__pos", "__tok"))
     found = lookup_join(rows, names, "__tok", "left", limit)
     item = F.struct("__pos", F.coalesce("__id", F.lit(unk).cast("bigint")).alias("i"))

@@ -1,53 +1,62 @@
 """Running totals, ranks and exact quantiles over a whole table.
 
-A window without a partition key runs in one task. Here rows are cut into
-consecutive buckets of the ordering key, every bucket is summed, the few bucket
-sums are accumulated, and only then is a window run inside each bucket. The
-bucket of a row is a pure function of its key, so recomputing a lost task
-gives the same bucket.
+A window without a partition key runs in one task. Here rows are dealt into
+consecutive ranges of the whole order, ties included, so that one value that
+holds most rows is split like any other. The dealt rows are written once; every
+range is summed, the few sums are accumulated, and a window runs inside each
+range. Keys may be of any type that has an order; nulls come first, as in a sort.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossvec.session import ensure_checkpoint_dir
+
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 5_000
+# Ranges come from a sample; twice as many keep every range under its bound.
+SPARE = 2
+
 
+def with_order_bucket(df: DataFrame, order: list[Column], rows_per_bucket: int | None = None) -> tuple[DataFrame, int]:
+    """Add `__o0`, `__o1` ... (the order) and `__b`, a range number that rises with it; and the number of ranges.
 
-def with_order_bucket(df: DataFrame, key: Column, rows_per_bucket: int | None = None) -> tuple[DataFrame, int]:
-    """Add `__k` (the key as double) and `__b`, a bucket number that rises with the key; and the number of buckets."""
+    Beyond one range the rows are written to the checkpoint folder with their
+    range, so every later pass sees the same ranges.
+    """
     per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    keyed = df.withColumn("__k", key.cast("double"))
-    buckets = min(MAX_BUCKETS, math.ceil(keyed.count() / per_bucket))
-    if buckets <= 1:
-        return keyed.withColumn("__b", F.lit(0)), 1
-    error = min(0.01, 0.25 / buckets)
-    cuts = keyed.approxQuantile("__k", [i / buckets for i in range(1, buckets)], error)
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    if len(splits) == 2:
+    keyed = df.select("*", *[c.alias(f"__o{i}") for i, c in enumerate(order)])
+    rows = df.count()
+    if rows <= per_bucket:
         return keyed.withColumn("__b", F.lit(0)), 1
-    cut = Bucketizer(splits=splits, inputCol="__k", outputCol="__b", handleInvalid="keep")
-    return cut.transform(keyed).withColumn("__b", F.col("__b").cast("int")), len(splits) - 1
+    buckets = math.ceil(SPARE * rows / per_bucket)
+    dealt = keyed.repartitionByRange(buckets, *[f"__o{i}" for i in range(len(order))]).withColumn("__b", F.spark_partition_id())
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/order-{uuid.uuid4().hex}"
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path), buckets
 
 
 def _fold_before(df, key, ties, value, out, fold, combine, rows_per_bucket, within):
-    rows, buckets = with_order_bucket(df.withColumn("__x", value), key, rows_per_bucket)
-    inside = Window.partitionBy(*within, "__b").orderBy("__k", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    order = [key, *ties]
+    names = [f"__o{i}" for i in range(len(order))]
+    rows, buckets = with_order_bucket(df.withColumn("__x", value), order, rows_per_bucket)
+    inside = Window.partitionBy(*within, "__b").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     here = fold("__x").over(inside)
     if buckets == 1:  # the row count was checked: one window task is enough
-        return rows.withColumn(out, combine(F.lit(None), here)).drop("__b", "__k", "__x")
+        return rows.withColumn(out, combine(F.lit(None), here)).drop("__b", "__x", *names)
     earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*within, "__b").agg(fold("__x").alias("__t"))
-    before = totals.select(*within, "__b", fold("__t").over(earlier).alias("__before"))
-    if not within:
-        before = F.broadcast(before)  # MAX_BUCKETS rows at most
-    joined = rows.join(before, [*within, "__b"])
-    return joined.withColumn(out, combine(F.col("__before"), here)).drop("__b", "__k", "__x", "__before")
+    before = totals.select(*[F.col(w).alias(f"__w{i}") for i, w in enumerate(within)], F.col("__b").alias("__c"), fold("__t").over(earlier).alias("__before"))
+    meet = F.col("__b") == F.col("__c")
+    for i, w in enumerate(within):
+        meet = meet & F.col(w).eqNullSafe(F.col(f"__w{i}"))
+    joined = rows.join(before, meet)
+    drop = ["__b", "__c", "__x", "__before", *names, *[f"__w{i}" for i in range(len(within))]]
+    return joined.withColumn(out, combine(F.col("__before"), here)).drop(*drop)
 
 
 def running_total(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     A cluster names a shared folder in `spark.checkpoint.dir`. A machine-local
-    folder is made only where none is named and the session is a local one.
+    folder is made only where none is named and driver and tasks share one process.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -38,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="glossvec-checkpoint-")
     sc.setCheckpointDir(named)

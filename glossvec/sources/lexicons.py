@@ -70,30 +70,43 @@ def drop_index_column(df: DataFrame) -> DataFrame:
     return df.drop("_c0", "Unnamed: 0")
 
 
-def read_table_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None) -> DataFrame:
-    """A header CSV with given column types, all others text; the index column is removed."""
+def read_table_csv(
+    spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None, multi_line: bool = False
+) -> DataFrame:
+    """A header CSV with given column types, all others text; the index column is removed.
+
+    A file is split over tasks; `multi_line` reads cells with line breaks, one
+    task per file. A file whose header differs from the first one's fails the
+    read, rather than have its columns named by position.
+    """
     kinds = types or {}
     names = _header(spark, path)
     schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
-    read = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    read = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False).csv(path)
     return drop_index_column(read)
 
 
-def read_lexicon_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_lexicon_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Lexicon table in either revision of its column names: word, definition, token_id, norm (those present)."""
-    df = read_table_csv(spark, path, _STORED).withColumnsRenamed(LEXICON_NAMES)
+    df = read_table_csv(spark, path, _STORED, multi_line).withColumnsRenamed(LEXICON_NAMES)
     order = [c for c in ("word", "definition", "token_id", "norm") if c in df.columns]
     return df.select(*order, *[c for c in df.columns if c not in order])
 
 
 def parse_recall_lists(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Flattened lists such as `'a' 'b'`, `['x', 'y']` or `[]` back to arrays."""
-    return df.withColumns({c: F.regexp_extract_all(c, F.lit(r"'([^']*)'"), F.lit(1)) for c in cols})
+    """Flattened lists such as `'a' "b's"`, `['x', 'y']` or `[]` back to arrays; a backslash makes the next character plain."""
+    item = F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""")
+    return df.withColumns({c: F.transform(F.regexp_extract_all(c, item, F.lit(0)), _plain) for c in cols})
+
+
+def _plain(quoted: Column) -> Column:
+    inner = F.substr(quoted, F.lit(2), F.char_length(quoted) - 2)
+    return F.regexp_replace(inner, r"(?s)\\(.)", "$1")
 
 
 def _flat(col: str, kind: T.DataType) -> Column:
     if isinstance(kind, T.ArrayType):
-        texts = F.transform(F.col(col), lambda x: F.concat(F.lit("'"), x.cast("string"), F.lit("'")))
+        texts = F.transform(F.col(col), lambda x: F.concat(F.lit("'"), F.regexp_replace(x.cast("string"), r"(['\\\\])", r"\\$1"), F.lit("'")))
         return F.array_join(texts, " ").alias(col)
     return F.col(col)
 

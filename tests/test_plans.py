@@ -47,6 +47,22 @@ def test_rank_within_groups_of_any_size(spark, per_bucket):
     assert all(r["n"] == (r["x"] if r["g"] == "hot" else r["x"] - 80) for r in got)
 
 
+@pytest.mark.parametrize("key", ["nulls", "constant", "hot", "text"])
+def test_order_loses_no_row_and_no_range_is_large(spark, key):
+    keys = {
+        "nulls": F.when(F.col("id") % 3 > 0, F.col("id") % 50), "constant": F.lit(1), "hot": F.when(F.col("id") < 950, 7).otherwise(F.col("id")),
+        "text": F.when(F.col("id") % 11 > 0, F.concat(F.lit("d"), F.col("id").cast("string"))),
+    }
+    df = spark.range(1000).select("id", keys[key].alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 2).alias("g")).repartition(5)
+    for within in (None, ["g"]):
+        one = rows(ordering.global_rank(df, F.col("k"), [F.col("id")], "n", within=within))
+        assert rows(ordering.global_rank(df, F.col("k"), [F.col("id")], "n", 50, within=within)) == one and len(one) == 1000
+        best = rows(ordering.running_max(df, F.col("k"), [F.col("id")], F.col("id"), "m"))
+        assert rows(ordering.running_max(df, F.col("k"), [F.col("id")], F.col("id"), "m", 50)) == best
+    dealt, n = ordering.with_order_bucket(df, [F.col("k"), F.col("id")], 50)
+    assert n == 40 and dealt.groupBy("__b").count().agg(F.max("count")).first()[0] <= 100
+
+
 @pytest.mark.parametrize("per_bucket", [None, 8])
 def test_exact_quantiles(spark, per_bucket):
     values = [3.0] * 40 + [float(i) for i in range(37)]
