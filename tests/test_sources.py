@@ -128,3 +128,13 @@ def test_stored_datasets(spark, tmp_path):
     names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "token_id bigint, word string")
     co.write_vector_sheet(co.vector_sheet(predicted, names), str(tmp_path / "s"))
     assert rows(co.read_vector_sheet(spark, str(tmp_path / "s"))) == [("a", (3.0,)), ("b", (2.0,))]
+
+
+def test_lists_with_quotes_round_trip(spark, tmp_path):
+    items = ["don't", "x", "o'clock", 'say "hi"', "back\\slash", "it's \\'"]
+    df = spark.createDataFrame([("w", items), ("e", [])], "word string, hits array<string>")
+    target = lx.write_results_csv(df, str(tmp_path / "out"))
+    back = {r["word"]: r["hits"] for r in lx.parse_recall_lists(lx.read_table_csv(spark, target), ["hits"]).collect()}
+    assert back["w"] == items and not back["e"]
+    mixed = spark.createDataFrame([("""['a', "b's"]""",)], "hits string")
+    assert lx.parse_recall_lists(mixed, ["hits"]).first()["hits"] == ["a", "b's"]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from glossvec.operators import vocabulary as voc
 from glossvec.operators import corpus as cp
 from glossvec.operators import merges as mg
 from glossvec.operators import tokens as tk
@@ -209,3 +210,13 @@ def test_shuffle_split_sample_batches(spark, per_bucket):
     assert {r["doc_id"] for r in cp.sample_rows(df, "doc_id", 7).collect()} == set(order[:7])
     batches = cp.corpus_batches(df.withColumn("text", F.lit("x")), 20).groupBy("batch_id").count()
     assert rows(batches) == [(0, 20), (1, 20), (2, 10)]
+
+
+def test_tokens_need_no_exchange(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a, b\x0bc"), (2, None), (3, "  "), (4, "é-é")] , "doc_id bigint, text string")
+    monkeypatch.setattr(tk, "PIECES_AT_A_TIME", 2)
+    out = tk.pretokenise(docs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == [(1, 0, "a", 0, 1), (1, 1, ",", 1, 2), (1, 2, "b", 3, 4), (1, 3, "c", 5, 6), (4, 0, "é", 0, 1), (4, 1, "-", 1, 2), (4, 2, "é", 2, 3)]
+    back = voc.id_to_token(spark.createDataFrame([(1, [5, 9]), (2, [])], "key bigint, ids array<bigint>"), spark.createDataFrame([("x", 5)], "word string, token_id bigint"))
+    assert rows(back) == [(1, ("x", "[UNK]")), (2, ())]

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from glossvec.plans.lookups import with_token_ids
 from glossvec.operators import pooling as pl
 from glossvec.operators import recall as rc
 from glossvec.operators import reconstruction as rec
@@ -107,19 +108,45 @@ def test_patch_and_positions(spark, vectors, vocab):
 
 
 def test_reports(spark, vectors, vocab):
-    lexicon = spark.createDataFrame([("w1", "first"), ("w1", "also"), ("w2", "two")], "word string, definition string")
+    lexicon = spark.createDataFrame([("w1", "first"), ("w2", "two")], "word string, definition string")
     words = vocab.where("token_id IN (1, 2, 3)")
     q = vectors.where("token_id IN (1, 2, 3)").withColumnRenamed("token_id", "query_id")
     report = rc.recall_report(q, words, vocab, vectors, lexicon, 4)
     got = {(r["word"], r["method"]): r for r in report.collect()}
     assert len(got) == 9 and all(len(r["hits"]) == 4 == len(r["distances"]) for r in got.values())
     assert got["w1", "norm"]["hits"][0] == "w1" and got["w1", "cosine"]["hits"] == got["w1", "original"]["hits"]
-    assert got["w1", "norm"]["definition"] == "also first" and got["w3", "norm"]["definition"] is None
+    assert got["w1", "norm"]["definition"] == "first" and got["w3", "norm"]["definition"] is None
     hits = rc.recall_hits(q, words, vocab, vectors, 4)
     both = rc.stage_compare(hits, hits).collect()
     assert len(both) == 36 and all(r["hit_1"] == r["hit_2"] for r in both)
 
 
+def test_definitions_of_a_hot_word_stay_rows(spark):
+    lexicon = spark.range(200).select(F.when(F.col("id") < 150, "hot").otherwise(F.concat(F.lit("w"), "id")).alias("word"), F.col("id").alias("doc_id"), F.lit("d").alias("definition"))
+    words = spark.createDataFrame([("hot", 1), ("w160", 2), ("none", 3)], "word string, token_id bigint")
+    got = rc.attach_definition(words, lexicon).select("word", "token_id", "place", "definition").collect()
+    assert sum(r["word"] == "hot" for r in got) == 150 and sum(r["word"] == "w160" and r["place"] == 160 for r in got) == 1
+    assert [tuple(r) for r in got if r["word"] == "none"] == [("none", 3, None, None)] and len(got) == 152
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_nearest_examples_of_two_keys(spark, vectors, limit):
+    corpus = vectors.select((F.col("token_id") % 3).alias("a"), F.col("token_id").alias("b"), "v")
+    q = vectors.where("token_id IN (40, 3, 9)").withColumnRenamed("token_id", "query_id")
+    got = rc.nearest_examples(q, corpus, ["a", "b"], [], 3, limit=limit).collect()
+    assert {(r["query_id"], r["b"]) for r in got if r["rank"] == 1} == {(40, 40), (3, 3), (9, 9)} and len(got) == 9
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_a_repeated_word_has_its_lowest_id(spark, vectors, limit):
+    vocab = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "word string, token_id bigint")
+    docs = spark.createDataFrame([(7, ["a", "b", "x", "a"])], "token_id bigint, tokens array<string>")
+    ids = with_token_ids(docs, F.col("tokens"), vocab, key="token_id", limit=limit).first()["ids"]
+    assert ids == [1, 3, -1, 1]
+    mean = pl.definition_vectors(docs, vocab, vectors, limit).first()["v"]
+    assert mean == pytest.approx(list((2 * BASE[1] + BASE[3]) / 3))
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_nearest_examples(spark, vectors, limit):
     corpus = vectors.withColumn("note", F.concat(F.lit("n"), "token_id")).repartition(5)
