@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossvec.functions.text import normalise_text
 from glossvec.catalog.registry import query
 from glossvec.catalog.relations import PUNCT, WORD, pieces_sql
 from glossvec.catalog.tables import LABELS
@@ -98,7 +99,7 @@ def _bpe(x):
 
 def _wordpiece(x):
     def train():
-        letters = voc.alphabet(x.documents, tk.pretokens("text", "bert")).count()
+        letters = voc.alphabet(x.documents, tk.pretokens(normalise_text("text"), "bert")).count()
         # Two forms of every letter at most, then room for merges.
         return mg.train_wordpiece(x.documents, vocab_size=2 * letters + len(WORDPIECE_SPECIALS) + 40)
 

@@ -15,6 +15,7 @@ from glossvec.operators.tokens import pretokenise
 from glossvec.operators.vocabulary import build_vocabulary, char_vocabulary, token_rows, word_frequencies
 from glossvec.plans.joins import lookup_join, spread
 from glossvec.plans.lookups import with_token_ids
+from glossvec.session import stored_table
 from glossvec.sources.corpora import vector_sheet
 
 
@@ -52,6 +53,10 @@ class Inputs:
         v = F.transform("embedding", lambda x: x.cast("double") * scale)
         return self.embeddings.select(i.alias("token_id"), v.alias("v")).persist()
 
+    @cached_property
+    def width(self) -> int:
+        return self.vectors.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
+
     @cached_property
     def definitions(self) -> DataFrame:
         """Every document with a word, as a definition: token_id, tokens[]."""
@@ -92,7 +97,7 @@ class Inputs:
     @cached_property
     def def_vectors(self) -> DataFrame:
         """The mean vector of every definition, kept as a stored sheet would be: token_id, v."""
-        return definition_vectors(self.definitions, self.vocab, self.vectors).persist()
+        return stored_table(definition_vectors(self.definitions, self.vocab, self.vectors), "def_vectors")
 
     @cached_property
     def def_queries(self) -> DataFrame:
@@ -129,7 +134,7 @@ class Inputs:
     def sequences(self) -> DataFrame:
         """The tokenised dataset, unknown words as -1, kept as a stored one would be: doc_id, ids[]."""
         coded = with_token_ids(self.documents.select("doc_id", "text"), word_runs("text"), self.vocab, "ids", UNK_ID)
-        return coded.select("doc_id", "ids").persist()
+        return stored_table(coded.select("doc_id", "ids"), "sequences")
 
     @cached_property
     def token_seq(self) -> DataFrame:

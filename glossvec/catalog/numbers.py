@@ -127,9 +127,10 @@ def _(x):
 
 
 @query("first_token_pool", f"""
-SELECT s.doc_id, {R6.format('e.v')} AS v FROM token_seq s JOIN vectors e ON e.token_id = s.id WHERE s.pos = 0""")
+SELECT s.doc_id, {R6.format("coalesce(e.v, list_transform(range((SELECT max(len(v)) FROM vectors)), lambda z: 0.0::DOUBLE))")} AS v
+FROM token_seq s LEFT JOIN vectors e ON e.token_id = s.id WHERE s.pos = 0""")
 def _(x):
-    return rounded(pl.first_token_pool(x.sequences, x.vectors))
+    return rounded(pl.first_token_pool(x.sequences, x.vectors, unknown=[0.0] * x.width))
 
 
 @query("transpose_dict_of_vectors", """
@@ -195,6 +196,15 @@ def _(x):
     return found.select(F.round("mse", 8).alias("mse"), F.round("rate", 8).alias("rate"))
 
 
+@query("evaluate_held_out")
+def _(x):
+    """A map fitted on the norm band, judged on the words outside it by what it predicts."""
+    band = x.lexicon.where((F.col("norm") > LO) & (F.col("norm") < HI)).select(F.col("entry").alias("token_id"))
+    asked = x.def_vectors.join(x.head_vectors.select("token_id"), "token_id", "left_semi").join(band, "token_id", "left_anti")
+    found = rec.evaluate_reconstruction(rec.predict_reconstruction(asked, rec.fit_reconstruction(_training(x))), x.head_vectors)
+    return found.select(F.round("mse", 8).alias("mse"), F.round("rate", 8).alias("rate"))
+
+
 @query("perplexity", "SELECT lang, round(exp(avg(loss)), 4) AS ppl FROM doc_losses GROUP BY lang")
 def _(x):
     return sm.perplexity(document_losses(x), by="lang").withColumn("ppl", F.round("ppl", 4))
@@ -388,6 +398,11 @@ def _(x):
     return se.ann_index(x.vectors)
 
 
+@query("ann_recall")
+def _(x):
+    return se.ann_recall(x.vectors)
+
+
 @query("project_2d")
 def _(x):
     return se.project_2d(x.vectors)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossvec.functions.text import normalise_text
 from glossvec.constants import BPE_SPECIALS, CONTINUATION, WORDPIECE_SPECIALS
 from glossvec.operators.tokens import pretokens
 from glossvec.plans.lookups import as_list, list_parts
@@ -160,6 +161,8 @@ def train_merges(
     current = cut_lineage(spread)
     letters = [r["c"] for r in current.select(F.explode(symbols("s")).alias("c")).distinct().orderBy("c").collect()]
     seen = set(specials) | set(letters)
+    if vocab_size is not None and vocab_size < len(seen):
+        raise ValueError(f"a vocabulary of {vocab_size} has no room for {len(seen)} special tokens and letters")
     merges: list[tuple] = []
     pending = 0
     kept: DataFrame | None = None
@@ -203,9 +206,10 @@ def train_corpus_tokeniser(documents: DataFrame, vocab_size: int = 52_000, text:
     return train_merges(word_table(documents, "space", text), vocab_size)
 
 
-def train_wordpiece(documents: DataFrame, vocab_size: int = 25_000, mode: str = "bert"):
-    """Five special tokens first, continuation symbols marked."""
-    return train_merges(word_table(documents, mode), vocab_size, specials=WORDPIECE_SPECIALS, prefix=CONTINUATION)
+def train_wordpiece(documents: DataFrame, vocab_size: int = 25_000, mode: str = "bert", normalise: bool = True):
+    """Five special tokens first, continuation symbols marked. Texts are decomposed, lower-cased and rid of accents first."""
+    rows = documents.withColumn("text", normalise_text("text")) if normalise else documents
+    return train_merges(word_table(rows, mode), vocab_size, specials=WORDPIECE_SPECIALS, prefix=CONTINUATION)
 
 
 def merge_one(word: str, rank: dict, prefix: str = "") -> list[str]:
@@ -300,9 +304,9 @@ def encode_bpe(
 
 
 def encode_wordpiece(
-    documents: DataFrame, vocabulary: list[str], mode: str = "bert", key: str = "doc_id", text: str = "text"
+    documents: DataFrame, vocabulary: list[str], mode: str = "bert", key: str = "doc_id", text: str = "text", normalise: bool = True
 ) -> DataFrame:
-    """Greedy longest match, unknown words as `[UNK]`: key, tokens[], word_ids[]."""
+    """Greedy longest match, unknown words as `[UNK]`: key, tokens[], word_ids[]. Texts are normalised as in training."""
     known = set(vocabulary)
     shipped = documents.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=1)))
 
@@ -310,7 +314,8 @@ def encode_wordpiece(
         table, longest = shipped.value
         return lambda word: longest_match(word, table, longest)
 
-    return _pieces(documents, pretokens(text, mode), make, key)
+    shown = normalise_text(text) if normalise else F.col(text)
+    return _pieces(documents, pretokens(shown, mode), make, key)
 
 
 def encode_words(words: DataFrame, merges: list[tuple], prefix: str = "", col: str = "w") -> DataFrame:

@@ -15,9 +15,12 @@ from glossvec.plans.joins import fits_broadcast, lookup_join
 from glossvec.plans.lookups import as_list, first_by_word, list_parts, unique_words
 
 
-def gather_vectors(ids: DataFrame, vectors: DataFrame, on: str = "token_id") -> DataFrame:
-    """Attach the matrix row of every id."""
-    return lookup_join(ids, vectors.select(F.col("token_id").alias(on), "v"), on)
+def gather_vectors(ids: DataFrame, vectors: DataFrame, on: str = "token_id", unknown: list[float] | None = None) -> DataFrame:
+    """Attach the matrix row of every id. An id without one gives no row, or the vector `unknown` if there is one."""
+    side = vectors.select(F.col("token_id").alias(on), "v")
+    if unknown is None:
+        return lookup_join(ids, side, on)
+    return lookup_join(ids, side, on, "left").withColumn("v", F.coalesce("v", F.array(*[F.lit(float(x)) for x in unknown])))
 
 
 def mean_vector(df: DataFrame, key: str, vec: str = "v", weight: str | None = None) -> DataFrame:
@@ -89,23 +92,24 @@ def char_mean_word_vector(lexicon: DataFrame, char_vectors: DataFrame) -> DataFr
     return mean_vector(lookup_join(counted, char_vectors.select("ch", "v"), "ch"), "word", weight="n")
 
 
-def gather_positions(seq: DataFrame, positions: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+def gather_positions(seq: DataFrame, positions: DataFrame, vectors: DataFrame, key: str = "doc_id", unknown: list[float] | None = None) -> DataFrame:
     """Vectors of a sequence at target positions, with the word ids there: key, pos, id, v.
 
     `seq` holds (key, ids[]) and `positions` (key, positions[]); only the
-    wanted positions are expanded. A position without a vector gives no row.
+    wanted positions are expanded. A position beyond the sequence gives no row; one
+    of an unknown word has the vector `unknown`, or no row where none is given.
     """
     wanted = seq.select(key, "ids").join(positions.select(key, "positions"), key)
     rows = wanted.select(key, "ids", F.explode("positions").alias("pos"))
     at = F.try_element_at("ids", (F.col("pos") + 1).cast("int"))
     found = rows.select(key, F.col("pos").cast("bigint").alias("pos"), at.alias("id"))
-    return gather_vectors(found, vectors, on="id").select(key, "pos", "id", "v")
+    return gather_vectors(found.where(F.col("id").isNotNull()), vectors, "id", unknown).select(key, "pos", "id", "v")
 
 
-def first_token_pool(seq: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Vector of the first token of every sequence: key, v."""
-    first = seq.select(key, F.try_element_at("ids", F.lit(1)).alias("id"))
-    return gather_vectors(first, vectors, on="id").select(key, "v")
+def first_token_pool(seq: DataFrame, vectors: DataFrame, key: str = "doc_id", unknown: list[float] | None = None) -> DataFrame:
+    """Vector of the first token of every sequence that has one: key, v. An unknown token has the vector `unknown` if there is one."""
+    first = seq.where(F.size("ids") > 0).select(key, F.try_element_at("ids", F.lit(1)).alias("id"))
+    return gather_vectors(first, vectors, "id", unknown).select(key, "v")
 
 
 def vectors_long(df: DataFrame, key: str = "token_id", vec: str = "v") -> DataFrame:

@@ -11,7 +11,7 @@ from glossvec.functions.text import word_runs
 from glossvec.functions.vectors import l2_norm
 from glossvec.operators.filters import concat_text, issue_filter, min_words_filter
 from glossvec.operators.pooling import definition_vectors
-from glossvec.operators.recall import cosine_recall, nearest_examples, nearest_in_buckets
+from glossvec.operators.recall import cosine_recall, nearest_examples, nearest_in_buckets, l2_recall
 from glossvec.operators.shape import keep_columns
 from glossvec.operators.summaries import describe_column
 
@@ -72,6 +72,16 @@ def ann_index(
     return nearest_in_buckets(routed(asked, "query_id"), routed(vectors.select("token_id", "v"), "token_id"), k)
 
 
+def ann_recall(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, **how) -> DataFrame:
+    """Share of the exact k nearest that the index finds: found, wanted, recall."""
+    asked = vectors.select(F.col("token_id").alias("query_id"), "v") if queries is None else queries
+    exact = l2_recall(asked, vectors, k).select("query_id", "hit_id")
+    hits = ann_index(vectors, asked, k=k, **how).select("query_id", "hit_id", F.lit(1).alias("hit"))
+    met = exact.join(hits, ["query_id", "hit_id"], "left")
+    counts = met.agg(F.count("hit").alias("found"), F.count("*").alias("wanted"))
+    return counts.withColumn("recall", F.col("found") / F.greatest("wanted", F.lit(1)))
+
+
 def project_2d(vectors: DataFrame) -> DataFrame:
     """Two principal coordinates of every vector: token_id, x, y."""
     rows = vectors.select("token_id", array_to_vector("v").alias("f"))

@@ -10,12 +10,11 @@ range. Keys may be of any type that has an order; nulls come first, as in a sort
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossvec.session import ensure_checkpoint_dir
+from glossvec.session import stored_table
 
 ROWS_PER_BUCKET = 1_000_000
 # Ranges come from a sample; twice as many keep every range under its bound.
@@ -35,9 +34,7 @@ def with_order_bucket(df: DataFrame, order: list[Column], rows_per_bucket: int |
         return keyed.withColumn("__b", F.lit(0)), 1
     buckets = math.ceil(SPARE * rows / per_bucket)
     dealt = keyed.repartitionByRange(buckets, *[f"__o{i}" for i in range(len(order))]).withColumn("__b", F.spark_partition_id())
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/order-{uuid.uuid4().hex}"
-    dealt.write.parquet(path)
-    return df.sparkSession.read.schema(dealt.schema).parquet(path), buckets
+    return stored_table(dealt, "order"), buckets
 
 
 def _fold_before(df, key, ties, value, out, fold, combine, rows_per_bucket, within):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the checkpoint folder, read back: nothing is held on executors, and a lost one costs no recomputing."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and continue from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)

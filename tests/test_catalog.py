@@ -10,7 +10,7 @@ from glossvec.catalog.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 ROWS_ONLY = {
-    "ann_index", "compare_tokenisations", "encode_bpe", "encode_wordpiece", "fit_reconstruction", "grid_select",
+    "ann_index", "ann_recall", "compare_tokenisations", "encode_bpe", "encode_wordpiece", "evaluate_held_out", "fit_reconstruction", "grid_select",
     "predict_reconstruction", "project_2d", "train_bpe", "train_corpus_tokeniser", "train_wordpiece",
 }
 
