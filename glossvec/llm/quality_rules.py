@@ -33,6 +33,7 @@ RULES = (
     ("distinct_words", "10 * n_distinct < 3 * n_words AND n_words <= 2000", "2 * n_distinct > n_words"),
     ("word_length", "2 * word_chars < 5 * n_words OR word_chars > 7 * n_words", "word_chars > 4 * n_words AND word_chars < 6 * n_words"),
     ("line_length", "n_words > 300 * n_lines", "n_words < 200 * n_lines"),
+    ("symbol_share", "25 * n_symbols >= word_chars", "200 * n_symbols < word_chars"),
 )
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 

@@ -24,11 +24,11 @@ def test_rule_counts_equal_plain_python(spark):
 
 
 def test_label_model_parts_good_from_bad(spark):
-    good, bad = "0+" + "+" * 7, "--" + "+" * 4 + "-0+"
-    rows = spark.createDataFrame([("+" * 9, 900), (good, 60), (bad, 40), ("-" + "+" * 8, 3)], "votes string, n bigint")
+    good, bad = "0" + "+" * 9, "--" + "+" * 4 + "-0+-"
+    rows = spark.createDataFrame([("+" * 10, 900), (good, 60), (bad, 40), ("-" + "+" * 9, 3)], "votes string, n bigint")
     params = quality_rules.fit_label_model(rows)
     post = {r["votes"]: r["p"] for r in quality_rules._posterior(rows, params, "votes", "p").collect()}
-    assert post["+" * 9] > 0.9 and post[good] > 0.5 and post[bad] < 0.1
+    assert post["+" * 10] > 0.9 and post[good] > 0.5 and post[bad] < 0.1
 
 
 def test_quality_keeps_columns_and_takes_empty_tables(spark):
