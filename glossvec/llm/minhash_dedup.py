@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             sets = shingle_sets(scan.utf8(batch.column("text")), width)
             full = [s for s in sets if len(s)]
             sig = signatures(full)
@@ -134,7 +134,7 @@ def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             if not batch.num_rows:
                 continue
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             sets = shingle_sets(scan.utf8(batch.column("text")), width)
             wanted = list(zip(*[batch.column(c).to_pylist() for c in CLASS]))
             keep = [
@@ -184,7 +184,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         hub, of = None, None
-        for batch in batches:
+        for batch in scan.sliced(batches):
             a, b = [], []
             for x, salt, kind, y, s in zip(*[batch.column(c) for c in ("a", "salt", "kind", "b", "set")]):
                 own = np.frombuffer(s.as_py(), np.uint64)
@@ -208,7 +208,7 @@ def _fine_signatures(docs: DataFrame, wanted: DataFrame, width: int) -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             sets = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
             fine = (signatures(sets, FINE) & np.uint32(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([f.tobytes() for f in fine], pa.binary())], names=["id", "fine"])
@@ -242,7 +242,7 @@ def _left_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         of, ids, comps, sigs, buckets, matrix = None, [], [], [], {}, None
-        for batch in batches:
+        for batch in scan.sliced(batches):
             a, b = [], []
             for key, block, task, kind, i, comp, f, keys in zip(*[batch.column(c).to_pylist() for c in ("key", "block", "task", "kind", "id", "comp", "fine", "keys")]):
                 if of != (key, block, task):

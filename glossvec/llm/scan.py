@@ -130,6 +130,17 @@ def word_hashes(texts: list[bytes], sep: np.ndarray, lower: bool = True, prefixe
     return [[np.concatenate(x) if len(x) > 1 else x[0] if x else none for x in kinds] for kinds in found]
 
 
+#: Rows that a task works on at a time, whatever the size of an Arrow batch.
+ROWS = 500
+
+
+def sliced(batches, rows: int = ROWS):
+    """The rows of Arrow batches in slices: what is derived from a slice is gone before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string column as bytes, null as empty."""
     import pyarrow as pa

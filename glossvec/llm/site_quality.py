@@ -63,7 +63,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             made = design(scan.utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("y"), pa.array([i.astype(np.int32) for i, _ in made], pa.list_(pa.int32())), pa.array([v for _, v in made], pa.list_(pa.float64()))], names=["y", "i", "v"])
@@ -84,7 +84,7 @@ def document_evidence(docs: DataFrame, weights: np.ndarray, intercept: float, te
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             z = [float(np.clip(sent.value[i] @ v + intercept, -12, 12)) for i, v in design(scan.utf8(batch.column(text)))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(z, pa.float64())], names=[*names, "evidence"])
 

@@ -137,7 +137,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             own, g, p, at, many = parse(scan.utf8(batch.column("text")))
             take = pa.array(own)
             yield pa.RecordBatch.from_arrays([
@@ -157,7 +157,7 @@ def _contents(asked: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             out = {k: [] for k in ("g", "doc_id", "row", "at", "many", "single", "content")}
             for doc, row, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), scan.utf8(batch.column("text")), batch.column("wanted").to_pylist()):
                 for w in wanted:
@@ -208,7 +208,7 @@ def _spans_in_order(contents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "row", "start", "stop"])
 
         held, size = [], 0
-        for batch in batches:
+        for batch in scan.sliced(batches):
             for row in zip(*[batch.column(c).to_pylist() for c in ("g", "doc_id", "row", "at", "many", "single", "content")]):
                 if size >= SORTED_BYTES and row[0] != held[-1][0]:
                     yield table(_shared(held))
@@ -228,7 +228,7 @@ def _spans_by_count(contents: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         tables = scan.byte_values(False), scan.byte_values(False, 2)
-        for batch in batches:
+        for batch in scan.sliced(batches):
             for doc, row, at, many, content, single in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "at", "many", "content", "single")]):
                 data, s = np.frombuffer(content, np.uint8), np.arange(many)
                 h, k = (scan.stretch_hash(scan.prefix_sums(data, t), s, s + LENGTH).view(np.int64) for t in tables)
@@ -307,7 +307,7 @@ def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool) ->
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             out = [[], [], [], [], [], []]
             for t, none, spans in zip(scan.utf8(batch.column("text")), batch.column("none").to_pylist(), batch.column("spans").to_pylist()):
                 merged = _merge(spans or [])
@@ -350,7 +350,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(inner[c]) for c in names], names=names)
 

@@ -198,7 +198,7 @@ def _labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             texts = scan.utf8(batch.column("text"))
             kinds = [[k.tolist() for k in text] for text in features(texts)]
             yield pa.RecordBatch.from_arrays(
@@ -251,7 +251,7 @@ def score_texts(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in scan.sliced(batches):
             scores = sent.value.scores(features(scan.utf8(batch.column(text))))
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores, pa.float64())], names=[*names, "score"])
 
