@@ -45,10 +45,15 @@ def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     if name not in _encoders:
         import re
 
-        import tokenizers
+        def full():
+            """The defining library, loaded by the first text that needs it."""
+            if json_path not in _encoders:
+                import tokenizers
+
+                _encoders[json_path] = tokenizers.Tokenizer.from_file(json_path)
+                _encoders[json_path].encode_special_tokens = True
+            return _encoders[json_path]
 
-        full = tokenizers.Tokenizer.from_file(json_path)
-        full.encode_special_tokens = True
         fast = None
         if ranks_path:
             import base64
@@ -63,7 +68,7 @@ def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
 
         def encode(text: str) -> list[int]:
             if fast is None or odd.search(text):
-                return full.encode(text, add_special_tokens=False).ids
+                return full().encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
         _encoders[name] = encode

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes that are hashed at a time; a longer text is cut at a separator.
-PART = 1 << 20
+PART = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}

@@ -296,8 +296,11 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool) -> DataFrame:
-    """doc_id, the columns `passed` under names with in_, text, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool, decode: bool = False) -> DataFrame:
+    """doc_id, the columns `passed` under names with in_, text, n_bytes, n_removed, n_spans, kept_sha256, kept.
+
+    With `decode` the text is what is left of it, and `kept` is empty.
+    """
     own = _identified(docs, text).select("doc_id", F.col("__row").alias("row"), text_of(text).alias("text"), F.col(text).isNull().alias("none"), *[F.col(c).alias(f"in_{c}") for c in passed])
     met = _join_rows(own, removed_spans(own.select("doc_id", "row", "text")), "left")
     names = ["doc_id", *[f"in_{c}" for c in passed]]
@@ -312,8 +315,8 @@ def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool) ->
             for t, none, spans in zip(scan.utf8(batch.column("text")), batch.column("none").to_pylist(), batch.column("spans").to_pylist()):
                 merged = _merge(spans or [])
                 kept = _cut(t, merged)
-                shown = None if none or not with_text else t.decode()
-                for o, v in zip(out, (shown, len(t), len(t) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text else b"")):
+                shown = None if none or not with_text else kept.decode("utf-8", "ignore") if decode else t.decode()
+                for o, v in zip(out, (shown, len(t), len(t) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text and not decode else b"")):
                     o.append(v)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(o, k) for o, k in zip(out, kinds)]], names=[*names, "text", *ADDED])
@@ -344,15 +347,5 @@ def repeats_query(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with its texts rid of repeated passages. A character that a cut splits goes with it; a null text stays null."""
     names = docs.columns
-    done = _cut_rows(docs, "text", [c for c in names if c not in ("doc_id", "text")], True)
-    inner = {c: c if c in ("doc_id", "text") else f"in_{c}" for c in names}
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in scan.sliced(batches):
-            texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(inner[c]) for c in names], names=names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return done.select(*inner.values(), "kept").mapInArrow(run, schema)
+    done = _cut_rows(docs, "text", [c for c in names if c not in ("doc_id", "text")], True, decode=True)
+    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"in_{c}").alias(c) for c in names])
