@@ -73,33 +73,40 @@ def winners_by_run(levels: list[DataFrame], fan_in: int = FAN_IN) -> DataFrame:
     return found
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, fan_in: int = FAN_IN) -> DataFrame:
-    """`docs` (or its columns `keep`) with keep_id, group_size, kept and text_sha256.
-
-    The text is read once; from there on only digests move.
-    """
-    cols = docs.columns if keep is None else keep
-    rows = written(digest_rows(docs, text, key, [F.col(c).alias(f"in_{c}") for c in cols]), "digests")
+def _judged(docs: DataFrame, text: str, key: str, keep: list[Column], fan_in: int = FAN_IN) -> DataFrame:
+    """(keep..., id, digest, chars, tie, best, n, stays) for each row of `docs`; the text is read once, then only digests move."""
+    rows = written(digest_rows(docs, text, key, keep), "digests")
     last = rows.agg(F.max("run").alias("run")).first()["run"]
     found = winners_by_run(merge_runs(rows, (last or 0) + 1, fan_in), fan_in)
-    met = rows.join(found, ["run", *GROUP])
-    added = {
-        "keep_id": F.col("best.id"),
-        "group_size": F.col("n"),
-        "kept": F.col("id").eqNullSafe(F.col("best.id")) & (F.col("chars") == -F.col("best.chars")) & (F.col("tie") == F.col("best.tie")),
-        "text_sha256": F.lower(F.hex("digest")),
-    }
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("chars") == -F.col("best.chars")) & (F.col("tie") == F.col("best.tie"))
+    return rows.join(found, ["run", *GROUP]).withColumn("stays", stays)
+
+
+def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """`docs` (or its columns `keep`) with keep_id, group_size, kept and text_sha256."""
+    cols = docs.columns if keep is None else keep
+    met = _judged(docs, text, key, [F.col(c).alias(f"in_{c}") for c in cols], fan_in)
+    added = {"keep_id": F.col("best.id"), "group_size": F.col("n"), "kept": F.col("stays"), "text_sha256": F.lower(F.hex("digest"))}
     return met.select(*[F.col(f"in_{c}").alias(c) for c in cols if c not in added], *[v.alias(c) for c, v in added.items()])
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`docs` with the row that stays of each group. Ids are sent, texts are not; a null id is told by its row."""
-    gone = exact_groups(docs, text, key, keep=[key]).where("NOT kept")
-    gone = written(gone.select(F.col(key).alias("__gone"), "text_sha256").distinct(), "gone")
-    # A repeated id may hold a text that stays and one that goes.
-    own = docs.withColumn("__sha", F.sha2(without_blanks(text_of(text)), 256))
+    """`docs` with the row that stays of each group. Ids and hashes are sent, texts are not.
+
+    What goes is told by id, text, length and the hash of the whole row: a
+    repeated or null id may have a row that stays and one that goes.
+    """
+    told = ["id", "digest", "chars", "tie"]
+    gone = written(_judged(docs, text, key, []).where("NOT stays").select(*[F.col(c).alias(f"__gone_{c}") for c in told]).distinct(), "gone")
+    own = docs.withColumns({
+        "__id": F.col(key),
+        "__digest": F.unhex(F.sha2(without_blanks(text_of(text)), 256)),
+        "__chars": F.length(text_of(text)),
+        "__tie": F.xxhash64(*docs.columns),
+    })
     side = F.broadcast(gone) if fits_broadcast(gone) else gone
-    return own.join(side, F.col(key).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("text_sha256")), "left_anti").select(*docs.columns)
+    same = [F.col(f"__{c}").eqNullSafe(F.col(f"__gone_{c}")) for c in told]
+    return own.join(side, same, "left_anti").select(*docs.columns)
 
 
 def exact_query(docs: DataFrame) -> DataFrame:

@@ -86,6 +86,18 @@ def test_exact_deduplicate_keeps_the_same_rows(spark):
     assert ordered(tuple(r) for r in exact_dedup.deduplicate(docs).select("doc_id").collect()) == ordered(tuple(r) for r in kept)
 
 
+def test_exact_deduplicate_keeps_one_row_of_shared_and_null_ids(spark):
+    """Winner and loser have one id, or none, and differ in blanks or in another column only."""
+    rows = [(None, "a b"), (None, "ab"), (7, "c  d"), (7, "c d"), (7, "another text"), (8, "e f"), (8, "e f"), (9, "e f")]
+    docs = data.documents(spark, rows)
+    docs = docs.unionByName(docs.where("doc_id = 9").withColumn("source", F.lit("other")))
+    got = [tuple(r) for r in exact_dedup.deduplicate(docs).select("doc_id", "text").collect()]
+    # Rows that nothing tells apart stay together.
+    assert ordered(got) == ordered([(None, "a b"), (7, "c  d"), (7, "another text"), (8, "e f"), (8, "e f")])
+    one = docs.where("doc_id = 9")
+    assert exact_dedup.deduplicate(one).count() == exact_dedup.exact_groups(one).where("kept").count() == 1
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_components_equal_all_pairs(spark, width):
     rows = [r for r in data.texts() if r[0] not in (17, 18)]
