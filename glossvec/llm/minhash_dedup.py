@@ -16,19 +16,21 @@ deviations before they rule it out.
 Defined results: A-Z count as lower case; a null or empty text, or one without
 words, has an empty set and is linked with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows are equal sets, and both are kept where they
-share the smallest id; rows of a null id take the component of their equals and
-are kept only where no row with an id is equal; an empty table gives an empty
-result; extra columns stay in `deduplicate`.
+share the smallest id; rows of one id with different texts are linked each by its
+own text, so both components may bear that id; a component is named by its least
+id, and its rows of a null id are kept only where it has no other, then those of
+the text with the least hash; an empty table gives an empty result; extra columns
+stay in `deduplicate`.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossvec.llm import scan
-from glossvec.llm.common import hot_join, written
+from glossvec.llm.common import hot_join, text_of, written
 from glossvec.llm.graph import components
 from glossvec.plans.joins import fits_broadcast
 
@@ -46,6 +48,8 @@ HELD = 2_048
 _FLAT = 1 << 16
 
 CLASS = ["fp1", "fp2", "n"]
+#: A class by its number, with the row that stands for it: the least id, a null one last, and a hash of the text.
+STANDS = ["id", "doc", "th", *CLASS]
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -97,11 +101,11 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys
 
 
-SKETCH = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>, sig binary"
+SKETCH = "doc_id bigint, th bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>, sig binary"
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Size and fingerprint of the set, bucket names, and one byte per coordinate of the signature."""
+    """Hash of the text, size and fingerprint of the set, bucket names, and one byte per coordinate of the signature."""
 
     def run(batches):
         import pyarrow as pa
@@ -115,12 +119,17 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             fp = np.array([[scan.mix(s).sum(), scan.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum()] for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             small = (sig & np.uint32(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]),
+                batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]),
                 pa.array([keys[p] if len(s) else None for s, p in zip(sets, place)], pa.list_(pa.int64())),
                 pa.array([small[p].tobytes() if len(s) else None for s, p in zip(sets, place)], pa.binary()),
-            ], names=["doc_id", "n", "fp1", "fp2", "bands", "sig"])
+            ], names=["doc_id", "th", "n", "fp1", "fp2", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", _text_hash().alias("th")).mapInArrow(run, SKETCH)
+
+
+def _text_hash() -> Column:
+    """With the id, it tells rows apart that are not repeated."""
+    return F.xxhash64(text_of("text"))
 
 
 def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -146,10 +155,10 @@ def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the classes `wanted`; a document sends its set only where it stands for its class."""
-    own = docs.select("doc_id", "text")
-    ids = wanted.select(F.col("id").alias("doc_id"), *CLASS)
-    met = own.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "doc_id")
+    """(id, set) of the classes `wanted`; a row sends its set only where it stands for its class."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_hash().alias("th"))
+    ids = wanted.select("id", F.col("doc").alias("c_doc"), F.col("th").alias("c_th"), *CLASS)
+    met = own.join(F.broadcast(ids) if fits_broadcast(ids) else ids, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")))
 
     def run(batches):
         import pyarrow as pa
@@ -162,9 +171,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if (int(scan.mix(s).sum().view(np.int64)), int(scan.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum().view(np.int64)), len(s)) == wanted[i]
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["id", "set"])
+                [batch.column("id").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["id", "set"])
 
-    return met.mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
+    return met.select("id", "text", *CLASS).mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -269,16 +278,19 @@ def _left_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, near: DataFrame, width: int) -> DataFrame:
     """Those of the written pairs `near` that full sets confirm."""
     ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = written(_sets(docs, written(classes.select("id", *CLASS).join(ids, "id"), "ids"), width), "sets")
+    sets = written(_sets(docs, written(classes.select(*STANDS).join(ids, "id"), "ids"), width), "sets")
     return written(_confirm(near, sets), "links")
 
 
-def near_components(docs: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one per row of `docs`."""
+def _judged(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, kept), one per row of `docs`; th is a hash of the text."""
     sketch = written(sketches(docs, width), "sketch")
-    classes = sketch.where("n > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # Ids may be null or repeated, so classes get numbers of their own.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    classes = sketch.where("n > 0").groupBy(*CLASS).agg(F.min(row).alias("row"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("doc"), F.col("row.th").alias("th"), *CLASS, "size", "bands", "sig")
     classes = written(classes, "classes")
-    keyed = classes.where("id IS NOT NULL").select("id", "n", F.explode("bands").alias("key"))
+    keyed = classes.select("id", "n", F.explode("bands").alias("key"))
     buckets = written(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1"), "buckets")
     total = buckets.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
     members = written(hot_join(keyed, buckets, ["key"], "m", total).select("key", "id", "hub"), "members")
@@ -302,19 +314,29 @@ def near_components(docs: DataFrame, width: int = 2) -> DataFrame:
 
     # The rest one by one, where longer signatures do not rule it out.
     ids = written(open_members.select("id").distinct(), "ids")
-    fine = _fine_signatures(docs, classes.select("id", *CLASS).join(ids, "id"), width)
+    fine = _fine_signatures(docs, classes.select(*STANDS).join(ids, "id"), width)
     pairs = written(_left_pairs(open_members, fine).join(tested, ["a", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         links = links.unionByName(_links(docs, classes, pairs, width))
         labels = components(links)
 
-    named = classes.join(labels, "id", "left").select(*CLASS, "size", F.coalesce("comp", "id").alias("comp"))
-    own = sketch.select("doc_id", *CLASS)
+    # A component is named by its least id, and stands by the row of it.
+    stands = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")
+    linked = classes.select("id", stands.alias("row")).join(labels, "id")
+    rows = written(linked.groupBy("comp").agg(F.min("row").alias("row"), F.count("*").alias("m")), "comps")
+    linked = hot_join(labels, rows, ["comp"], "m", max(labels.count(), 1)).select("id", "row")
+    named = classes.select("id", *CLASS, "size", stands.alias("own")).join(linked, "id", "left").select(*CLASS, "size", F.coalesce("row", "own").alias("row"))
+    own = sketch.select("doc_id", "th", *CLASS)
     found = hot_join(own.where("n > 0"), written(named, "named"), CLASS, "size", max(sketch.count(), 1))
-    every = found.select("doc_id", "n", "comp").unionByName(own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("comp")))
-    return every.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"),
-        F.when(F.col("comp").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(False))).alias("kept"))
+    kept = F.when(F.col("row.no_id"), F.col("th") == F.col("row.th")).otherwise(F.coalesce(F.col("doc_id") == F.col("row.doc"), F.lit(False)))
+    every = found.select("doc_id", "th", "n", F.col("row.doc").alias("comp"), kept.alias("kept"))
+    every = every.unionByName(own.where("n = 0").select("doc_id", "th", "n", F.col("doc_id").alias("comp"), F.lit(True).alias("kept")))
+    return every.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), "kept")
+
+
+def near_components(docs: DataFrame, width: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one per row of `docs`."""
+    return _judged(docs, width).drop("th")
 
 
 def _open(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
@@ -325,9 +347,11 @@ def _open(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, width: int = 5) -> DataFrame:
-    """`docs` with one document of each component."""
-    gone = written(near_components(docs, width).where("NOT kept").select("doc_id").where("doc_id IS NOT NULL").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if fits_broadcast(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` with one document of each component. What goes is told by id and text, since ids may be null or repeated."""
+    gone = written(_judged(docs, width).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__gone_th")).distinct(), "gone")
+    own = docs.withColumn("__th", _text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("__th") == F.col("__gone_th"))
+    return own.join(F.broadcast(gone) if fits_broadcast(gone) else gone, same, "left_anti").select(*docs.columns)
 
 
 def near_query(docs: DataFrame) -> DataFrame:

@@ -107,6 +107,25 @@ def test_near_components_equal_all_pairs(spark, width):
     assert minhash_dedup.near_components(data.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_components_of_null_and_repeated_ids(spark, width):
+    """All rows of the table, repeated and null ids too, and rows of one id that belong to two components."""
+    rows = data.texts()
+    text = dict(rows)
+    # Ids 0 and 600 have two texts each, one near another document; two null ids are near one another only.
+    rows += [(0, text[10] + " tail"), (600, text[11] + " tail"), (600, text[12] + " tail"), (601, text[0] + " tail")]
+    alone = " ".join(f"lone{i}" for i in range(60))
+    rows += [(None, alone), (None, alone + " tail"), (None, alone + " tail")]
+    got = minhash_dedup.near_components(data.documents(spark, rows, clashing=True), width).collect()
+    want = data.near_groups(rows, width)
+    assert ordered((r[0], r[1], r[2]) for r in got) == ordered(want)
+    left = ordered(tuple(r) for r in minhash_dedup.deduplicate(data.documents(spark, rows), width).select("doc_id", "text").collect())
+    # One of the lone texts stays; every other row stays where it bears the component's id.
+    lone = [r for r in left if (r[1] or "").startswith("lone")]
+    assert len(set(lone)) == 1
+    assert [r for r in left if r not in lone] == ordered(r for r, (d, _, c) in zip(rows, want) if d == c and not (r[1] or "").startswith("lone"))
+
+
 def test_near_chains_and_hubs_are_complete(spark):
     """Copies that are near their base and not one another: no hub joins all, so later rounds must."""
     import random
