@@ -206,3 +206,8 @@ def test_a_small_site_stays_at_the_global_rate(spark):
     assert abs(got[2000]["path_posterior"] - 0.05) < 0.05
     assert abs(got[1000]["path_posterior"] - rate) < 0.35
     assert got[1]["score"] > got[2000]["score"]
+
+
+def test_pieces_query_holds_every_row_against_the_library(spark):
+    got = st.pieces_query(data.documents(spark)).select("parity").collect()
+    assert len(got) == len(data.texts()) and all(r["parity"] for r in got)
