@@ -15,8 +15,9 @@ never sorted as a whole:
   distinct phrases that share a trigger, as where copies begin and end.
 * Suffix order. For those, the suffixes of the phrases of a trigger are sorted to
   a depth of LENGTH bytes by prefix doubling. A string repeats if its rank is
-  shared within the dictionary, or if the parse holds its phrase twice: the two
-  orders together are that of the corpus.
+  shared within the dictionary, or if the parse holds its phrase twice. Counts of
+  phrases stand for the suffix array of the parse: a LENGTH-byte string lies
+  within one phrase, so no order across phrases is needed, and none is made.
 
 Texts cross the network once, towards the phrases they are asked for. Triggers and
 phrases move as hashes, and what a trigger of very many phrases holds is counted
