@@ -4,7 +4,7 @@ import re
 import duckdb
 import pytest
 
-from conftest import rows
+from plain_rows import rows
 from glossvec.catalog import corpora, numbers, tables  # noqa: F401
 from glossvec.catalog.registry import ORACLES, QUERIES
 

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from plain_rows import rows
 from glossvec.operators import entities as en
 from glossvec.operators import quality as ql
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain_rows import rows
 from glossvec.functions.text import word_runs
 from glossvec.operators import ranking as rk
 from glossvec.operators import summaries as sm

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain_rows import rows
 from glossvec.operators.filters import issue_filter, min_words_filter
 from glossvec.sources import corpora as co
 from glossvec.sources import lexicons as lx

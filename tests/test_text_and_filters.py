@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain_rows import rows
 from glossvec.operators.filters import clean_word_filter
 from glossvec.functions import (
     argmax, char_span, chars, cosine, hyphen_to_space, id_to_label, l2_norm, normalise_text, softmax,

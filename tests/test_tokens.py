@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain_rows import rows
 from glossvec.operators import vocabulary as voc
 from glossvec.operators import corpus as cp
 from glossvec.operators import merges as mg

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from plain_rows import rows
 from glossvec.plans.lookups import with_token_ids
 from glossvec.operators import pooling as pl
 from glossvec.operators import recall as rc
