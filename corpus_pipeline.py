@@ -27,9 +27,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.deduplicate(docs, width=5)
 
 
+#: A passage of over 50 words counts as repeated. Bytes of 51 words of four letters and a bit, with their blanks; and of a trigger.
+PASSAGE, TRIGGER = 240, 40
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that are met elsewhere. n_chars is counted anew; texts that are all repeats become empty and stay."""
-    return suffix_dedup.drop_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without the passages of PASSAGE bytes or more that are met elsewhere.
+
+    n_chars is counted anew; texts that are all repeats become empty and stay.
+    """
+    return suffix_dedup.drop_repeats(docs, PASSAGE, TRIGGER).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

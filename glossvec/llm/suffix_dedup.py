@@ -1,10 +1,10 @@
 """Passages that repeat anywhere in a corpus, by prefix-free parsing and suffix order.
 
-Every byte of a LENGTH-byte string that also starts elsewhere goes. The corpus is
+Every byte of a string of `length` bytes that also starts elsewhere goes. The corpus is
 never sorted as a whole:
 
-* Triggers. A rolling hash of GRAM bytes runs over each text. In every
-  LENGTH-byte string the least hash, the leftmost of equals, is its trigger. So
+* Triggers. A rolling hash of `gram` bytes runs over each text. In every
+  such string the least hash, the leftmost of equals, is its trigger. So
   equal strings have the same trigger at the same offset, and each string
   belongs to one trigger.
 * Phrases. All strings of one trigger lie in one phrase, the bytes they cover. A
@@ -14,16 +14,16 @@ never sorted as a whole:
   unique. A phrase met twice or more repeats all its strings. What is left are
   distinct phrases that share a trigger, as where copies begin and end.
 * Suffix order. For those, the suffixes of the phrases of a trigger are sorted to
-  a depth of LENGTH bytes by prefix doubling. A string repeats if its rank is
+  a depth of `length` bytes by prefix doubling. A string repeats if its rank is
   shared within the dictionary, or if the parse holds its phrase twice. Counts of
-  phrases stand for the suffix array of the parse: a LENGTH-byte string lies
+  phrases stand for the suffix array of the parse: such a string lies
   within one phrase, so no order across phrases is needed, and none is made.
 
 Texts cross the network once, towards the phrases they are asked for. Triggers and
 phrases move as hashes, and what a trigger of very many phrases holds is counted
 string by string in a shuffle instead of in one task.
 
-Defined results: a null text is empty; texts under LENGTH bytes lose nothing;
+Defined results: a null text is empty; texts under `length` bytes lose nothing;
 repeated rows repeat each other and lose all that is long enough; rows of a null
 id take part like others; an empty table gives an empty result; extra columns
 stay in `cut_repeats`.
@@ -134,12 +134,12 @@ def _identified(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__row", F.xxhash64("doc_id", text_of(text)))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         for batch in scan.sliced(batches):
-            own, g, p, at, many = parse(scan.utf8(batch.column("text")))
+            own, g, p, at, many = parse(scan.utf8(batch.column("text")), length, gram)
             take = pa.array(own)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(g.view(np.int64)), pa.array(p.view(np.int64)),
@@ -152,7 +152,7 @@ CONTENT = "g bigint, doc_id bigint, row bigint, at int, many int, single boolean
 SPAN = "doc_id bigint, row bigint, start int, stop int"
 
 
-def _contents(asked: DataFrame) -> DataFrame:
+def _contents(asked: DataFrame, length: int) -> DataFrame:
     """The bytes of the phrases asked for, one row each."""
 
     def run(batches):
@@ -166,39 +166,39 @@ def _contents(asked: DataFrame) -> DataFrame:
                     out["row"].append(row)
                     for k in ("g", "at", "many", "single"):
                         out[k].append(w[k])
-                    out["content"].append(text[w["at"] : w["at"] + w["many"] - 1 + LENGTH])
+                    out["content"].append(text[w["at"] : w["at"] + w["many"] - 1 + length])
             kinds = {"g": pa.int64(), "doc_id": pa.int64(), "row": pa.int64(), "at": pa.int32(), "many": pa.int32(), "single": pa.bool_(), "content": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
     return asked.mapInArrow(run, CONTENT)
 
 
-def _runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending positions as runs [first, last] of strings that touch: at most LENGTH apart."""
-    cut = np.flatnonzero(np.diff(positions) > LENGTH)
+def _runs(positions: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions as runs [first, last] of strings that touch: at most `length` apart."""
+    cut = np.flatnonzero(np.diff(positions) > length)
     return positions[np.concatenate([[0], cut + 1])], positions[np.concatenate([cut, [len(positions) - 1]])]
 
 
-def _shared(held: list[tuple]) -> list[tuple]:
+def _shared(held: list[tuple], length: int = LENGTH) -> list[tuple]:
     """Spans of the phrases held once whose strings the dictionary holds again. held: whole triggers."""
     data = np.frombuffer(b"".join(h[6] for h in held), np.uint8)
     starts = np.cumsum([0] + [len(h[6]) for h in held[:-1]])
     many = np.array([h[4] for h in held])
     before = np.cumsum(many) - many
     string = np.arange(int(many.sum())) + np.repeat(starts - before, many)
-    rank = suffix_ranks(data)[string].astype(np.int64)
+    rank = suffix_ranks(data, length)[string].astype(np.int64)
     twice = np.bincount(rank)[rank] > 1
     out = []
     for k, (_, doc, row, at, n, single, _) in enumerate(held):
         if single:
             hit = np.flatnonzero(twice[before[k] : before[k] + n])
             if len(hit):
-                lo, hi = _runs(hit)
-                out += [(doc, row, int(at + a), int(at + b + LENGTH)) for a, b in zip(lo, hi)]
+                lo, hi = _runs(hit, length)
+                out += [(doc, row, int(at + a), int(at + b + length)) for a, b in zip(lo, hi)]
     return out
 
 
-def _spans_in_order(contents: DataFrame) -> DataFrame:
+def _spans_in_order(contents: DataFrame, length: int) -> DataFrame:
     """Suffix order over batches of whole triggers."""
 
     def run(batches):
@@ -212,17 +212,17 @@ def _spans_in_order(contents: DataFrame) -> DataFrame:
         for batch in scan.sliced(batches):
             for row in zip(*[batch.column(c).to_pylist() for c in ("g", "doc_id", "row", "at", "many", "single", "content")]):
                 if size >= SORTED_BYTES and row[0] != held[-1][0]:
-                    yield table(_shared(held))
+                    yield table(_shared(held, length))
                     held, size = [], 0
                 held.append(row)
                 size += len(row[6])
         if held:
-            yield table(_shared(held))
+            yield table(_shared(held, length))
 
     return contents.repartition("g").sortWithinPartitions("g").mapInArrow(run, SPAN)
 
 
-def _spans_by_count(contents: DataFrame) -> DataFrame:
+def _spans_by_count(contents: DataFrame, length: int) -> DataFrame:
     """The same for triggers of very many phrases: strings counted by two hashes, in a shuffle that pre-aggregates."""
 
     def run(batches):
@@ -232,7 +232,7 @@ def _spans_by_count(contents: DataFrame) -> DataFrame:
         for batch in scan.sliced(batches):
             for doc, row, at, many, content, single in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row", "at", "many", "content", "single")]):
                 data, s = np.frombuffer(content, np.uint8), np.arange(many)
-                h, k = (scan.stretch_hash(scan.prefix_sums(data, t), s, s + LENGTH).view(np.int64) for t in tables)
+                h, k = (scan.stretch_hash(scan.prefix_sums(data, t), s, s + length).view(np.int64) for t in tables)
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array((at + s).astype(np.int32)), pa.array(h), pa.array(k), pa.array([single] * n)],
@@ -240,19 +240,19 @@ def _spans_by_count(contents: DataFrame) -> DataFrame:
 
     strings = contents.mapInArrow(run, "doc_id bigint, row bigint, start int, h bigint, k bigint, single boolean")
     counts = strings.groupBy("h", "k").agg(F.count("*").alias("n")).where("n > 1")
-    return strings.where("single").join(counts, ["h", "k"]).select("doc_id", "row", "start", (F.col("start") + LENGTH).alias("stop"))
+    return strings.where("single").join(counts, ["h", "k"]).select("doc_id", "row", "start", (F.col("start") + length).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(spans that phrases met twice cover, phrases to be looked into) of identified docs (doc_id, row, text)."""
-    occ = occurrences(docs)
+    occ = occurrences(docs, length, gram)
     triggers = written(occ.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "triggers")
     total = triggers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     met = written(hot_join(occ, triggers, ["g"], "n", total).drop("n"), "occurrences")
     phrases = met.groupBy("g", "p").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at", "many")).alias("one"))
     phrases = written(phrases.select("g", "p", "n", "one.*"), "phrases")
     twice = phrases.where("n > 1").select("g", "p", "n")
-    covered = hot_join(met, twice, ["g", "p"], "n", total).select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + F.col("many") - 1 + LENGTH).alias("stop"))
+    covered = hot_join(met, twice, ["g", "p"], "n", total).select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + F.col("many") - 1 + length).alias("stop"))
     # Phrases that share a trigger: those met once are looked into, the others are what they may equal.
     mixed = phrases.groupBy("g").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("g", "d")
     asked = hot_join(phrases.drop("p"), mixed, ["g"], "d", max(phrases.count(), 1))
@@ -265,14 +265,14 @@ def _join_rows(docs: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")), how).drop("__d", "__r")
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, row, spans): what each row loses, of identified docs."""
-    covered, asked = repeated_spans(docs)
+    covered, asked = repeated_spans(docs, length, gram)
     spans = covered
     for part, find in ((asked.where(f"d <= {SORTED_PHRASES}"), _spans_in_order), (asked.where(f"d > {SORTED_PHRASES}"), _spans_by_count)):
         if part.limit(1).count():
             wanted = part.groupBy("doc_id", "row").agg(F.collect_list(F.struct("g", "at", "many", "single")).alias("wanted"))
-            spans = spans.unionByName(find(_contents(_join_rows(docs, wanted, "inner").select("doc_id", "row", "text", "wanted"))))
+            spans = spans.unionByName(find(_contents(_join_rows(docs, wanted, "inner").select("doc_id", "row", "text", "wanted"), length), length))
     return spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -297,13 +297,13 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool, decode: bool = False) -> DataFrame:
+def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool, decode: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, the columns `passed` under names with in_, text, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     With `decode` the text is what is left of it, and `kept` is empty.
     """
     own = _identified(docs, text).select("doc_id", F.col("__row").alias("row"), text_of(text).alias("text"), F.col(text).isNull().alias("none"), *[F.col(c).alias(f"in_{c}") for c in passed])
-    met = _join_rows(own, removed_spans(own.select("doc_id", "row", "text")), "left")
+    met = _join_rows(own, removed_spans(own.select("doc_id", "row", "text"), length, gram), "left")
     names = ["doc_id", *[f"in_{c}" for c in passed]]
     fields = {f.name: f.dataType.simpleString() for f in own.schema}
     schema = ", ".join([*[f"`{c}` {fields[c]}" for c in names], "text string", "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"])
@@ -328,14 +328,16 @@ def _cut_rows(docs: DataFrame, text: str, passed: list[str], with_text: bool, de
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, with_text: bool = True, length: int = LENGTH, gram: int = GRAM
+) -> DataFrame:
     """`docs` (or its columns `keep`) with n_bytes, n_removed, n_spans, kept_sha256, and `kept`, the bytes that are left.
 
     Cuts fall between bytes, so `kept` need not be valid UTF-8. Columns of these
     names in `docs` are replaced.
     """
     cols = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
-    done = _cut_rows(docs, text, [c for c in cols if c not in ("doc_id", text)], with_text)
+    done = _cut_rows(docs, text, [c for c in cols if c not in ("doc_id", text)], with_text, length=length, gram=gram)
     own = {"doc_id": F.col("doc_id"), text: F.col("text").alias(text)}
     return done.select(*[own.get(c, F.col(f"in_{c}").alias(c)) for c in cols], *ADDED)
 
@@ -345,8 +347,8 @@ def repeats_query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """`docs` with its texts rid of repeated passages. A character that a cut splits goes with it; a null text stays null."""
     names = docs.columns
-    done = _cut_rows(docs, "text", [c for c in names if c not in ("doc_id", "text")], True, decode=True)
+    done = _cut_rows(docs, "text", [c for c in names if c not in ("doc_id", "text")], True, decode=True, length=length, gram=gram)
     return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"in_{c}").alias(c) for c in names])

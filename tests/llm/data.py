@@ -79,16 +79,30 @@ def near_groups(rows, width):
     return [(d, len(sets[i]), (min(least[find(i)]) if least[find(i)] else None) if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
-def cut_repeats(rows, length):
-    """[(doc_id, n_bytes, n_removed, n_spans, sha256)] by counting every string."""
+def repeated_bytes(rows, length):
+    """[(bytes, which of them go)] by counting every string."""
     data = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     out = []
-    for (d, _), b in zip(rows, data):
+    for b in data:
         gone = [False] * len(b)
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = [True] * length
+        out.append((b, gone))
+    return out
+
+
+def left_texts(rows, length):
+    """Texts without repeated strings and without characters that a cut splits; null stays null."""
+    cut = repeated_bytes(rows, length)
+    return [None if t is None else bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore") for (_, t), (b, gone) in zip(rows, cut)]
+
+
+def cut_repeats(rows, length):
+    """[(doc_id, n_bytes, n_removed, n_spans, sha256)] by counting every string."""
+    out = []
+    for (d, _), (b, gone) in zip(rows, repeated_bytes(rows, length)):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))

@@ -1,7 +1,11 @@
 import os
+import random
+import zlib
 
 import data
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -48,19 +52,51 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     rows = [(d, t) for d, t in rows if d in stay]
     stay = {d for d, _, c in data.near_groups(rows, 5) if d == c}
     rows = [(d, t) for d, t in rows if d in stay]
-    spans = {d: (n, removed) for d, n, removed, _, _ in data.cut_repeats(rows, 400)}
+    left = dict(zip([d for d, _ in rows], data.left_texts(rows, corpus_pipeline.PASSAGE)))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {d for d, _ in rows}
     assert len(out) == len({(r["doc_id"], r["piece"]) for r in out})
     encode = best_fit_packing._encoder(*best_fit_packing.public_files())
-    lengths = {}
-    for r in out:
-        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
-    for d, t in rows:
-        if not spans[d][1]:
-            assert lengths[d] == len(encode(t or "")) + 1
-        else:
-            assert lengths[d] < len(encode(t)) + 1
+    found = {}
+    for r in sorted(out, key=lambda r: r["piece"]):
+        found.setdefault(r["doc_id"], []).append((r["length"], r["ids_crc32"]))
+    for d, _ in rows:
+        ids = [*encode(left[d] or ""), best_fit_packing.END]
+        want = [(n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())) for at, n in best_fit_packing.cut_pieces(len(ids), best_fit_packing.CAPACITY)]
+        assert found[d] == want
+
+
+def _passages():
+    """Texts of their own words that share passages of 51 to 70 words, beside null, empty and repeated rows."""
+    rng = random.Random(11)
+    own = lambda k, n: " ".join(f"own{k}word{i}" for i in range(n))
+    rows = []
+    for k in range(20):
+        passage = " ".join(rng.choice(["la", "casa", "perhaps", "one", "river", "über", "window"]) + rng.choice(["", "s", "ed"]) for _ in range(51 + k))
+        rows += [(10 * k + j, f"{own(10 * k + j, 30)} {passage} {own(10 * k + j + 1000, 25)}") for j in range(2 + k % 3)]
+    return rows + [(900, None), (901, ""), (902, "short"), (None, own(7, 60)), (None, own(7, 60)), (903, own(8, 70)), (903, own(8, 70))]
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    rows = _passages()
+    docs = data.documents(spark, rows)
+    got = corpus_pipeline.repeats(spark, docs, "")
+    assert got.columns == docs.columns
+    left = data.left_texts(rows, corpus_pipeline.PASSAGE)
+    key = lambda r: repr(r)
+    assert sorted([(r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()], key=key) == sorted([(d, t, None if t is None else len(t)) for (d, _), t in zip(rows, left)], key=key)
+    for (d, t), kept in zip(rows, left):
+        if d is not None and d < 900:
+            assert len(kept.split()) <= 57 and kept.startswith(f"own{d}word0")
+
+
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, tmp_path):
+    data.documents(spark, data.texts()).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert out.where("offset = 0").count() == out.select("sequence_id").distinct().count() > 0
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    data.empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 @needs_data
