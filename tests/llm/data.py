@@ -39,6 +39,32 @@ def texts():
     return out
 
 
+STEMS = "river table window garden perhaps morning letter market summer winter doctor number people mountain evening brother animal bridge corner danger family gentle hunger island".split()
+
+
+def prose(rng, n):
+    """Sentences of 8 words that the quality rules keep."""
+    words = [rng.choice(STEMS)[: rng.randrange(3, 9)] + rng.choice(["", "s", "ed", "er"]) for _ in range(n)]
+    return " ".join((w.capitalize() if i % 8 == 0 else w) + ("." if i % 8 == 7 else "") for i, w in enumerate(words))
+
+
+def prose_texts():
+    """(doc_id, text) of prose: exact and near copies, passages of over fifty words, beside junk, nulls and repeated rows."""
+    rng = random.Random(7)
+    base = [prose(rng, rng.randrange(60, 200)) for _ in range(60)]
+    out = list(enumerate(base))
+    for k in range(10):
+        out.append((100 + k, base[k % 4] + " " * (k % 3)))
+        words = base[5 + k % 4].split()
+        words[k % len(words)] = f"changed{k}"
+        out.append((200 + k, " ".join(words)))
+    for k in range(12):
+        passage = prose(rng, 51 + k)
+        out += [(300 + 10 * k + j, f"{prose(rng, 90)} {passage} {prose(rng, 70)}") for j in range(2 + k % 3)]
+    out += [(500 + k, "## $$ %% " * 30) for k in range(3)] + [(600, None), (601, ""), (602, " \t\n"), (603, "One."), (604, prose(rng, 3000))]
+    return out + [(None, base[3]), (None, prose(rng, 80)), (None, None), (17, base[17]), (17, base[17]), (18, prose(rng, 90))]
+
+
 def documents(spark, rows=None, clashing=False):
     rows = texts() if rows is None else rows
     df = spark.createDataFrame([(d, t, "en" if (d or 0) % 3 else None, f"src{(d or 0) % 4}", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
