@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossvec.llm import best_fit_packing, chat_prefixes, exact_dedup, line_dedup, minhash_dedup, quality_rules, sentencepiece_tokens, site_quality, suffix_dedup, toxicity
+from glossvec.llm import best_fit_packing, chat_prefixes, exact_dedup, filter_audit, line_dedup, minhash_dedup, quality_rules, sentencepiece_tokens, site_quality, suffix_dedup, toxicity
 from glossvec.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,5 @@ _over("documents", "op6_circulant_minhash", minhash_dedup.near_query)
 _over("documents", "op7_suffix_dedup", suffix_dedup.repeats_query)
 _over("documents", "op8_sentencepiece", sentencepiece_tokens.pieces_query)
 QUERIES["op10_site_quality"] = lambda spark, folder: site_quality.sites_query(tables(spark, folder, "documents"), tables(spark, folder, "labels"))
+QUERIES["op11_filter_audit"] = lambda spark, folder: filter_audit.audit_query(tables(spark, folder, "documents"), tables(spark, folder, "labels"))
+ORACLES["op11_filter_audit"] = filter_audit.audit_sql()
