@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossvec.llm import best_fit_packing, binary_records, chat_prefixes, exact_dedup, filter_audit, line_dedup, minhash_dedup, quality_rules, sentencepiece_tokens, site_quality, suffix_dedup, toxicity
+from glossvec.llm import best_fit_packing, binary_records, chat_prefixes, exact_dedup, filter_audit, line_dedup, minhash_dedup, quality_rules, sentencepiece_tokens, site_quality, spelling_variants, suffix_dedup, toxicity
 from glossvec.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,4 @@ QUERIES["op10_site_quality"] = lambda spark, folder: site_quality.sites_query(ta
 QUERIES["op11_filter_audit"] = lambda spark, folder: filter_audit.audit_query(tables(spark, folder, "documents"), tables(spark, folder, "labels"))
 ORACLES["op11_filter_audit"] = filter_audit.audit_sql()
 _over("documents", "op13_binary_records", binary_records.records_query)
+_over("documents", "op12_spelling_variants", spelling_variants.variants_query)
