@@ -32,7 +32,15 @@ NODES, WIDTH = 20_000, 6
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
-_encoders: dict = {}
+
+class _Own(dict):
+    """What a process made for itself. Functions that use it are shipped by value, and then it is empty: a tokenizer that is pickled loses its settings."""
+
+    def __reduce__(self):
+        return _Own, ()
+
+
+_encoders = _Own()
 
 
 def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):

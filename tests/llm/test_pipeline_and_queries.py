@@ -16,9 +16,9 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables ar
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert set(ORACLES) == {"op2_chat_prefixes", "op3_quality_rules", "op4_line_dedup", "op5_exact_dedup"}
+    assert set(ORACLES) == {"op2_chat_prefixes", "op3_quality_rules", "op4_line_dedup", "op5_exact_dedup", "op11_filter_audit"}
 
 
 @needs_data
@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
