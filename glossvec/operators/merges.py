@@ -7,8 +7,10 @@ left-to-right `replace`, and a word's symbols are one `split`.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +21,13 @@ from pyspark.sql import types as T
 
 from glossvec.functions.text import normalise_text
 from glossvec.constants import BPE_SPECIALS, CONTINUATION, WORDPIECE_SPECIALS
+from glossvec.operators.merge_training import learn_merges
 from glossvec.operators.tokens import pretokens
 from glossvec.plans.lookups import as_list, list_parts
-from glossvec.plans.joins import task_count
-from glossvec.session import cut_lineage
+from glossvec.session import stored_table
 
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 
-# Pairs fetched per round, and merges applied between two checkpoints.
-TOP_PAIRS = 256
-MERGES_PER_CHECKPOINT = 64
-
 # Words an encoding task remembers.
 ENCODER_MEMORY = 1 << 18
 
@@ -93,33 +91,6 @@ def apply_merge(words: DataFrame, a: str, b: str, prefix: str = "") -> DataFrame
     return words.select("w", "f", symbols(merge_in(wrapped, a, b, prefix)).alias("sy"))
 
 
-def settled_prefix(top: list, complete: bool, seen: set, prefix: str = "") -> list:
-    """Leading pairs of a ranking that are sure to be merged next, one after the other.
-
-    Merging (a, b) only changes pairs that touch a or b, and a pair it makes is
-    no more frequent than the touching pair it stands for was. So while the
-    next pair shares no symbol with those taken, and no pair touching them is
-    as frequent as it, it is still the best. The run ends at (a, a), whose
-    new pairs stand for (a, a) itself, and at a merge that gives a symbol
-    already known. `top` holds (a, b, n) in rank order; `complete` tells that
-    no further pairs exist.
-    """
-    taken, used, names = [], set(), set()
-    for i, (a, b, n) in enumerate(top):
-        if taken:
-            ties = [p for p in top[i + 1 :] if p[2] == n]
-            run_is_cut = not complete and top[-1][2] == n
-            if a in used or b in used or run_is_cut or any(p[0] in used or p[1] in used for p in ties):
-                break
-        taken.append((a, b, n))
-        used |= {a, b}
-        name = joined_symbol(a, b, prefix)
-        if a == b or name in seen or name in names:
-            break
-        names.add(name)
-    return taken
-
-
 class MergeTraining:
     """Learned merges in order, and the vocabulary they give."""
 
@@ -142,113 +113,154 @@ class MergeTraining:
         return self._spark.createDataFrame(rows, "word string, token_id bigint")
 
 
+def letters_of(words: DataFrame, prefix: str = "") -> list[str]:
+    """The symbols that words start from, in order."""
+
+    def run(batches):
+        found: set = set()
+        for batch in batches:
+            for w in batch.column("w").to_pylist():
+                found.update(prefix + c if i and prefix else c for i, c in enumerate(w or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["c"])
+
+    return [r["c"] for r in words.select("w").mapInArrow(run, "c string").distinct().orderBy("c").collect()]
+
+
+def letter_symbols(words: DataFrame, letters: list[str], prefix: str = "") -> DataFrame:
+    """Words (w, f) as numbers of their letters: f, sy[]. Later letters carry the continuation prefix."""
+    number = {c: i for i, c in enumerate(letters)}
+
+    def run(batches):
+        for batch in batches:
+            sy = [[number[prefix + c if i and prefix else c] for i, c in enumerate(w or "")] for w in batch.column("w").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(sy, pa.list_(pa.int32()))], names=["f", "sy"])
+
+    return words.select("w", "f").mapInArrow(run, "f bigint, sy array<int>")
+
+
 def train_merges(
     words: DataFrame,
     vocab_size: int | None = None,
     rounds: int | None = None,
     specials: list[str] | None = None,
     prefix: str = "",
+    least: int = 1,
 ) -> MergeTraining:
-    """Merge the best pair until the vocabulary has `vocab_size` entries, or for `rounds` merges.
+    """Merge the best pair until the vocabulary has `vocab_size` entries, for `rounds` merges, or while a pair has `least` occurrences.
 
     `words` holds (w, f). The driver sees the ranking's head and the alphabet,
-    both bounded; the words stay distributed. One job settles as many merges as
-    are certain from its ranking. Each job keeps the words it merged for the
-    next one, and the lineage is cut every MERGES_PER_CHECKPOINT merges.
+    both bounded; the words stay distributed.
     """
     specials = list(BPE_SPECIALS if specials is None else specials)
-    spread = words.select("f", start_symbols("w", prefix).alias("s")).repartition(task_count(words))
-    current = cut_lineage(spread)
-    letters = [r["c"] for r in current.select(F.explode(symbols("s")).alias("c")).distinct().orderBy("c").collect()]
-    seen = set(specials) | set(letters)
-    if vocab_size is not None and vocab_size < len(seen):
-        raise ValueError(f"a vocabulary of {vocab_size} has no room for {len(seen)} special tokens and letters")
-    merges: list[tuple] = []
-    pending = 0
-    kept: DataFrame | None = None
-
-    def done() -> bool:
-        return (rounds is not None and len(merges) >= rounds) or (vocab_size is not None and len(seen) >= vocab_size)
-
-    while not done():
-        pairs = pair_frequencies(current.select("f", symbols("s").alias("sy")))
-        top = [tuple(r) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(TOP_PAIRS).collect()]
-        if kept is not None:
-            kept.unpersist()
-        if not top:
-            break
-        col = F.col("s")
-        for a, b, n in settled_prefix(top, len(top) < TOP_PAIRS, seen, prefix):
-            merged = joined_symbol(a, b, prefix)
-            merges.append((a, b, merged, n))
-            seen.add(merged)
-            col = merge_in(col, a, b, prefix)
-            pending += 1
-            if done():
-                break
-        before, current = current, current.select("f", col.alias("s"))
-        if pending >= MERGES_PER_CHECKPOINT:
-            current, pending, kept = cut_lineage(current), 0, None
-            before.unpersist()
-        else:
-            current = current.persist()
-            kept = before if before.is_cached else None
-    current.unpersist()
+    words = stored_table(words, "words")
+    letters = letters_of(words, prefix)
+    known = set(specials) | set(letters)
+    if vocab_size is not None and vocab_size < len(known):
+        raise ValueError(f"a vocabulary of {vocab_size} has no room for {len(known)} special tokens and letters")
+    start = letter_symbols(words, letters, prefix)
+    merges = learn_merges(start, letters, lambda a, b: joined_symbol(a, b, prefix), vocab_size, rounds, known, least)
     return MergeTraining(words.sparkSession, merges, letters, specials, prefix)
 
 
-def train_bpe(documents: DataFrame, vocab_size: int | None = None, rounds: int | None = None, mode: str = "punct"):
-    return train_merges(word_table(documents, mode), vocab_size, rounds)
+def train_bpe(documents: DataFrame, vocab_size: int | None = None, rounds: int | None = None, mode: str = "punct", least: int = 1):
+    return train_merges(word_table(documents, mode), vocab_size, rounds, least=least)
 
 
-def train_corpus_tokeniser(documents: DataFrame, vocab_size: int = 52_000, text: str = "text"):
+def train_corpus_tokeniser(documents: DataFrame, vocab_size: int = 52_000, text: str = "text", least: int = 1):
     """Retrain on a corpus with space-keeping pre-tokens."""
-    return train_merges(word_table(documents, "space", text), vocab_size)
+    return train_merges(word_table(documents, "space", text), vocab_size, least=least)
 
 
-def train_wordpiece(documents: DataFrame, vocab_size: int = 25_000, mode: str = "bert", normalise: bool = True):
+def train_wordpiece(documents: DataFrame, vocab_size: int = 25_000, mode: str = "bert", normalise: bool = True, least: int = 1):
     """Five special tokens first, continuation symbols marked. Texts are decomposed, lower-cased and rid of accents first."""
     rows = documents.withColumn("text", normalise_text("text")) if normalise else documents
-    return train_merges(word_table(rows, mode), vocab_size, specials=WORDPIECE_SPECIALS, prefix=CONTINUATION)
+    return train_merges(word_table(rows, mode), vocab_size, specials=WORDPIECE_SPECIALS, prefix=CONTINUATION, least=least)
 
 
 def merge_one(word: str, rank: dict, prefix: str = "") -> list[str]:
     """Symbols of a word after all merges in learned order.
 
-    The lowest-ranked pair present is merged next and ranks only rise, which is
-    one pass over the merges that skips those that do not occur.
+    The lowest-ranked pair present is merged next, the leftmost of equals first,
+    and ranks only rise. Pairs wait in a heap, symbols hang together in a linked
+    list, so a long word takes linear-logarithmic time.
     """
-    parts = [prefix + c if i and prefix else c for i, c in enumerate(word)]
-    last = -1
-    while len(parts) > 1:
-        ahead = (rank.get(p, -1) for p in zip(parts, parts[1:]))
-        step = min((r for r in ahead if r > last), default=None)
-        if step is None:
-            break
-        last, out, i = step, [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and rank.get((parts[i], parts[i + 1])) == step:
-                out.append(joined_symbol(parts[i], parts[i + 1], prefix))
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
-
-
-def longest_match(word: str, known: set, longest: int, prefix: str = CONTINUATION) -> list[str]:
-    """Greedy longest match; a word with an unmatched rest is `[UNK]`."""
-    out, at = [], 0
-    while at < len(word):
-        lead = prefix if at else ""
-        ends = range(min(len(word), at + longest), at, -1)
-        end = next((e for e in ends if lead + word[at:e] in known), None)
-        if end is None:
-            return ["[UNK]"]
-        out.append(lead + word[at:end])
-        at = end
-    return out
+    parts: list = [prefix + c if i and prefix else c for i, c in enumerate(word)]
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
+    heapify(heap)
+    while heap:
+        step, i = heappop(heap)
+        j = after[i] if parts[i] is not None else n
+        if j >= n or rank.get((parts[i], parts[j])) != step:
+            continue  # one of the two has been merged since
+        parts[i], parts[j] = joined_symbol(parts[i], parts[j], prefix), None
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a in (before[i], i):
+            b = after[a] if a >= 0 else n
+            if b < n and (r := rank.get((parts[a], parts[b]))) is not None and r > step:
+                heappush(heap, (r, a))
+    return [p for p in parts if p is not None]
+
+
+class PieceTrie:
+    """Greedy longest match in one pass over a word.
+
+    A trie of the entries, and one of what follows the continuation prefix. Where a
+    place has no way on, its failure link gives the pieces that are certain by then
+    and the place in the second trie that stands for the rest read so far.
+    """
+
+    def __init__(self, vocabulary, prefix: str = CONTINUATION):
+        # Places 0 and 1 are the two roots.
+        self.ways: list[dict[str, int]] = [{}, {}]
+        entry: list[str | None] = [None, None]
+        for word in vocabulary:
+            inner = word[len(prefix) :] if word.startswith(prefix) else ""
+            for root, letters in ((0, word), (1, inner)):
+                at = root
+                for c in letters:
+                    if c not in self.ways[at]:
+                        self.ways[at][c] = len(self.ways)
+                        self.ways.append({})
+                        entry.append(None)
+                    at = self.ways[at][c]
+                if letters:
+                    entry[at] = word
+        self.back: list[int | None] = [None] * len(self.ways)
+        self.pieces: list[tuple[str, ...]] = [()] * len(self.ways)
+        queue = deque([0, 1])
+        while queue:
+            u = queue.popleft()
+            for c, v in self.ways[u].items():
+                queue.append(v)
+                if entry[v] is not None:
+                    self.back[v], self.pieces[v] = 1, (entry[v],)
+                    continue
+                z, more = self.back[u], self.pieces[u]
+                while z is not None and c not in self.ways[z]:
+                    z, more = self.back[z], more + self.pieces[z]
+                if z is not None:
+                    self.back[v], self.pieces[v] = self.ways[z][c], more
+
+    def match(self, word: str) -> list[str]:
+        """Pieces of a word; `[UNK]` where a rest has none."""
+        at, out = 0, []
+        for c in word:
+            while c not in self.ways[at]:
+                if self.back[at] is None:
+                    return ["[UNK]"]
+                out += self.pieces[at]
+                at = self.back[at]
+            at = self.ways[at][c]
+        while at > 1:
+            if self.back[at] is None:
+                return ["[UNK]"]
+            out += self.pieces[at]
+            at = self.back[at]
+        return out
 
 
 def encoded(tokens: Column, make_encoder) -> Column:
@@ -284,6 +296,14 @@ def _pieces(documents: DataFrame, tokens: Column, make_encoder, key: str) -> Dat
     return documents.select(key, encoded(tokens, make_encoder).alias("e")).select(key, "e.tokens", "e.word_ids")
 
 
+def merge_ranks(merges: list[tuple]) -> dict:
+    """Place of every pair in the learned order; of a pair that was learned twice, the first."""
+    ranks: dict = {}
+    for i, m in enumerate(merges):
+        ranks.setdefault((m[0], m[1]), i)
+    return ranks
+
+
 def encode_bpe(
     documents: DataFrame,
     merges: list[tuple],
@@ -293,7 +313,7 @@ def encode_bpe(
     prefix: str = "",
 ) -> DataFrame:
     """Pre-tokenise and apply the merges in learned order: key, tokens[], word_ids[]."""
-    ranks = {(m[0], m[1]): i for i, m in enumerate(merges)}
+    ranks = merge_ranks(merges)
     shipped = documents.sparkSession.sparkContext.broadcast(ranks)  # one entry per trained merge
 
     def make():
@@ -307,12 +327,10 @@ def encode_wordpiece(
     documents: DataFrame, vocabulary: list[str], mode: str = "bert", key: str = "doc_id", text: str = "text", normalise: bool = True
 ) -> DataFrame:
     """Greedy longest match, unknown words as `[UNK]`: key, tokens[], word_ids[]. Texts are normalised as in training."""
-    known = set(vocabulary)
-    shipped = documents.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=1)))
+    shipped = documents.sparkSession.sparkContext.broadcast(list(vocabulary))  # entries of a trained vocabulary
 
     def make():
-        table, longest = shipped.value
-        return lambda word: longest_match(word, table, longest)
+        return PieceTrie(shipped.value).match
 
     shown = normalise_text(text) if normalise else F.col(text)
     return _pieces(documents, pretokens(shown, mode), make, key)
@@ -320,7 +338,7 @@ def encode_wordpiece(
 
 def encode_words(words: DataFrame, merges: list[tuple], prefix: str = "", col: str = "w") -> DataFrame:
     """Distinct words under one set of merges: w, tokens[]."""
-    ranks = {(m[0], m[1]): i for i, m in enumerate(merges)}
+    ranks = merge_ranks(merges)
     shipped = words.sparkSession.sparkContext.broadcast(ranks)
 
     def make():

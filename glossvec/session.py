@@ -58,3 +58,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and continue from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that the library itself wrote to the checkpoint folder and no longer reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

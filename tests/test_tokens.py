@@ -1,12 +1,16 @@
+import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plain_rows import rows
 from glossvec.operators import vocabulary as voc
 from glossvec.operators import corpus as cp
+from glossvec.operators import merge_training as mt
 from glossvec.operators import merges as mg
 from glossvec.operators import tokens as tk
 
@@ -39,52 +43,127 @@ def test_pretokenise_modes(spark):
     assert toks("punct", 2) == [] and toks("punct", 3) == [("é_1", 1, 4)]
 
 
-def plain_training(texts, merges):
-    words = Counter(w for t in texts for w in re.findall(r"\w+|[^\w\s]+", t))
-    split = {w: list(w) for w in words}
-    out = []
-    for _ in range(merges):
+def plain_training(words, merges, prefix=""):
+    """Merges of one count that do not overlap together, in order of their texts; else one after the other. Every merge makes a symbol of its own."""
+    names, out = [], []
+
+    def named(name):
+        names.append(name)
+        return len(names) - 1
+
+    ids = {c: named(c) for c in sorted({prefix + c if i and prefix else c for w in words for i, c in enumerate(w)})}
+    split = {w: [ids[prefix + c if i and prefix else c] for i, c in enumerate(w)] for w in words}
+    while len(out) < merges:
         pairs = Counter()
         for w, f in words.items():
             for p in zip(split[w], split[w][1:]):
                 pairs[p] += f
         if not pairs:
             break
-        n = max(pairs.values())
-        a, b = min(p for p, c in pairs.items() if c == n)
-        out.append((a, b, a + b, n))
-        for w, s in split.items():
-            i, r = 0, []
-            while i < len(s):
-                if i + 1 < len(s) and (s[i], s[i + 1]) == (a, b):
-                    r.append(a + b)
-                    i += 2
-                else:
-                    r.append(s[i])
-                    i += 1
-            split[w] = r
-    return out, split
-
-
-@pytest.mark.parametrize("merges, per_checkpoint", [(40, 5), (15, 64)])
-def test_training_equals_one_merge_at_a_time(docs, monkeypatch, merges, per_checkpoint):
-    monkeypatch.setattr(mg, "MERGES_PER_CHECKPOINT", per_checkpoint)
-    want, split = plain_training([t for _, t in TEXT], merges)
-    got = mg.train_bpe(docs.repartition(3), rounds=merges)
+        n, taken = max(pairs.values()), []
+        for p in sorted((p for p, c in pairs.items() if c == n), key=lambda p: (names[p[0]], names[p[1]], p)):
+            if not any(p[0] == q[1] or p[1] == q[0] for q in taken):
+                taken.append(p)
+        for a, b in taken:
+            made = named(mg.joined_symbol(names[a], names[b], prefix))
+            out.append((names[a], names[b], names[made], n))
+            for w, s in split.items():
+                i, r = 0, []
+                while i < len(s):
+                    if i + 1 < len(s) and (s[i], s[i + 1]) == (a, b):
+                        r.append(made)
+                        i += 2
+                    else:
+                        r.append(s[i])
+                        i += 1
+                split[w] = r
+    return out[:merges], {w: [names[i] for i in s] for w, s in split.items()}
+
+
+def small_words(seed, letters, n):
+    rng = random.Random(seed)
+    return {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))): rng.randrange(1, 30) for _ in range(n)}
+
+
+@pytest.mark.parametrize("words, prefix, head", [
+    (Counter(w for _, t in TEXT for w in re.findall(r"\w+|[^\w\s]+", t)), "", mt.HEAD), (small_words(1, "aab", 30), "", 3), (small_words(2, "abcé\U0001f600", 15), "##", mt.HEAD)])
+def test_training_equals_plain_python(spark, monkeypatch, words, prefix, head):
+    monkeypatch.setattr(mt.learn_merges, "__defaults__", (head,))
+    df = spark.createDataFrame(list(words.items()), "w string, f bigint").repartition(3)
+    want, split = plain_training(words, 10_000, prefix)
+    got = mg.train_merges(df, rounds=10_000, prefix=prefix)
     assert got.merges == want
-    encoded = {r["w"]: r["tokens"] for r in mg.encode_words(mg.word_table(docs).select("w"), got.merges).collect()}
-    assert encoded == split
-
-
-def test_settled_prefix_stops_where_it_must():
-    top = [("a", "b", 9), ("c", "d", 8), ("e", "a", 7)]
-    assert mg.settled_prefix(top, True, set()) == top[:2]
-    assert mg.settled_prefix([("a", "a", 9), ("c", "d", 8)], True, set()) == [("a", "a", 9)]
-    assert mg.settled_prefix([("a", "b", 9), ("c", "d", 8)], True, {"ab"}) == [("a", "b", 9)]
-    # (b, x) ties with (c, d): what it turns into could come first
-    assert mg.settled_prefix([("a", "b", 9), ("c", "d", 8), ("d", "b", 8)], True, set()) == [("a", "b", 9)]
-    # the run of ties may go on beyond what was fetched
-    assert mg.settled_prefix([("a", "b", 9), ("c", "d", 8)], False, set()) == [("a", "b", 9)]
+    size = len(set(got.vocabulary)) - 9
+    assert mg.train_merges(df, vocab_size=size, prefix=prefix).vocabulary == got.vocabulary[:size]
+    encoded = {r["w"]: r["tokens"] for r in mg.encode_words(df.select("w"), got.merges, prefix).collect()}
+    if len({m[:2] for m in want}) == len(want) and len({m[2] for m in want}) == len(want):
+        assert encoded == split
+    assert all("".join(p[len(prefix) :] if i and prefix else p for i, p in enumerate(encoded[w])) == w for w in words)
+
+
+def test_training_stops_where_nothing_repeats(spark):
+    df = spark.createDataFrame([("abc", 1), ("abd", 1), ("xyz", 1)], "w string, f bigint")
+    assert mg.train_merges(df, vocab_size=500, least=2).merges == [("a", "b", "ab", 2)]
+    assert mg.train_merges(df.limit(0), vocab_size=500).merges == []
+
+
+def test_merges_apply_from_the_left():
+    values, lengths = np.array([0, 0, 0, 1, 0, 0, 0, 0, 2], np.int32), np.array([4, 0, 5])
+    got, left, touched = mt.merged_symbols(values, lengths, np.array([0, 0 << 32 | 1][:1], np.int64), np.array([9], np.int32))
+    assert got.tolist() == [9, 0, 1, 9, 9, 2] and left.tolist() == [3, 0, 3] and touched.tolist() == [0, 2]
+    assert mt.without_overlaps([(1, 2), (2, 3), (1, 4), (5, 1), (6, 2), (7, 7), (8, 7)]) == [(1, 2), (1, 4), (6, 2), (7, 7)]
+
+
+def plain_encode(word, ranks, prefix=""):
+    """Every merge in learned order over the whole word."""
+    parts = [prefix + c if i and prefix else c for i, c in enumerate(word)]
+    for (a, b), _ in sorted(ranks.items(), key=lambda x: x[1]):
+        i, out = 0, []
+        while i < len(parts):
+            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == (a, b):
+                out.append(mg.joined_symbol(a, b, prefix))
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return parts
+
+
+def plain_match(word, known, prefix):
+    out, at = [], 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if (prefix if at else "") + word[at:e] in known), None)
+        if end is None:
+            return ["[UNK]"]
+        out.append((prefix if at else "") + word[at:end])
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("prefix", ["", "##"])
+def test_heap_and_trie_equal_plain_encoding(prefix):
+    rng = random.Random(9)
+    for _ in range(60):
+        merges, _ = plain_training(small_words(rng.random(), "abc", 12), rng.randrange(1, 40), prefix)
+        ranks = mg.merge_ranks(merges)
+        for w in list(small_words(rng.random(), "abcd", 25)) + ["", "aaaaaaa", "abababab"]:
+            assert mg.merge_one(w, ranks, prefix) == plain_encode(w, ranks, prefix)
+        known = {rng.choice(["", "##"]) + "".join(rng.choice("ab#") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 12))}
+        trie = mg.PieceTrie(known)
+        for w in list(small_words(rng.random(), "ab#", 30)) + ["", "##", "##a"]:
+            assert trie.match(w) == plain_match(w, known, "##"), (w, known)
+
+
+def test_long_tokens_take_little_longer_than_their_length():
+    merges, _ = plain_training(small_words(3, "ab", 40), 300)
+    ranks, rng = mg.merge_ranks(merges), random.Random(4)
+    word = "".join(rng.choice("ab") for _ in range(200_000))
+    began = time.perf_counter()
+    assert "".join(mg.merge_one(word, ranks)) == word
+    trie = mg.PieceTrie(["a" * k for k in range(1, 1500)] + ["##" + "a" * k for k in range(1, 1500)] + ["##b"])
+    assert trie.match("a" * 100_000 + "b")[-1] == "##b"
+    assert time.perf_counter() - began < 30
 
 
 def test_vocabulary_size_and_round_trip(docs):
