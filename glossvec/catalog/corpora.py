@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossvec.functions.text import normalise_text
 from glossvec.catalog.registry import query
 from glossvec.catalog.relations import PUNCT, WORD, pieces_sql
 from glossvec.catalog.tables import LABELS
-from glossvec.constants import WORDPIECE_SPECIALS
 from glossvec.functions.text import word_runs
 from glossvec.operators import corpus as cp
 from glossvec.operators import entities as en
@@ -83,7 +81,8 @@ def _(x):
 
 # --- tokenisers ------------------------------------------------------------
 
-ROUNDS = 40
+#: Merges of `train_bpe`; entries of the corpus tokeniser and of word pieces, or while a pair repeats.
+MERGES, CORPUS_ENTRIES, PIECE_ENTRIES = 4_000, 52_000, 25_000
 
 
 def _trained(x, name, train):
@@ -94,16 +93,11 @@ def _trained(x, name, train):
 
 
 def _bpe(x):
-    return _trained(x, "bpe", lambda: mg.train_bpe(x.documents, rounds=ROUNDS))
+    return _trained(x, "bpe", lambda: mg.train_bpe(x.documents, rounds=MERGES, least=2))
 
 
 def _wordpiece(x):
-    def train():
-        letters = voc.alphabet(x.documents, tk.pretokens(normalise_text("text"), "bert")).count()
-        # Two forms of every letter at most, then room for merges.
-        return mg.train_wordpiece(x.documents, vocab_size=2 * letters + len(WORDPIECE_SPECIALS) + 40)
-
-    return _trained(x, "wordpiece", train)
+    return _trained(x, "wordpiece", lambda: mg.train_wordpiece(x.documents, PIECE_ENTRIES, least=2))
 
 
 @query("train_bpe")
@@ -113,8 +107,7 @@ def _(x):
 
 @query("train_corpus_tokeniser")
 def _(x):
-    letters = voc.alphabet(x.documents, tk.pretokens("text", "space")).count()
-    return mg.train_corpus_tokeniser(x.documents, vocab_size=letters + 41).vocabulary_table()
+    return mg.train_corpus_tokeniser(x.documents, CORPUS_ENTRIES, least=2).vocabulary_table()
 
 
 @query("train_wordpiece")

@@ -10,12 +10,15 @@ the head exact, and pairs are counted anew only when its last entry has been use
 
 What may be merged together:
 
-* All pairs of the highest count that do not overlap: (a, b) and (b, c) do, (a, c)
-  and (b, c) do not. They are taken in the order of their texts; one that overlaps a
+* All pairs of the highest count that do not meet. Two pairs meet where they share a
+  symbol of some word. They are taken in the order of their texts; one that meets a
   taken one waits for the next round. This is the rule for ties.
-* Ahead of their turn, pairs that no pair as frequent overlaps: nothing before them
-  can change their count, and what they make is less frequent than they are. They go
-  to their place in the order afterwards.
+* Ahead of their turn, pairs that meet no pair as frequent: whatever comes to stand
+  beside them is less frequent, so nothing before them can change their count, and
+  what they make is less frequent than they are. They go to their place in the order
+  afterwards.
+
+Who meets whom is found in a pass over the words, with the counts of the head.
 
 So the result is that of merging one most frequent pair after the other. A symbol is
 known by the merge that made it: two ways to one text stay two symbols in training
@@ -149,33 +152,48 @@ def ranked_pairs(words: DataFrame, limit: int) -> list[tuple[int, int]]:
     return [tuple(r) for r in counts.orderBy(F.desc("n"), "k").limit(limit).collect()]
 
 
-def ahead_of_turn(left: np.ndarray, right: np.ndarray, counts: np.ndarray, symbols: int) -> np.ndarray:
-    """Which pairs no other pair as frequent overlaps."""
-    into, out, own = (np.zeros(symbols, np.int64) for _ in range(3))
-    twin = left == right
-    np.maximum.at(into, right[~twin], counts[~twin])
-    np.maximum.at(out, left[~twin], counts[~twin])
-    own[left[twin]] = counts[twin]
-    beaten = np.maximum(into[left], out[right])
-    return counts > np.where(twin, beaten, np.maximum(beaten, np.maximum(own[left], own[right])))
-
-
-def without_overlaps(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs in order, without those that overlap an earlier one."""
-    lefts, rights, out = set(), set(), []
-    for a, b in pairs:
-        if a not in rights and b not in lefts:
-            out.append((a, b))
-            lefts.add(a)
-            rights.add(b)
-    return out
+def meetings(words: DataFrame, keys: np.ndarray, counts: np.ndarray, top: int) -> tuple[set[int], set[tuple[int, int]]]:
+    """(pairs that meet one as frequent, who meets whom among the pairs of count `top`), by keys. `keys` are sorted."""
+
+    def run(batches):
+        beaten, met = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        for batch in batches:
+            _, values, lengths = _words_of(batch)
+            if len(values) < 3:
+                continue
+            _, same = _in_words(lengths)
+            key = pair_keys(values[:-1], values[1:])
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            n = np.where(same & (keys[at] == key), counts[at], 0)
+            both = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0) & (key[:-1] != key[1:]))
+            left, right = n[both], n[both + 1]
+            beaten = np.unique(np.concatenate([beaten, key[both + 1][left >= right], key[both][right >= left]]))
+            ties = both[(left == top) & (right == top)]
+            met = np.unique(np.concatenate([met, np.stack([key[ties], key[ties + 1]], 1)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([beaten, met[:, 0]])), pa.array(np.concatenate([np.full(len(beaten), -1), met[:, 1]]))], names=["k", "other"])
+
+    rows = words.mapInArrow(run, "k bigint, other bigint").distinct().collect()
+    return {k for k, other in rows if other < 0}, {(k, other) for k, other in rows if other >= 0}
+
+
+def without_meetings(pairs: list[int], met: set[tuple[int, int]]) -> list[int]:
+    """Pairs in order, without those that meet an earlier one."""
+    others: dict[int, list[int]] = {}
+    for a, b in met:
+        others.setdefault(a, []).append(b)
+        others.setdefault(b, []).append(a)
+    taken: set[int] = set()
+    for p in pairs:
+        if not any(q in taken for q in others.get(p, ())):
+            taken.add(p)
+    return [p for p in pairs if p in taken]
 
 
 class Ranking:
-    """The head of the ranking: exact counts of all pairs above `floor`."""
+    """The head of the ranking: exact counts of all pairs above `floor`. It is cut when it has grown to twice its size."""
 
     def __init__(self, words: DataFrame, head: int):
-        size = head
+        self.head = size = head
         while True:
             rows = ranked_pairs(words, size)
             self.floor = rows[-1][1] if len(rows) == size else 0
@@ -194,6 +212,11 @@ class Ranking:
                 self.counts[k] = now
             else:
                 self.counts.pop(k, None)
+        if len(self.counts) > 2 * self.head:
+            ordered = sorted(self.counts.values(), reverse=True)
+            if ordered[self.head] < ordered[0]:
+                self.floor = ordered[self.head]
+                self.counts = {k: n for k, n in self.counts.items() if n > self.floor}
 
 
 def learn_merges(words: DataFrame, letters: list[str], join, vocab_size: int | None, rounds: int | None, known: set[str], least: int, head: int = HEAD) -> list[tuple[str, str, str, int]]:
@@ -225,22 +248,22 @@ def learn_merges(words: DataFrame, letters: list[str], join, vocab_size: int | N
             top = ranking.top()
         if top < max(least, 1) or enough(top):
             break
-        keys = np.fromiter(ranking.counts.keys(), np.int64, len(ranking.counts))
-        counts = np.fromiter(ranking.counts.values(), np.int64, len(keys))
-        left, right = keys >> 32, keys & 0xFFFFFFFF
-        first = sorted(((int(a), int(b)) for a, b in zip(left[counts == top], right[counts == top])), key=lambda p: (names[p[0]], names[p[1]], p))
+        keys = np.array(sorted(ranking.counts), np.int64)
+        counts = np.array([ranking.counts[k] for k in keys.tolist()], np.int64)
+        beaten, met = meetings(current, keys, counts, top)
+        text = lambda k: (names[k >> 32], names[k & 0xFFFFFFFF], k)
         level, turn = top, turn + 1 if top == level else 0
-        taken = [(top, turn, *p) for p in without_overlaps(first)]
-        early = ahead_of_turn(left, right, counts, len(names)) & (counts < top) & (counts >= least)
-        taken += sorted(((int(n), 0, int(a), int(b)) for a, b, n in zip(left[early], right[early], counts[early])), key=lambda m: (-m[0], *m[2:]))
+        taken = [(top, turn, k) for k in without_meetings(sorted(keys[counts == top].tolist(), key=text), met)]
+        taken += [(n, 0, k) for n, k in sorted(((n, k) for k, n in ranking.counts.items() if least <= n < top and k not in beaten), key=lambda m: (-m[0], m[1]))]
         made = {}
-        for n, at, a, b in taken:
-            merges.append((n, at, names[a], names[b], join(names[a], names[b])))
-            made[a << 32 | b] = len(names)
+        for n, at, k in taken:
+            a, b, _ = text(k)
+            merges.append((n, at, a, b, join(a, b)))
+            made[k] = len(names)
             names.append(merges[-1][4])
         merge_keys = np.array(sorted(made), np.int64)
         number += 1
-        applied(current, merge_keys, np.array([made[k] for k in merge_keys.tolist()], np.int32), np.sort(keys)).write.parquet(f"{folder}/{number}")
+        applied(current, merge_keys, np.array([made[k] for k in merge_keys.tolist()], np.int32), keys).write.parquet(f"{folder}/{number}")
         drop_table(spark, path)
         path = f"{folder}/{number}"
         rows = spark.read.schema(_TABLE).parquet(path)

@@ -44,7 +44,7 @@ def test_pretokenise_modes(spark):
 
 
 def plain_training(words, merges, prefix=""):
-    """Merges of one count that do not overlap together, in order of their texts; else one after the other. Every merge makes a symbol of its own."""
+    """Merges of one count that share no symbol of a word together, in order of their texts. Every merge makes a symbol of its own."""
     names, out = [], []
 
     def named(name):
@@ -61,8 +61,9 @@ def plain_training(words, merges, prefix=""):
         if not pairs:
             break
         n, taken = max(pairs.values()), []
+        met = {m for s in split.values() for m in zip(zip(s, s[1:]), zip(s[1:], s[2:]))}
         for p in sorted((p for p, c in pairs.items() if c == n), key=lambda p: (names[p[0]], names[p[1]], p)):
-            if not any(p[0] == q[1] or p[1] == q[0] for q in taken):
+            if not any((p, q) in met or (q, p) in met for q in taken):
                 taken.append(p)
         for a, b in taken:
             made = named(mg.joined_symbol(names[a], names[b], prefix))
@@ -111,7 +112,7 @@ def test_merges_apply_from_the_left():
     values, lengths = np.array([0, 0, 0, 1, 0, 0, 0, 0, 2], np.int32), np.array([4, 0, 5])
     got, left, touched = mt.merged_symbols(values, lengths, np.array([0, 0 << 32 | 1][:1], np.int64), np.array([9], np.int32))
     assert got.tolist() == [9, 0, 1, 9, 9, 2] and left.tolist() == [3, 0, 3] and touched.tolist() == [0, 2]
-    assert mt.without_overlaps([(1, 2), (2, 3), (1, 4), (5, 1), (6, 2), (7, 7), (8, 7)]) == [(1, 2), (1, 4), (6, 2), (7, 7)]
+    assert mt.without_meetings([1, 2, 3, 4], {(2, 1), (3, 2), (4, 3)}) == [1, 3]
 
 
 def plain_encode(word, ranks, prefix=""):
