@@ -13,11 +13,14 @@ from glossvec.functions.vectors import l2_norm
 from glossvec.operators.pooling import definition_vectors
 from glossvec.operators.tokens import pretokenise
 from glossvec.operators.vocabulary import build_vocabulary, char_vocabulary, token_rows, word_frequencies
+from glossvec.plans.derived import derived_table
 from glossvec.plans.joins import lookup_join, spread
 from glossvec.plans.lookups import with_token_ids
-from glossvec.session import stored_table
 from glossvec.sources.corpora import vector_sheet
 
+#: Goes up when a derived table changes its form.
+FORM = 1
+
 
 class Inputs:
     """The tables of one folder, and what is derived from them. Lookup tables used by many queries are kept."""
@@ -28,6 +31,10 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def derived(self, name: str, sources: list[str], make) -> DataFrame:
+        """A table made once of the named tables of the folder."""
+        return derived_table(self.spark, name, [f"{self.folder}/{s}.parquet" for s in sources], make, form=FORM)
+
     @cached_property
     def documents(self) -> DataFrame:
         return spread(self.table("documents"), "doc_id")
@@ -70,21 +77,33 @@ class Inputs:
     @cached_property
     def lexicon(self) -> DataFrame:
         """Every document whose first word has a vector, as an entry for it: entry, word, token_id, definition, norm."""
-        norms = self.vectors.select("token_id", F.round(l2_norm("v"), 6).alias("norm"))
-        words = lookup_join(self.vocab.select("token_id", "word"), norms, "token_id")
-        found = lookup_join(self.dictionary.withColumnRenamed("doc_id", "entry"), words, "word")
-        return found.select("entry", "word", "token_id", "definition", "norm")
+
+        def make():
+            norms = self.vectors.select("token_id", F.round(l2_norm("v"), 6).alias("norm"))
+            words = lookup_join(self.vocab.select("token_id", "word"), norms, "token_id")
+            found = lookup_join(self.dictionary.withColumnRenamed("doc_id", "entry"), words, "word")
+            return found.select("entry", "word", "token_id", "definition", "norm")
+
+        return self.derived("lexicon", ["documents", "embeddings"], make)
 
     @cached_property
     def head_vectors(self) -> DataFrame:
         """The vector of every entry's word, by entry: token_id, v."""
-        entries = self.lexicon.select(F.col("entry"), "token_id")
-        return lookup_join(entries, self.vectors, "token_id").select(F.col("entry").alias("token_id"), "v")
+
+        def make():
+            entries = self.lexicon.select("entry", "token_id")
+            return lookup_join(entries, self.vectors, "token_id").select(F.col("entry").alias("token_id"), "v")
+
+        return self.derived("head_vectors", ["documents", "embeddings"], make)
 
     @cached_property
     def sheet(self) -> DataFrame:
         """The definition vector of every word, of its last entry: word, v."""
-        return vector_sheet(self.def_vectors, self.lexicon.select(F.col("entry").alias("token_id"), "word"))
+
+        def make():
+            return vector_sheet(self.def_vectors, self.lexicon.select(F.col("entry").alias("token_id"), "word"))
+
+        return self.derived("sheet", ["documents", "embeddings"], make)
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -97,7 +116,7 @@ class Inputs:
     @cached_property
     def def_vectors(self) -> DataFrame:
         """The mean vector of every definition, kept as a stored sheet would be: token_id, v."""
-        return stored_table(definition_vectors(self.definitions, self.vocab, self.vectors), "def_vectors")
+        return self.derived("def_vectors", ["documents", "embeddings"], lambda: definition_vectors(self.definitions, self.vocab, self.vectors))
 
     @cached_property
     def def_queries(self) -> DataFrame:
@@ -133,8 +152,11 @@ class Inputs:
     @cached_property
     def sequences(self) -> DataFrame:
         """The tokenised dataset, unknown words as -1, kept as a stored one would be: doc_id, ids[]."""
-        coded = with_token_ids(self.documents.select("doc_id", "text"), word_runs("text"), self.vocab, "ids", UNK_ID)
-        return stored_table(coded.select("doc_id", "ids"), "sequences")
+
+        def make():
+            return with_token_ids(self.documents.select("doc_id", "text"), word_runs("text"), self.vocab, "ids", UNK_ID).select("doc_id", "ids")
+
+        return self.derived("sequences", ["documents", "embeddings"], make)
 
     @cached_property
     def token_seq(self) -> DataFrame:
