@@ -1,33 +1,29 @@
-"""Training of merges by changes: pairs are counted once, then only words that a merge touches change the counts.
-
-Words are rows of symbol numbers. A round applies a set of merges in one pass over
-them, and the same pass tells how pair counts change. The rounds' tables lie in the
-checkpoint folder, each replaced by the next.
-
-The driver holds the ranking's head: all pairs above a threshold, with exact counts.
-Counts of pairs only fall (a new pair stands for one that was there), so changes keep
-the head exact, and pairs are counted anew only when its last entry has been used.
-
-What may be merged together:
-
-* All pairs of the highest count that do not meet. Two pairs meet where they share a
-  symbol of some word. They are taken in the order of their texts; one that meets a
-  taken one waits for the next round. This is the rule for ties.
-* Ahead of their turn, pairs that meet no pair as frequent: whatever comes to stand
-  beside them is less frequent, so nothing before them can change their count, and
-  what they make is less frequent than they are. They go to their place in the order
-  afterwards.
-
-Who meets whom is found in a pass over the words, with the counts of the head.
-
-So the result is that of merging one most frequent pair after the other. A symbol is
-known by the merge that made it: two ways to one text stay two symbols in training
-and are one entry of the vocabulary.
+"""Training of merges: many merges a pass, exactly in the order of one after the other.
+
+Words are rows of symbol numbers. A round works on the pairs above some count, the
+hot ones. Where neighbours in a word are hot pairs they form a run, and a run ends
+where a pair is cold. Whatever merges make of a cold pair is no more frequent than
+it was, so until the best pair is as rare as the cold ones, all that happens lies
+inside the runs. Distinct runs with their counts are few, as they are made of few
+pairs, and the driver goes through the merges on them: an inverted table from pair to
+runs, and a heap whose entries are put right when they come up. Then the words are
+rewritten by the merges found, in the tasks, and the next round begins. Letters give
+hundreds of merges a round; later, when hot pairs seldom touch, thousands.
+
+How many pairs are hot adapts to the number of runs: the driver takes 2 * RUNS at
+most, whatever the corpus, unless the pairs of the highest count alone make more. Each round's words replace those of the round
+before in the checkpoint folder.
+
+The best pair is the most frequent one, of equals the first by (left, right). A symbol
+is known by the merge that made it: two ways to one text stay two symbols in
+training and are one entry of the vocabulary.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,247 +33,214 @@ from pyspark.sql import functions as F
 from glossvec.plans.joins import task_count
 from glossvec.session import drop_table, ensure_checkpoint_dir
 
-#: Pairs that the driver ranks at a time.
-HEAD = 20_000
-#: Changes that a task holds before it sums them up.
-HELD = 1 << 20
-
-_TABLE = "f bigint, sy array<int>, a int, b int, n bigint"
+#: Hot pairs of the first round, distinct runs that a round aims at, and sums that a task holds before it passes them on.
+HOT, RUNS, HELD = 128, 50_000, 200_000
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left.astype(np.int64) << 32) | right.astype(np.int64)
 
 
-def _in_words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word of every symbol, and whether the next symbol is of the same word."""
-    word = np.repeat(np.arange(len(lengths)), lengths)
-    return word, word[:-1] == word[1:]
-
-
-def merged_symbols(values: np.ndarray, lengths: np.ndarray, keys: np.ndarray, made: np.ndarray):
-    """Apply non-overlapping merges to words laid end to end: (values, lengths, words that changed).
-
-    `keys` are sorted; `made` are the symbols they make. In a run of one symbol pairs are taken from the left.
-    """
-    if len(values) < 2 or not len(keys):
-        return values, lengths, np.zeros(0, np.int64)
-    word, same = _in_words(lengths)
-    key = pair_keys(values[:-1], values[1:])
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    hit = np.flatnonzero(same & (keys[at] == key))
-    if len(hit):
-        first = np.concatenate([[True], np.diff(hit) > 1])
-        start = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
-    out, keep = values.copy(), np.ones(len(values), bool)
-    out[hit], keep[hit + 1] = made[at[hit]], False
-    return out[keep], lengths - np.bincount(word[hit], minlength=len(lengths)), np.unique(word[hit])
-
-
-def weighted_pairs(values: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(values) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word, same = _in_words(lengths)
-    return pair_keys(values[:-1], values[1:])[same], weights[word[:-1][same]]
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, back, np.concatenate([p[1] for p in parts]))
-    return keys, sums
-
-
 def _words_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, symbols end to end, and lengths."""
     col = batch.column("sy")
     offsets = np.asarray(col.offsets).astype(np.int64)
-    values = np.asarray(col.values)[offsets[0] : offsets[-1]]
-    return np.asarray(batch.column("f")), values, np.diff(offsets)
-
+    return np.asarray(batch.column("f")), np.asarray(col.values)[offsets[0] : offsets[-1]], np.diff(offsets)
 
-def _table(f=None, values=None, lengths=None, keys=None, sums=None) -> pa.RecordBatch:
-    """Rows of words, or of changes."""
-    if keys is None:
-        n, none = len(f), [pa.nulls(len(f), t) for t in (pa.int32(), pa.int32(), pa.int64())]
-        words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values, pa.int32()))
-        cols = [pa.array(f, pa.int64()), words, *none]
-    else:
-        n = len(keys)
-        cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)]
-    return pa.RecordBatch.from_arrays(cols, names=["f", "sy", "a", "b", "n"])
 
+def _pairs_of(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every symbol and its next one, -1 where a word ends; and the word of each."""
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    return np.where(word[:-1] == word[1:], pair_keys(values[:-1], values[1:]), -1), word[:-1]
 
-def applied(words: DataFrame, keys: np.ndarray, made: np.ndarray, listed: np.ndarray) -> DataFrame:
-    """Words (f, sy) after the merges, and rows of how pair counts change: rises, and falls of the pairs in `listed`."""
 
-    def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            f, values, lengths = _words_of(batch)
-            after, left, touched = merged_symbols(values, lengths, keys, made)
-            yield _table(f, after, left)
-            if len(touched):
-                chosen = np.zeros(len(f), bool)
-                chosen[touched] = True
-                for v, n, sign in ((values, lengths, -1), (after, left, 1)):
-                    parts.append(weighted_pairs(v[np.repeat(chosen, n)], n[chosen], sign * f[chosen]))
-                    held += len(parts[-1][0])
-                if held > HELD:
-                    parts = [_summed(parts)]
-                    held = len(parts[0][0])
-        if parts:
-            k, n = _summed(parts)
-            use = n > 0
-            if len(listed):
-                use |= (n < 0) & (listed[np.minimum(np.searchsorted(listed, k), len(listed) - 1)] == k)
-            yield _table(keys=k[use], sums=n[use])
-
-    return words.mapInArrow(run, _TABLE)
+def _among(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted `chosen`."""
+    return chosen[np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)] == keys
 
 
 def ranked_pairs(words: DataFrame, limit: int) -> list[tuple[int, int]]:
     """The most frequent pairs of all words: (key, count)."""
 
     def run(batches):
-        parts = []
+        held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             f, values, lengths = _words_of(batch)
-            parts = [_summed([*parts, weighted_pairs(values, lengths, f)])]
-        if parts:
-            k, n = parts[0]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
+            if len(values) < 2:
+                continue
+            key, word = _pairs_of(values, lengths)
+            real = key >= 0
+            held, back = np.unique(np.concatenate([held, key[real]]), return_inverse=True)
+            new = np.zeros(len(held), np.int64)
+            np.add.at(new, back, np.concatenate([sums, f[word[real]]]))
+            sums = new
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums)], names=["k", "n"])
 
     counts = words.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
     return [tuple(r) for r in counts.orderBy(F.desc("n"), "k").limit(limit).collect()]
 
 
-def meetings(words: DataFrame, keys: np.ndarray, counts: np.ndarray, top: int) -> tuple[set[int], set[tuple[int, int]]]:
-    """(pairs that meet one as frequent, who meets whom among the pairs of count `top`), by keys. `keys` are sorted."""
+def hot_runs(words: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(run, n): the distinct runs of symbols whose neighbours are all hot pairs, and how often they occur."""
 
     def run(batches):
-        beaten, met = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.binary()), pa.array(sums.values(), pa.int64())], names=["run", "n"])
+
+        sums: dict[bytes, int] = defaultdict(int)
         for batch in batches:
-            _, values, lengths = _words_of(batch)
-            if len(values) < 3:
+            f, values, lengths = _words_of(batch)
+            if len(values) < 2:
                 continue
-            _, same = _in_words(lengths)
-            key = pair_keys(values[:-1], values[1:])
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            n = np.where(same & (keys[at] == key), counts[at], 0)
-            both = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0) & (key[:-1] != key[1:]))
-            left, right = n[both], n[both + 1]
-            beaten = np.unique(np.concatenate([beaten, key[both + 1][left >= right], key[both][right >= left]]))
-            ties = both[(left == top) & (right == top)]
-            met = np.unique(np.concatenate([met, np.stack([key[ties], key[ties + 1]], 1)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([beaten, met[:, 0]])), pa.array(np.concatenate([np.full(len(beaten), -1), met[:, 1]]))], names=["k", "other"])
-
-    rows = words.mapInArrow(run, "k bigint, other bigint").distinct().collect()
-    return {k for k, other in rows if other < 0}, {(k, other) for k, other in rows if other >= 0}
-
-
-def without_meetings(pairs: list[int], met: set[tuple[int, int]]) -> list[int]:
-    """Pairs in order, without those that meet an earlier one."""
-    others: dict[int, list[int]] = {}
-    for a, b in met:
-        others.setdefault(a, []).append(b)
-        others.setdefault(b, []).append(a)
-    taken: set[int] = set()
-    for p in pairs:
-        if not any(q in taken for q in others.get(p, ())):
-            taken.add(p)
-    return [p for p in pairs if p in taken]
-
-
-class Ranking:
-    """The head of the ranking: exact counts of all pairs above `floor`. It is cut when it has grown to twice its size."""
-
-    def __init__(self, words: DataFrame, head: int):
-        self.head = size = head
-        while True:
-            rows = ranked_pairs(words, size)
-            self.floor = rows[-1][1] if len(rows) == size else 0
-            self.counts = {k: n for k, n in rows if n > self.floor}
-            if self.counts or not self.floor:
-                break
-            size *= 4  # more pairs tie than were asked for
+            key, word = _pairs_of(values, lengths)
+            edge = np.diff(np.concatenate([[0], _among(key, hot).astype(np.int8), [0]]))
+            for start, stop in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+                sums[values[start : stop + 1].tobytes()] += int(f[word[start]])
+            if len(sums) > HELD:
+                yield table()
+                sums.clear()
+        yield table()
+
+    return words.mapInArrow(run, "run binary, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+
+
+class RunMerger:
+    """Merges over distinct runs, best pair first, as long as one is above `floor`."""
+
+    def __init__(self, runs: list[tuple[list[int], int]], names: list[str], floor: int):
+        self.runs, self.names, self.floor = runs, names, floor
+        self.counts: dict[tuple[int, int], int] = defaultdict(int)
+        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i, (symbols, n) in enumerate(runs):
+            for p in zip(symbols, symbols[1:]):
+                self.counts[p] += n
+                self.where[p].add(i)
+        self.heap = [self._entry(p) for p, n in self.counts.items() if n > floor]
+        heapify(self.heap)
+
+    def _entry(self, p):
+        return -self.counts[p], self.names[p[0]], self.names[p[1]], p
+
+    def best(self) -> tuple[tuple[int, int], int] | None:
+        while self.heap:
+            n, _, _, p = heappop(self.heap)
+            if self.counts[p] == -n:
+                return p, -n
+            if self.counts[p] > self.floor:
+                heappush(self.heap, self._entry(p))
+        return None
+
+    def merge(self, p: tuple[int, int], made: int) -> None:
+        a, b = p
+        changed = set()
+        for i in self.where.pop(p):
+            old, n = self.runs[i]
+            new, k = [], 0
+            while k < len(old):
+                if k + 1 < len(old) and old[k] == a and old[k + 1] == b:
+                    new.append(made)
+                    k += 2
+                else:
+                    new.append(old[k])
+                    k += 1
+            if len(new) == len(old):
+                continue  # an earlier merge took it
+            for q in zip(old, old[1:]):
+                self.counts[q] -= n
+            for q in zip(new, new[1:]):
+                self.counts[q] += n
+                if made in q:
+                    self.where[q].add(i)
+                    changed.add(q)
+            self.runs[i] = (new, n)
+        self.counts.pop(p, None)
+        for q in changed:
+            if self.counts[q] > self.floor:
+                heappush(self.heap, self._entry(q))
+
+
+def merged_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """A word after the merges `ranks` (pair to place and symbol made), lowest place first, from the left."""
+    while True:
+        step = min((ranks[p] for p in zip(symbols, symbols[1:]) if p in ranks), default=None)
+        if step is None:
+            return symbols
+        out, k = [], 0
+        while k < len(symbols):
+            if k + 1 < len(symbols) and ranks.get((symbols[k], symbols[k + 1])) == step:
+                out.append(step[1])
+                k += 2
+            else:
+                out.append(symbols[k])
+                k += 1
+        symbols = out
 
-    def top(self) -> int:
-        return max(self.counts.values(), default=0)
 
-    def change(self, rows) -> None:
-        for k, n in rows:
-            now = self.counts.get(k, 0) + n
-            if now > self.floor:
-                self.counts[k] = now
-            else:
-                self.counts.pop(k, None)
-        if len(self.counts) > 2 * self.head:
-            ordered = sorted(self.counts.values(), reverse=True)
-            if ordered[self.head] < ordered[0]:
-                self.floor = ordered[self.head]
-                self.counts = {k: n for k, n in self.counts.items() if n > self.floor}
+def rewritten(words: DataFrame, ranks: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
+    """Words (f, sy) after the merges. Words without any of their pairs pass as they are."""
+    first = np.array(sorted(a << 32 | b for a, b in ranks), np.int64)
 
+    def run(batches):
+        for batch in batches:
+            f, values, lengths = _words_of(batch)
+            touched = np.zeros(len(f), bool)
+            if len(values) > 1:
+                key, word = _pairs_of(values, lengths)
+                touched[word[_among(key, first)]] = True
+            ends = np.cumsum(lengths)
+            sy = [merged_word(values[e - n : e].tolist(), ranks) if t else values[e - n : e] for t, e, n in zip(touched.tolist(), ends.tolist(), lengths.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(sy, pa.list_(pa.int32()))], names=["f", "sy"])
+
+    return words.mapInArrow(run, "f bigint, sy array<int>")
 
-def learn_merges(words: DataFrame, letters: list[str], join, vocab_size: int | None, rounds: int | None, known: set[str], least: int, head: int = HEAD) -> list[tuple[str, str, str, int]]:
+
+def learn_merges(words: DataFrame, letters: list[str], join, vocab_size: int | None, rounds: int | None, known: set[str], least: int, hot: int = HOT, runs: int = RUNS) -> list[tuple[str, str, str, int]]:
     """Merges (left, right, merged, count) in order, of words (f, sy) over the numbers of `letters`.
 
     Ends with `rounds` merges, or `vocab_size` entries counting those `known`, or where no pair has `least` occurrences.
     """
     spark = words.sparkSession
-    names, merges = list(letters), []  # merges: (count, round at that count, left, right, merged)
+    names, merges, seen = list(letters), [], set(known)
     folder = f"{ensure_checkpoint_dir(spark)}/merges-{uuid.uuid4().hex}"
-    path, number = f"{folder}/0", 0
-    words.repartition(task_count(words)).select("f", "sy", *[F.lit(None).cast(t).alias(c) for c, t in (("a", "int"), ("b", "int"), ("n", "bigint"))]).write.parquet(path)
-    rows = spark.read.schema(_TABLE).parquet(path)
-    current = rows.where("sy IS NOT NULL").select("f", "sy")
-    ranking = Ranking(current, head)
-    level, turn = 0, 0
-
-    def enough(after: int) -> bool:
-        """Whether the merges that none can precede any more suffice. after: the highest count left."""
-        if (rounds is None or len(merges) < rounds) and (vocab_size is None or len(known) + len(merges) < vocab_size):
-            return False
-        sure = [m for m in merges if m[0] > after or m[0] == after == level]
-        return (rounds is not None and len(sure) >= rounds) or (vocab_size is not None and len(known | {m[4] for m in sure}) >= vocab_size)
 
-    while True:
-        top = ranking.top()
-        if top == 0 and ranking.floor:
-            ranking = Ranking(current, head)
-            top = ranking.top()
-        if top < max(least, 1) or enough(top):
+    def stored(df: DataFrame, number: int) -> DataFrame:
+        df.write.parquet(f"{folder}/{number}")
+        return spark.read.schema("f bigint, sy array<int>").parquet(f"{folder}/{number}")
+
+    def done() -> bool:
+        return (rounds is not None and len(merges) >= rounds) or (vocab_size is not None and len(seen) >= vocab_size)
+
+    number = 0
+    current = stored(words.repartition(task_count(words)), 0)
+    while not done():
+        ranked = ranked_pairs(current, hot + 1)
+        floor = ranked[-1][1] if len(ranked) > hot else 0
+        chosen = np.array(sorted(k for k, n in ranked if n > floor), np.int64)
+        if not len(chosen):
+            if not ranked:
+                break
+            hot *= 4  # more pairs share the highest count
+            continue
+        found = hot_runs(current, chosen).limit(2 * runs).collect()
+        if len(found) == 2 * runs and len(chosen) > 1 and ranked[0][1] > ranked[len(chosen) // 4][1]:
+            hot = max(len(chosen) // 4, 1)
+            continue
+        if len(found) == 2 * runs:
+            found = hot_runs(current, chosen).collect()
+        held = RunMerger([(np.frombuffer(r["run"], np.int32).tolist(), r["n"]) for r in found], names, max(floor, least - 1))
+        ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        while not done() and (top := held.best()):
+            (a, b), n = top
+            ranks[a, b] = (len(ranks), len(names))
+            merges.append((names[a], names[b], join(names[a], names[b]), n))
+            names.append(merges[-1][2])
+            seen.add(names[-1])
+            held.merge((a, b), len(names) - 1)
+        if done() or (not floor or floor < least):
             break
-        keys = np.array(sorted(ranking.counts), np.int64)
-        counts = np.array([ranking.counts[k] for k in keys.tolist()], np.int64)
-        beaten, met = meetings(current, keys, counts, top)
-        text = lambda k: (names[k >> 32], names[k & 0xFFFFFFFF], k)
-        level, turn = top, turn + 1 if top == level else 0
-        taken = [(top, turn, k) for k in without_meetings(sorted(keys[counts == top].tolist(), key=text), met)]
-        taken += [(n, 0, k) for n, k in sorted(((n, k) for k, n in ranking.counts.items() if least <= n < top and k not in beaten), key=lambda m: (-m[0], m[1]))]
-        made = {}
-        for n, at, k in taken:
-            a, b, _ = text(k)
-            merges.append((n, at, a, b, join(a, b)))
-            made[k] = len(names)
-            names.append(merges[-1][4])
-        merge_keys = np.array(sorted(made), np.int64)
         number += 1
-        applied(current, merge_keys, np.array([made[k] for k in merge_keys.tolist()], np.int32), keys).write.parquet(f"{folder}/{number}")
-        drop_table(spark, path)
-        path = f"{folder}/{number}"
-        rows = spark.read.schema(_TABLE).parquet(path)
-        current = rows.where("sy IS NOT NULL").select("f", "sy")
-        changes = rows.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).where((F.col("n") > ranking.floor) | (F.col("n") < 0))
-        for k in made:
-            ranking.counts.pop(k)
-        ranking.change((a << 32 | b, n) for a, b, n in changes.collect() if (a << 32 | b) not in made)
+        current = stored(rewritten(current, ranks), number)
+        drop_table(spark, f"{folder}/{number - 1}")
+        hot = max(min(hot * 4, int(hot * runs / max(len(found), 1))), 16)
     drop_table(spark, folder)
-    merges.sort(key=lambda m: (-m[0], *m[1:4]))
-    out, seen = [], set(known)
-    for n, _, a, b, merged in merges:
-        if (rounds is not None and len(out) >= rounds) or (vocab_size is not None and len(seen) >= vocab_size):
-            break
-        out.append((a, b, merged, n))
-        seen.add(merged)
-    return out
+    return merges

@@ -44,7 +44,7 @@ def test_pretokenise_modes(spark):
 
 
 def plain_training(words, merges, prefix=""):
-    """Merges of one count that share no symbol of a word together, in order of their texts. Every merge makes a symbol of its own."""
+    """One merge after the other, ties in order of their texts. Every merge makes a symbol of its own."""
     names, out = [], []
 
     def named(name):
@@ -60,11 +60,8 @@ def plain_training(words, merges, prefix=""):
                 pairs[p] += f
         if not pairs:
             break
-        n, taken = max(pairs.values()), []
-        met = {m for s in split.values() for m in zip(zip(s, s[1:]), zip(s[1:], s[2:]))}
-        for p in sorted((p for p, c in pairs.items() if c == n), key=lambda p: (names[p[0]], names[p[1]], p)):
-            if not any((p, q) in met or (q, p) in met for q in taken):
-                taken.append(p)
+        n = max(pairs.values())
+        taken = [min((p for p, c in pairs.items() if c == n), key=lambda p: (names[p[0]], names[p[1]], p))]
         for a, b in taken:
             made = named(mg.joined_symbol(names[a], names[b], prefix))
             out.append((names[a], names[b], names[made], n))
@@ -86,10 +83,10 @@ def small_words(seed, letters, n):
     return {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))): rng.randrange(1, 30) for _ in range(n)}
 
 
-@pytest.mark.parametrize("words, prefix, head", [
-    (Counter(w for _, t in TEXT for w in re.findall(r"\w+|[^\w\s]+", t)), "", mt.HEAD), (small_words(1, "aab", 30), "", 3), (small_words(2, "abcé\U0001f600", 15), "##", mt.HEAD)])
-def test_training_equals_plain_python(spark, monkeypatch, words, prefix, head):
-    monkeypatch.setattr(mt.learn_merges, "__defaults__", (head,))
+@pytest.mark.parametrize("words, prefix, hot, runs", [
+    (Counter(w for _, t in TEXT for w in re.findall(r"\w+|[^\w\s]+", t)), "", mt.HOT, mt.RUNS), (small_words(1, "aab", 30), "", 3, 5), (small_words(2, "abcé\U0001f600", 15), "##", 8, 1000)])
+def test_training_equals_plain_python(spark, monkeypatch, words, prefix, hot, runs):
+    monkeypatch.setattr(mt.learn_merges, "__defaults__", (hot, runs))
     df = spark.createDataFrame(list(words.items()), "w string, f bigint").repartition(3)
     want, split = plain_training(words, 10_000, prefix)
     got = mg.train_merges(df, rounds=10_000, prefix=prefix)
@@ -109,10 +106,12 @@ def test_training_stops_where_nothing_repeats(spark):
 
 
 def test_merges_apply_from_the_left():
-    values, lengths = np.array([0, 0, 0, 1, 0, 0, 0, 0, 2], np.int32), np.array([4, 0, 5])
-    got, left, touched = mt.merged_symbols(values, lengths, np.array([0, 0 << 32 | 1][:1], np.int64), np.array([9], np.int32))
-    assert got.tolist() == [9, 0, 1, 9, 9, 2] and left.tolist() == [3, 0, 3] and touched.tolist() == [0, 2]
-    assert mt.without_meetings([1, 2, 3, 4], {(2, 1), (3, 2), (4, 3)}) == [1, 3]
+    assert mt.merged_word([0, 0, 0, 1], {(0, 0): (0, 9), (0, 1): (1, 8)}) == [9, 8]
+    held = mt.RunMerger([([0, 0, 0], 2), ([0, 0, 0, 0], 1)], ["a"], 0)
+    assert held.best() == ((0, 0), 7)
+    held.names.append("aa")
+    held.merge((0, 0), 1)
+    assert held.best() == ((1, 0), 2) and held.best() == ((1, 1), 1) and held.best() is None
 
 
 def plain_encode(word, ranks, prefix=""):
