@@ -27,8 +27,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.deduplicate(docs, width=5)
 
 
-#: A passage of over 50 words counts as repeated. Bytes of 51 words of four letters and a bit, with their blanks; and of a trigger.
-PASSAGE, TRIGGER = 240, 40
+#: Bytes of a repeated passage: 51 words of four letters with their blanks, as a passage of over 50 words has. And bytes of a trigger;
+#: shorter ones are met more often by chance, longer ones make more phrases.
+PASSAGE, TRIGGER = 256, 64
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
