@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +11,10 @@ from glossvec.functions.text import word_runs
 from glossvec.functions.vectors import l2_norm
 from glossvec.operators.filters import concat_text, issue_filter, min_words_filter
 from glossvec.operators.pooling import definition_vectors
-from glossvec.operators.recall import cosine_recall, nearest_examples, nearest_in_buckets, l2_recall
+from glossvec.operators.recall import cosine_recall, nearest_examples, l2_recall
 from glossvec.operators.shape import keep_columns
 from glossvec.operators.summaries import describe_column
+from glossvec.operators.vector_index import build_index
 
 
 def definition_recall(
@@ -49,37 +50,30 @@ def semantic_search(
     return found.select("conv_id", "comment", "distance", "rank")
 
 
-def ann_index(
-    vectors: DataFrame, queries: DataFrame | None = None, bucket: float = 0.5, tables: int = 8, k: int = 10, seed: int = 42
-) -> DataFrame:
-    """Approximate nearest vectors by random projections: query_id, hit_id, distance, rank.
+def ann_index(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, probes: int | None = None, **how) -> DataFrame:
+    """Approximate nearest vectors by an inverted-file index: query_id, hit_id, distance, rank.
 
-    The projections come from Spark's own hashing model; candidates share a
-    bucket in at least one table and are scored exactly.
+    Distances are exact. Without `probes` their number is measured on drawn vectors.
     """
-    hasher = BucketedRandomProjectionLSH(
-        inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed
-    )
+    index = build_index(vectors, **how)
     asked = vectors.select(F.col("token_id").alias("query_id"), "v") if queries is None else queries
-    base = vectors.select("token_id", "v", array_to_vector("v").alias("f"))
-    model = hasher.fit(base)
-
-    def routed(df: DataFrame, key: str) -> DataFrame:
-        hashed = model.transform(df.withColumn("f", array_to_vector("v")))
-        each = hashed.select(key, "v", F.posexplode("h").alias("table", "hash"))
-        return each.select(key, "v", F.struct("table", vector_to_array("hash").getItem(0).alias("hash")).alias("bucket"))
-
-    return nearest_in_buckets(routed(asked, "query_id"), routed(vectors.select("token_id", "v"), "token_id"), k)
+    return index.search(asked, k, probes or index.probes_for(vectors, k))
 
 
-def ann_recall(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, **how) -> DataFrame:
-    """Share of the exact k nearest that the index finds: found, wanted, recall."""
+def ann_recall(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, probes: int | None = None, **how) -> DataFrame:
+    """How much of the exact k nearest the index finds, and how much it reads for that: found, wanted, recall, probes, cells, scored, pairs, share."""
     asked = vectors.select(F.col("token_id").alias("query_id"), "v") if queries is None else queries
+    index = build_index(vectors, **how)
+    probes = probes or index.probes_for(vectors, k)
     exact = l2_recall(asked, vectors, k).select("query_id", "hit_id")
-    hits = ann_index(vectors, asked, k=k, **how).select("query_id", "hit_id", F.lit(1).alias("hit"))
+    hits = index.search(asked, k, probes).select("query_id", "hit_id", F.lit(1).alias("hit"))
+    scored, pairs = index.pairs_scored(asked, probes), asked.count() * sum(c["n"] for c in index.cells)
     met = exact.join(hits, ["query_id", "hit_id"], "left")
     counts = met.agg(F.count("hit").alias("found"), F.count("*").alias("wanted"))
-    return counts.withColumn("recall", F.col("found") / F.greatest("wanted", F.lit(1)))
+    return counts.select(
+        "found", "wanted", (F.col("found") / F.greatest("wanted", F.lit(1))).alias("recall"),
+        F.lit(probes).cast("bigint").alias("probes"), F.lit(len(index.cells)).cast("bigint").alias("cells"),
+        F.lit(scored).cast("bigint").alias("scored"), F.lit(pairs).cast("bigint").alias("pairs"), F.lit(scored / max(pairs, 1)).alias("share"))
 
 
 def project_2d(vectors: DataFrame) -> DataFrame:

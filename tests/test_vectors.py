@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from glossvec.operators import pooling as pl
 from glossvec.operators import recall as rc
 from glossvec.operators import reconstruction as rec
 from glossvec.operators import search as se
+from glossvec.operators import vector_index as vi
 
 RNG = np.random.default_rng(3)
 BASE = RNG.normal(size=(60, 6))
@@ -187,8 +190,7 @@ def test_reconstruction(spark):
 
 
 def test_approximate_search_is_a_subset_with_exact_scores(spark, vectors):
-    got = se.ann_index(vectors, bucket=2.0, tables=6, k=5).collect()
-    assert got
+    got = se.ann_index(vectors, cells=6, k=5, probes=3).collect()
     for r in got:
         assert r["distance"] == pytest.approx(((BASE[r["query_id"]] - BASE[r["hit_id"]]) ** 2).sum(), abs=1e-6)
     own = {r["query_id"] for r in got if r["rank"] == 1 and r["distance"] == 0.0}
@@ -197,6 +199,55 @@ def test_approximate_search_is_a_subset_with_exact_scores(spark, vectors):
     assert len({(r["query_id"], r["hit_id"]) for r in got} & exact) / len(exact) > 0.6
 
 
+def clustered(n=1500, groups=30, width=16):
+    rng = np.random.default_rng(5)
+    return rng.normal(size=(groups, width))[np.arange(n) % groups] * 4 + rng.normal(size=(n, width)) * 0.3
+
+
+def vector_rows(spark, v):
+    return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "token_id bigint, v array<double>")
+
+
+def test_index_finds_nine_of_ten_with_a_tenth_of_the_pairs(spark):
+    v = clustered()
+    r = se.ann_recall(vector_rows(spark, v)).first()
+    assert r["wanted"] == 15_000 and r["recall"] >= 0.9 and r["share"] <= 0.1
+    assert r["pairs"] == 1500 * 1500 and r["share"] == pytest.approx(r["scored"] / r["pairs"])
+
+
+def test_index_of_all_cells_is_exact_whatever_the_blocks(spark, vectors, monkeypatch):
+    monkeypatch.setattr(rc, "VOCAB_BLOCK", 7)
+    monkeypatch.setattr(rc, "QUERY_BLOCK", 5)
+    index = vi.build_index(vectors, cells=3)
+    assert index.blocks.count() > 3 and index.blocks.agg(F.sum("n")).first()[0] == 60
+    got = index.search(vectors.withColumnRenamed("token_id", "query_id"), 5, 3)
+    want = sorted(brute(dict(enumerate(BASE)), 5, 0, "l2"), key=lambda r: (r[0], r[1]))
+    assert sorted(tuple(r) for r in got.select("query_id", "hit_id", "distance", "rank").collect()) == want
+    assert index.pairs_scored(vectors.withColumnRenamed("token_id", "query_id"), 3) == 3600
+
+
+def test_search_reads_the_probed_cells_only(spark):
+    v = clustered()
+    index = vi.build_index(vector_rows(spark, v), cells=30)
+    asked = vector_rows(spark, v[:1]).withColumnRenamed("token_id", "query_id")
+    found = index.search(asked, 10, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[(.*?)\], (?:Push|Read)", plan, re.S)
+    assert filters, plan
+    filters = filters.group(1)
+    assert len(index.cells) > 20 and re.search(r"bucket#\d+ IN \(\d+,\d+\)", filters)
+    assert found.first()["hit_id"] == 0 and found.count() == 10
+
+
+def test_index_of_few_equal_or_no_vectors(spark):
+    none = vector_rows(spark, np.zeros((0, 4)))
+    assert se.ann_index(none).collect() == []
+    assert se.ann_recall(none).first()["wanted"] == 0
+    same = vector_rows(spark, np.ones((9, 4))).unionByName(spark.createDataFrame([(9, None)], "token_id bigint, v array<double>"))
+    got = se.ann_index(same, k=3).collect()
+    assert {(r["query_id"], r["hit_id"]) for r in got} == {(q, h) for q in range(9) for h in range(3)}
+
+
 def test_hot_bucket_is_split(spark, vectors, monkeypatch):
     monkeypatch.setattr(rc, "VOCAB_BLOCK", 7)
     monkeypatch.setattr(rc, "QUERY_BLOCK", 5)
