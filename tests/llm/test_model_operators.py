@@ -5,6 +5,7 @@ import zlib
 import data
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossvec.llm import best_fit_packing as bp
 from glossvec.llm import chat_prefixes as cp
@@ -37,6 +38,33 @@ def test_prefixes_read_back(spark):
         assert r["loss_sha256"] == hashlib.sha256("".join(loss).encode()).hexdigest()
 
 
+def test_reading_back_goes_by_the_marks():
+    reader = cp._Reader(1)
+    text = "### user:\na\\l\n\n</turn>\n### assistant:\nb\\hc\n</turn>\n"
+    start = text.index("b\\hc")
+    for i, c in enumerate(text):  # rows may end anywhere
+        reader.feed(c, *((start, 4) if i == start else (None, None)))
+    row = reader.close()
+    assert (row["n_turns"], row["n_examples"], row["loss_chars"], row["expanded_chars"]) == (2, 1, 3, len(text))
+    assert row["turns_sha256"] == hashlib.sha256(b"user\na<\n\nassistant\nb#c\n").hexdigest() and row["loss_sha256"] == hashlib.sha256(b"b#c").hexdigest()
+    forged = cp._Reader(2)
+    forged.feed("### user:\nx\n</turn>\n### user:\ny\n</turn>\n", None, None)
+    assert forged.close()["n_turns"] == 2
+    for broken in ("x", "### user:\nx\n"):
+        with pytest.raises(ValueError):
+            bad = cp._Reader(3)
+            bad.feed(broken, None, None)
+            bad.close()
+
+
+def test_chats_with_clashing_columns_and_none_at_all(spark):
+    turns = spark.createDataFrame(CONVERSATIONS, TURNS)
+    wide = turns.withColumns({c: F.lit("z") for c in ("formatted", "start", "example", "__block", "position")})
+    plain_rows = sorted(map(repr, cp.chat_query(turns).collect()))
+    assert sorted(map(repr, cp.chat_query(wide).collect())) == plain_rows
+    assert [r["conv_id"] for r in cp.chat_query(turns.limit(0)).collect()] == [-7]
+
+
 @pytest.mark.parametrize("block", [2, 1024])
 def test_rendered_examples_are_prefixes_with_one_target(spark, monkeypatch, block):
     monkeypatch.setattr(cp, "BLOCK", block)
@@ -147,6 +175,18 @@ def test_full_normaliser_equals_marking():
     assert [own.encode(t, add_special_tokens=False).ids for t in odd] == encode(odd)
 
 
+def test_decoding_by_pieces_equals_the_library_on_any_ids():
+    model = st.read_model(st.public_model())
+    own, (_, decode) = st.build_tokenizer(model), st._tokenizer(st.public_model())
+    draw, n = random.Random(4), len(model.pieces)
+    bytes_of = [i for i, (_, _, kind) in enumerate(model.pieces) if kind == st.BYTE]
+    space = next(i for i, (p, _, _) in enumerate(model.pieces) if p == st.MARK)
+    lists = [[draw.randrange(n) for _ in range(draw.randrange(12))] for _ in range(500)]
+    lists += [[draw.choice([*bytes_of, draw.randrange(n)]) for _ in range(6)] for _ in range(500)]
+    lists += [[], [space], [space, space, 300], [n + 5, 300], [0, 1, 2]]
+    assert len(bytes_of) == 256 and decode(lists) == [own.decode(ids, skip_special_tokens=False) for ids in lists]
+
+
 def _labelled(spark, n=500):
     rng = random.Random(9)
     rows, labels = [], []
