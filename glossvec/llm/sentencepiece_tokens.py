@@ -142,7 +142,7 @@ _BYTE_PIECE = re.compile("<0x[0-9A-Fa-f]{2}>")
 def piece_decoder(model: Model, otherwise):
     """A function from ids to text by what each piece of the model stands for.
 
-    The library looks a piece up and runs its decoders piece by piece, at twenty
+    The library looks a piece up and runs its decoders piece by piece, at six
     times the cost. Ids that no piece has, and byte pieces that are no UTF-8, go
     to `otherwise`: where the whole is UTF-8, every run of byte pieces in it is.
     """

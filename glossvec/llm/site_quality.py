@@ -135,7 +135,7 @@ def combine_with_sites(scored: DataFrame, host: str, path: str) -> DataFrame:
 def classify_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: Column | None = None, bound: int = LABELLED) -> DataFrame:
     """(doc_id, host, path, evidence, host_posterior, path_posterior, score, predicted, kept), one per row.
 
-    The path defaults to the language within the source. Each text is read once.
+    The path defaults to the language within the source, where null and empty are one path. Each text is read once.
     """
     weights, intercept = fit_quality(docs, labels, "quality", bound)
     slim = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), (F.coalesce(F.col("lang"), F.lit("")) if path is None else path).alias("path"))

@@ -251,3 +251,54 @@ def test_a_small_site_stays_at_the_global_rate(spark):
 def test_pieces_query_holds_every_row_against_the_library(spark):
     got = st.pieces_query(data.documents(spark)).select("parity").collect()
     assert len(got) == len(data.texts()) and all(r["parity"] for r in got)
+
+
+def _sites_by_hand(rows):
+    """(host posterior, path posterior, score) of each (host, path, evidence), by plain sums."""
+
+    def weight(groups):  # (n, s, mean)
+        over = pairs = 0.0
+        for n, s, mean in groups:
+            if n > 1:
+                over += (s - n * mean) ** 2 / max(mean * (1 - mean), 1e-6) - n
+                pairs += n * (n - 1)
+        if not pairs:
+            return site_quality.WEIGHTS[1]
+        between = max(over / pairs, 1e-9)
+        return min(max((1 - between) / between, site_quality.WEIGHTS[0]), site_quality.WEIGHTS[1])
+
+    p = [1 / (1 + np.exp(-e)) for _, _, e in rows]
+    hosts, paths = {}, {}
+    for (h, q, _), x in zip(rows, p):
+        for table, key in ((hosts, h), (paths, (h, q))):
+            n, total = table.get(key, (0, 0.0))
+            table[key] = n + 1, total + x
+    rate = (sum(p) + 1) / (len(rows) + 2)
+    k_host = weight([(n, t, rate) for n, t in hosts.values()])
+    host = {h: (t + k_host * rate) / (n + k_host) for h, (n, t) in hosts.items()}
+    k_path = weight([(n, t, host[h]) for (h, _), (n, t) in paths.items()])
+    out = []
+    for (h, q, e), x in zip(rows, p):
+        n, t = paths[h, q]
+        own = min(max((t - x + k_path * host[h]) / (n - 1 + k_path), 1e-6), 1 - 1e-6)
+        odds = e + site_quality.SITE_SHARE * (np.log(own / (1 - own)) - np.log(rate / (1 - rate)))
+        out.append((host[h], own, 1 / (1 + np.exp(-odds))))
+    return out
+
+
+def test_posteriors_of_many_sparse_paths_by_hand(spark):
+    draw = random.Random(8)
+    rows = []
+    for h in range(40):
+        lean = draw.gauss(0, 2)
+        for q in range(draw.randrange(1, 30)):
+            for _ in range(draw.choice([1, 1, 1, 2, 5])):
+                rows.append((f"h{h}", f"/{q}", lean + draw.gauss(0, 1.5)))
+    rows += [("hot", "/", draw.gauss(1, 1)) for _ in range(600)] + [("hot", "/one", -2.0)]
+    rows += [(None, "/0", 1.0), (None, None, 1.0), ("h0", None, -1.0), ("", "", 0.5), ("h1", "", 0.5)]
+    rows += rows[:5]  # repeated rows count each
+    scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, host string, path string, evidence double").repartition(7)
+    got = {r["doc_id"]: (r["host_posterior"], r["path_posterior"], r["score"]) for r in site_quality.combine_with_sites(scored, "host", "path").collect()}
+    assert len(got) == len(rows)
+    for i, want in enumerate(_sites_by_hand(rows)):
+        assert got[i] == pytest.approx(want, rel=1e-9)
