@@ -130,3 +130,15 @@ def test_samples_come_from_their_group(spark, per_bucket):
 def test_sort_token_ids(spark):
     seq = spark.createDataFrame([(1, [9, 1, 5, 3]), (2, [7]), (3, [])], "doc_id bigint, ids array<bigint>")
     assert rows(rk.sort_token_ids(seq, 2, 3)) == [(1, (1, 3), (3, 5, 9)), (2, (7,), (7,)), (3, (), ())]
+
+
+def test_a_large_lookup_is_copied_for_heavy_keys_only(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HEAVY_ROWS", 50)
+    big = spark.range(300).select(F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 5 > 0, F.col("id") % 11).alias("k"), "id")
+    small = spark.range(3, 90).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    assert [r["k"] for r in joins._heavy_keys(big, ["k"]).collect()] == [7]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(joins.lookup_join(big, small, "k", how, limit=0)) == rows(joins.lookup_join(big, small, "k", how))
+    # Every lookup row that no heavy key needs is shuffled once: as a lookup of itself, its rows are not copied.
+    copies = joins.lookup_join(small.withColumnRenamed("v", "w"), small, "k", limit=0)
+    assert "sequence" not in copies._jdf.queryExecution().optimizedPlan().toString()

@@ -279,3 +279,24 @@ def test_semantic_search(spark, vectors, vocab):
     assert [r["conv_id"] for r in got] == [2, 1] and got[0]["distance"] == 0.0
     shift = se.embedding_shift(vectors, vectors).where("which = 'shift'").first()
     assert shift["count"] == 60 and shift["mean"] == 0.0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_beyond_the_limit_vectors_meet_words_and_queries_in_blocks_not_in_a_join(spark, vectors, vocab):
+    defs = spark.createDataFrame([(i % 40, [f"w{(i * 7 + j * j) % 60}" for j in range(9)]) for i in range(50)] + [(None, ["w3", "w4"])], "token_id bigint, tokens array<string>")
+    got = pl.definition_vectors(defs, vocab, vectors, 2000)
+    words = {}
+    for r in defs.collect():
+        words.setdefault(r["token_id"], []).extend(r["tokens"])
+    ids = {r["word"]: r["token_id"] for r in vocab.collect()}
+    means = {r["token_id"]: r["v"] for r in got.collect()}
+    assert set(means) == {k for k, w in words.items() if any(x in ids for x in w)}
+    for k, v in means.items():
+        assert v == pytest.approx(list(np.mean([BASE[ids[w]] for w in words[k] if w in ids], axis=0)))
+    near = rc.nearest(vectors.withColumnRenamed("token_id", "query_id"), vectors, 3, limit=2000)
+    assert "Join" not in _plan(near) and near.count() == 3 * vectors.count()
+    coded = pl._known_ids(defs, vocab, 1 << 20, "token_id")
+    assert "Join" not in _plan(pl._block_sums(coded, vectors, "token_id")) and "Summarizer" not in _plan(got)
