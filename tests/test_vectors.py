@@ -1,5 +1,7 @@
 import re
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from plain_rows import rows
 from glossvec.plans.lookups import with_token_ids
 from glossvec.operators import pooling as pl
+from glossvec.catalog import numbers  # noqa: F401
+from glossvec.catalog.registry import QUERIES
 from glossvec.operators import recall as rc
 from glossvec.operators import reconstruction as rec
 from glossvec.operators import search as se
@@ -300,3 +304,13 @@ def test_beyond_the_limit_vectors_meet_words_and_queries_in_blocks_not_in_a_join
     assert "Join" not in _plan(near) and near.count() == 3 * vectors.count()
     coded = pl._known_ids(defs, vocab, 1 << 20, "token_id")
     assert "Join" not in _plan(pl._block_sums(coded, vectors, "token_id")) and "Summarizer" not in _plan(got)
+
+
+def test_the_index_is_asked_for_every_twentieth_row(spark):
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("test tables are not here")
+    n = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    asked = {r["query_id"] for r in QUERIES["ann_index"](spark, small).select("query_id").collect()}
+    assert len(asked) == n and all(q % 20 == 0 for q in asked)
+    assert QUERIES["ann_recall"](spark, small).first()["wanted"] == 10 * n
