@@ -12,12 +12,22 @@ from pyspark.sql import types as T
 from glossvec.constants import IGNORED_LABEL, MASK_ID
 from glossvec.functions.hashing import chance, draw, order_key
 from glossvec.plans.lookups import as_list, list_parts
-from glossvec.plans.ordering import global_rank, running_total
+from glossvec.plans.joins import measured_bytes
+from glossvec.plans.ordering import ROWS_PER_BUCKET, global_rank, running_total
+
+# Bytes of text that are ranked in one range.
+RANGE_BYTES = 64 << 20
 
 
 def corpus_batches(documents: DataFrame, size: int = 1000, key: str = "doc_id") -> DataFrame:
-    """Consecutive batches in key order, null keys first: batch_id, key, text."""
-    ranked = global_rank(documents.select(key, "text"), F.col(key), [F.xxhash64("text")], "__at")
+    """Consecutive batches in key order, null keys first: batch_id, key, text.
+
+    Texts are ranked with their keys, so a range holds about RANGE_BYTES of them.
+    """
+    held = documents.select(key, "text")
+    n = held.count()
+    per_range = min(ROWS_PER_BUCKET, max(1, RANGE_BYTES * n // max(1, measured_bytes(held))))
+    ranked = global_rank(held, F.col(key), [F.xxhash64("text")], "__at", per_range)
     return ranked.select(F.floor(F.col("__at") / size).cast("bigint").alias("batch_id"), key, "text")
 
 

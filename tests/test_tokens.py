@@ -299,3 +299,12 @@ def test_tokens_need_no_exchange(spark, monkeypatch):
     assert rows(out) == [(1, 0, "a", 0, 1), (1, 1, ",", 1, 2), (1, 2, "b", 3, 4), (1, 3, "c", 5, 6), (4, 0, "é", 0, 1), (4, 1, "-", 1, 2), (4, 2, "é", 2, 3)]
     back = voc.id_to_token(spark.createDataFrame([(1, [5, 9]), (2, [])], "key bigint, ids array<bigint>"), spark.createDataFrame([("x", 5)], "word string, token_id bigint"))
     assert rows(back) == [(1, ("x", "[UNK]")), (2, ())]
+
+
+def test_corpus_batches_rank_texts_in_ranges_of_bounded_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(None if i == 3 else i * 7 % 101, "x" * (i % 9)) for i in range(90)], "doc_id bigint, text string")
+    want = rows(cp.corpus_batches(df, 20))
+    monkeypatch.setattr(cp, "RANGE_BYTES", 500)
+    found = cp.corpus_batches(df, 20)
+    assert rows(found) == want
+    assert "order-" in " ".join(found.inputFiles())  # dealt into ranges, not ranked by one task
