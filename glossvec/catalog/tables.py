@@ -12,7 +12,7 @@ from glossvec.operators import quality as ql
 from glossvec.operators import shape as shp
 from glossvec.operators import vocabulary as voc
 from glossvec.operators.corpus import shuffle
-from glossvec.operators.summaries import unigram_counts
+from glossvec.operators.summaries import mean_word_losses
 from glossvec.sources.corpora import code_columns
 
 # Norm band of the examples: about the middle half of the norms.
@@ -336,8 +336,7 @@ def _(x):
 
 def document_losses(x):
     """Mean unigram loss of every document: doc_id, lang, loss."""
-    by_doc = unigram_counts(x.documents, "doc_id").groupBy("doc_id")
-    losses = by_doc.agg((F.sum(F.col("n") * F.col("loss")) / F.sum("n")).alias("loss"))
+    losses = mean_word_losses(x.documents)
     return losses.join(x.documents.select("doc_id", "lang"), "doc_id")
 
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossvec.operators.vocabulary import token_rows
+from glossvec.functions.text import word_runs
+from glossvec.operators.vocabulary import token_rows, word_frequencies
 from glossvec.plans.joins import lookup_join
+from glossvec.plans.lookups import as_list, list_parts, row_slices
 from glossvec.plans.ordering import ROWS_PER_BUCKET, exact_quantiles
+from glossvec.session import stored_table
+
+#: Words whose losses travel to the tasks.
+FREQUENT_WORDS = 250_000
+# Words that are looked up at a time.
+WORDS_AT_A_TIME = 1 << 20
 
 
 def describe_column(df: DataFrame, col: str, rows_per_bucket: int | None = None, rows: int | None = None) -> DataFrame:
@@ -102,3 +113,41 @@ def corpus_perplexity(documents: DataFrame, by: str) -> DataFrame:
     mean = F.sum(F.col("n") * F.col("loss")) / F.sum("n")
     return unigram_counts(documents, by).groupBy(by).agg(F.exp(mean).alias("ppl"))
 
+
+
+def mean_word_losses(documents: DataFrame, key: str = "doc_id", frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """Mean over a group's words of their loss -log p over all documents: key, loss.
+
+    The `frequent` most frequent words travel to the tasks, which sum them where
+    the text lies. Only the other words of a document are rows that are shuffled.
+    """
+    words = stored_table(word_frequencies(documents).where("w IS NOT NULL"), "word-counts")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    losses = words.withColumn("loss", -F.log(F.col("n") / F.lit(total)))
+    top = losses.orderBy(F.desc("n"), "w").limit(frequent).select("w", "loss").toArrow()
+    known = top.column("w").combine_chunks().cast(pa.string()), top.column("loss").combine_chunks().to_numpy()
+    shipped = documents.sparkSession.sparkContext.broadcast(known)
+
+    def add(batches):
+        names, loss = shipped.value
+        for batch in batches:
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
+            for lo, hi in row_slices(lengths, WORDS_AT_A_TIME):
+                part = batch.slice(lo, hi - lo)
+                values, n = list_parts(part.column(1))
+                at = pc.index_in(values.cast(pa.string()), value_set=names)
+                held = np.asarray(pc.is_valid(at))
+                owner = np.repeat(np.arange(part.num_rows), n)
+                sums = np.bincount(owner[held], weights=loss[np.asarray(at.drop_null())], minlength=part.num_rows)
+                counts = np.bincount(owner[held], minlength=part.num_rows)
+                others = np.bincount(owner[~held], minlength=part.num_rows)
+                rare = as_list(values.filter(pa.array(~held)).cast(pa.string()), others)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums.astype(float)), pa.array(counts), rare], [key, "s", "n", "rare"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(key, word_runs("text").alias("tokens")).mapInArrow(add, f"`{key}` {kind}, s double, n bigint, rare array<string>")
+    summed = stored_table(rows, "word-losses")
+    counts = summed.select(key, F.explode("rare").alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    rare = lookup_join(counts, losses.select("w", "loss"), "w").select(key, (F.col("loss") * F.col("n")).alias("s"), "n")
+    both = summed.where("n > 0").select(key, "s", "n").unionByName(rare)
+    return both.groupBy(key).agg((F.sum("s") / F.sum("n")).alias("loss"))

@@ -142,3 +142,12 @@ def test_a_large_lookup_is_copied_for_heavy_keys_only(spark, monkeypatch):
     # Every lookup row that no heavy key needs is shuffled once: as a lookup of itself, its rows are not copied.
     copies = joins.lookup_join(small.withColumnRenamed("v", "w"), small, "k", limit=0)
     assert "sequence" not in copies._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 100])
+def test_only_rare_words_of_losses_are_rows(spark, frequent):
+    docs = spark.createDataFrame([(1, "the cat the dog"), (2, "the"), (3, "owl cat"), (4, None), (5, "..."), (2, "dog")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["loss"] for r in sm.mean_word_losses(docs, frequent=frequent).collect()}
+    loss = {w: -math.log(n / 8) for w, n in {"the": 3, "cat": 2, "dog": 2, "owl": 1}.items()}
+    words = {1: ["the", "cat", "the", "dog"], 2: ["the", "dog"], 3: ["owl", "cat"]}
+    assert got == pytest.approx({k: sum(loss[w] for w in ws) / len(ws) for k, ws in words.items()})
