@@ -308,3 +308,20 @@ def test_corpus_batches_rank_texts_in_ranges_of_bounded_bytes(spark, monkeypatch
     found = cp.corpus_batches(df, 20)
     assert rows(found) == want
     assert "order-" in " ".join(found.inputFiles())  # dealt into ranges, not ranked by one task
+
+
+def test_batches_are_coded_in_slices(spark):
+    """A batch of more tokens than are coded at a time gives the rows of many small ones."""
+    from glossvec.plans.lookups import TOKENS_AT_A_TIME, row_slices, with_token_ids
+
+    assert [(lo, hi) for lo, hi in row_slices(np.array([3, 0, 9, 1, 1]), 4)] == [(0, 2), (2, 3), (3, 5)]
+    n = TOKENS_AT_A_TIME // 1000
+    df = spark.range(3 * n, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("a"), (i + F.col("id")) % 7)), " ").alias("text"))
+    found = mg.encode_wordpiece(df, ["a", "##1", "##2"]).select("doc_id", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda t: t == "[UNK]")).alias("u"))
+    want = {i: (sum(2 if (j + i) % 7 in (1, 2) else 1 for j in range(1000)), sum((j + i) % 7 not in (1, 2) for j in range(1000))) for i in range(7)}
+    assert all((r["n"], r["u"]) == want[r["doc_id"] % 7] for r in found.collect()) and found.count() == 3 * n
+    ids = with_token_ids(df, F.split("text", " "), spark.createDataFrame([("a0", 5), ("a3", 6)], "word string, token_id bigint"))
+    assert ids.select(F.sum(F.size("ids")).alias("n"), F.sum(F.size(F.filter("ids", lambda i: i > 4))).alias("k")).first()["n"] == 3000 * n
+    runs = cp._run_index(F.transform(F.split("text", " "), lambda w, i: F.floor(i / 2).cast("bigint")))
+    assert {r["r"] for r in df.select(F.element_at(runs, -1).alias("r")).collect()} == {499}
