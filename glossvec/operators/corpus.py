@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,8 +13,8 @@ from pyspark.sql import types as T
 
 from glossvec.constants import IGNORED_LABEL, MASK_ID
 from glossvec.functions.hashing import chance, draw, order_key
-from glossvec.plans.lookups import as_list, list_parts
 from glossvec.plans.joins import measured_bytes
+from glossvec.plans.lookups import TOKENS_AT_A_TIME, as_list, list_parts, row_slices
 from glossvec.plans.ordering import ROWS_PER_BUCKET, global_rank, running_total
 
 # Bytes of text that are ranked in one range.
@@ -117,19 +119,22 @@ def whole_word_mask(
 def _run_index(word_ids: Column) -> Column:
     """0-based index of the run of equal non-null word ids that every position belongs to."""
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def runs(col: pa.Array) -> pa.Array:
-        values, lengths = list_parts(col)
-        known = np.asarray(pc.is_valid(values))
-        rows = np.repeat(np.arange(len(lengths)), lengths)
-        here, owner = np.asarray(values.drop_null()), rows[known]
-        fresh = np.ones(len(here), dtype=np.int64)
-        if len(here) > 1:
-            fresh[1:] = (here[1:] != here[:-1]) | (owner[1:] != owner[:-1])
-        count = np.cumsum(fresh)
-        first = np.searchsorted(owner, owner, side="left")
-        index = np.full(len(rows), -1, dtype=np.int64)
-        index[known] = count - (count[first] if len(count) else 0)
-        return as_list(pa.array(index), lengths)
+    def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            held = np.asarray(pc.fill_null(pc.list_value_length(batch), 0)).astype(np.int64)
+            for lo, hi in row_slices(held, TOKENS_AT_A_TIME):
+                values, lengths = list_parts(batch.slice(lo, hi - lo))
+                known = np.asarray(pc.is_valid(values))
+                rows = np.repeat(np.arange(len(lengths)), lengths)
+                here, owner = np.asarray(values.drop_null()), rows[known]
+                fresh = np.ones(len(here), dtype=np.int64)
+                if len(here) > 1:
+                    fresh[1:] = (here[1:] != here[:-1]) | (owner[1:] != owner[:-1])
+                count = np.cumsum(fresh)
+                first = np.searchsorted(owner, owner, side="left")
+                index = np.full(len(rows), -1, dtype=np.int64)
+                index[known] = count - (count[first] if len(count) else 0)
+                yield as_list(pa.array(index), lengths)
 
     return runs(word_ids)
 
