@@ -62,3 +62,12 @@ def test_no_global_lookup_outside_the_size_check():
             if f.endswith(".py"):
                 text = open(os.path.join(folder, f), encoding="utf-8").read()
                 assert not re.search(r"localCheckpoint|crossJoin|\.toPandas\(|\.rdd\b", text), f
+
+
+@needs_data
+def test_char_span_shuffles_lists_of_numbers_and_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    got = QUERIES["char_span"](spark, SMALL)
+    assert "collect_list(struct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got.select("sent_id", "pos", "tok")) == sorted(con.execute(ORACLES["char_span"]).fetchall(), key=repr)
