@@ -66,7 +66,7 @@ def _(x):
 
 @query("norm_band_filter", f"SELECT word, token_id, definition, norm FROM lexicon WHERE norm > {LO} AND norm < {HI}")
 def _(x):
-    return flt.norm_band_filter(x.lexicon, LO, HI).drop("entry")
+    return flt.norm_band_filter(x.lexicon_rows, LO, HI).drop("entry")
 
 
 @query("norm_quartile_bands", """
@@ -97,7 +97,7 @@ SELECT word, token_id, definition, norm FROM lexicon l
 WHERE EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(l.definition, '\S+')) AS w) d
               JOIN lexicon b ON b.word = d.w WHERE b.norm > 1.3 AND b.norm < 1.4)""")
 def _(x):
-    return flt.definition_contains_band_word(x.lexicon, 1.3, 1.4, "entry").select("word", "token_id", "definition", "norm")
+    return flt.definition_contains_band_word(x.defined_lexicon, 1.3, 1.4, "entry").select("word", "token_id", "definition", "norm")
 
 
 @query("band_word_positions", f"""
@@ -106,7 +106,7 @@ FROM lexicon l JOIN def_tokens d ON d.token_id = l.entry AND d.pos > 0
 LEFT JOIN (SELECT DISTINCT word FROM lexicon WHERE norm > {LO} AND norm < {HI}) b ON b.word = d.tok
 GROUP BY l.entry, l.word""")
 def _(x):
-    return flt.band_word_positions(x.lexicon, LO, HI, key="entry")
+    return flt.band_word_positions(x.defined_lexicon, LO, HI, key="entry")
 
 
 @query("char_coverage_filter", r"""
@@ -114,7 +114,7 @@ SELECT word, token_id, definition, norm FROM lexicon
 WHERE entry NOT IN (SELECT entry FROM (SELECT entry, unnest(list_distinct(regexp_extract_all(word || definition, '\S'))) AS c FROM lexicon)
                        WHERE c NOT IN (SELECT ch FROM char_vocab))""")
 def _(x):
-    return flt.char_coverage_filter(x.lexicon, x.char_vocab, ["word", "definition"]).drop("entry")
+    return flt.char_coverage_filter(x.lexicon_rows, x.char_vocab, ["word", "definition"]).drop("entry")
 
 
 @query("clean_word_filter", r"""
@@ -217,7 +217,7 @@ def _(x):
 SELECT DISTINCT word FROM lexicon
 WHERE norm > {LO} AND norm < {HI} AND word IN (SELECT d.tok FROM def_tokens d JOIN lexicon l ON l.entry = d.token_id AND d.pos > 0)""")
 def _(x):
-    return flt.definition_band_words(x.lexicon, LO, HI)
+    return flt.definition_band_words(x.defined_lexicon, LO, HI)
 
 
 @query("overlap_counts", """

@@ -10,6 +10,7 @@ from plain_rows import rows
 from glossvec.plans.lookups import with_token_ids
 from glossvec.operators import pooling as pl
 from glossvec.catalog import numbers  # noqa: F401
+from glossvec.catalog.inputs import inputs
 from glossvec.catalog.registry import QUERIES
 from glossvec.operators import recall as rc
 from glossvec.operators import reconstruction as rec
@@ -306,6 +307,25 @@ def test_beyond_the_limit_vectors_meet_words_and_queries_in_blocks_not_in_a_join
     assert "Join" not in _plan(pl._block_sums(coded, vectors, "token_id")) and "Summarizer" not in _plan(got)
 
 
+def test_a_definition_shuffles_each_dimension_once_however_many_blocks(spark, vectors, vocab, monkeypatch):
+    defs = spark.createDataFrame([(i, [f"w{(i * 7 + j * j) % 60}" for j in range(9)]) for i in range(50)], "token_id bigint, tokens array<string>")
+    made, sums = [], pl._block_sums
+    monkeypatch.setattr(pl, "_block_sums", lambda *a: made.append(sums(*a)) or made[-1])
+    got = {r["token_id"]: r["v"] for r in pl.definition_vectors(defs, vocab, vectors, 2000).collect()}
+    assert len(made) > 2 and sum(r["s"] for m in made for r in m.select(F.size("v").alias("s")).collect()) == 6 * 50
+    for r in defs.collect():
+        assert got[r["token_id"]] == pytest.approx(list(np.mean([BASE[int(w[1:])] for w in r["tokens"]], axis=0)))
+
+
+def test_the_stored_lexicon_holds_no_text(spark):
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("test tables are not here")
+    x = inputs(spark, small)
+    assert x.lexicon.columns == ["entry", "word", "token_id", "norm"]
+    assert x.lexicon.exceptAll(x.defined_lexicon.drop("definition")).count() == 0 and x.lexicon.count() == x.defined_lexicon.count()
+
+
 def test_the_index_is_asked_for_every_twentieth_row(spark):
     small = "/root/testdata/sf0.001"
     if not os.path.isdir(small):
