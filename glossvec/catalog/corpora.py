@@ -93,7 +93,7 @@ def _trained(x, name, train):
 
 
 def _bpe(x):
-    return _trained(x, "bpe", lambda: mg.train_bpe(x.documents, rounds=MERGES, least=2))
+    return _trained(x, "bpe", lambda: mg.train_bpe(x.documents, rounds=MERGES, least=2, words=x.words))
 
 
 def _wordpiece(x):
@@ -127,7 +127,7 @@ def _(x):
 
 @query("compare_tokenisations")
 def _(x):
-    words = mg.word_table(x.documents).select("w")
+    words = x.words.select("w")
     merges = _bpe(x).merges
     short, full = mg.encode_words(words, merges[: len(merges) // 2]), mg.encode_words(words, merges)
     return tk.compare_tokenisations(words, short, full)

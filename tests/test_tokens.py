@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import time
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plain_rows import rows
+from glossvec.catalog import corpora  # noqa: F401
+from glossvec.catalog.registry import QUERIES
 from glossvec.operators import vocabulary as voc
 from glossvec.operators import corpus as cp
 from glossvec.operators import merge_training as mt
@@ -325,3 +328,22 @@ def test_batches_are_coded_in_slices(spark):
     assert ids.select(F.sum(F.size("ids")).alias("n"), F.sum(F.size(F.filter("ids", lambda i: i > 4))).alias("k")).first()["n"] == 3000 * n
     runs = cp._run_index(F.transform(F.split("text", " "), lambda w, i: F.floor(i / 2).cast("bigint")))
     assert {r["r"] for r in df.select(F.element_at(runs, -1).alias("r")).collect()} == {499}
+
+
+def test_spaces_are_marked_once_for_a_distinct_word(spark):
+    docs = spark.createDataFrame([("a b b\u0120b b", ), (None,), ("\u0120b  b a",)], "text string")
+    got = mg.word_table(docs, "space")
+    want = {}
+    for r in docs.select(tk.pretokens("text", "space").alias("t")).collect():
+        for w in r["t"] or []:
+            want[w] = want.get(w, 0) + 1
+    assert {r["w"]: r["f"] for r in got.collect()} == want and len(got.collect()) == len(want)
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_comparing_tokenisations_reads_the_documents_once(spark):
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("test tables are not here")
+    plan = QUERIES["compare_tokenisations"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
