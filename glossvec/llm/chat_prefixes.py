@@ -3,10 +3,12 @@ r"""Prefix-target expansion of conversations: every assistant turn is an example
 An example is the formatted conversation up to and including one assistant turn,
 of which only that reply is trainable. The template is stable under prefixes: a
 turn is formatted alone, and a conversation is its turns end to end. All examples
-of a conversation are therefore prefixes of one text, and an example is kept as
-where its context ends and its reply lies, beside the turn that completes it. The
-table grows with the turns, not with their square. `render_examples` writes the
-prefixes out as texts for those who want them.
+of a conversation are therefore prefixes of one text, and `expand_prefixes` says
+where an example's context ends and its reply lies, beside the turn that completes
+it: that table grows with the turns, not with their square. `written_examples`
+writes every prefix out as a text, one after the other where a conversation's turns
+stream by; `render_examples` is the table of them, and `conversation_digests`
+reads each of them back.
 
 A turn is `### role:\n text \n</turn>\n`. Inside role and text a backslash, `<` and
 `#` (in a role also `:`) become a backslash and a letter, so no text can hold
@@ -83,17 +85,61 @@ def expand_prefixes(turns: DataFrame, target: str = TARGET) -> DataFrame:
     )
 
 
+#: Characters of written examples in a batch.
+WRITTEN_AT_A_TIME = 8 << 20
+_PIECES = ("conv_id", "example", "formatted", "target_start", "target_chars")
+
+
+def _in_order(expanded: DataFrame) -> DataFrame:
+    # The id is hashed as it is, so that a null one has a place too.
+    return expanded.select("conv_id", "position", *_PIECES[1:]).repartition("conv_id").sortWithinPartitions("conv_id", "position")
+
+
+def written_examples(batches):
+    """Every example written out, of turns sorted by conversation and position: (conv_id, example, text, target_start, target_chars).
+
+    After the examples of a conversation comes its whole text, which has no target
+    (nulls). One text is held, whatever the number of examples.
+    """
+    conv, text, any_turn = None, "", False
+    for batch in batches:
+        for c, example, formatted, start, chars in zip(*[batch.column(n).to_pylist() for n in _PIECES]):
+            if any_turn and c != conv:
+                yield conv, None, text, None, None
+                text = ""
+            conv, any_turn = c, True
+            text += formatted
+            if example is not None:
+                yield conv, example, text, start, chars
+    if any_turn:
+        yield conv, None, text, None, None
+
+
+def _render(batches):
+    import pyarrow as pa
+
+    schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("target_start", pa.int64()), ("target_chars", pa.int64())])
+    held, size = [], 0
+    for row in written_examples(batches):
+        if row[1] is None:
+            continue
+        held.append(row)
+        size += len(row[2])
+        if size >= WRITTEN_AT_A_TIME:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def render_examples(expanded: DataFrame) -> DataFrame:
     """(conv_id, example, text, target_start, target_chars): every example written out.
 
     The result holds each turn once for every later reply, which is what prefixes
-    written out are; a conversation's examples are built one group each.
+    written out are; a conversation's turns are shuffled once, and its examples are
+    written one after the other.
     """
-    turns = expanded.select(F.col("conv_id").alias("__c"), "position", "formatted")
-    targets = expanded.where("example IS NOT NULL").select("conv_id", "example", "context_turns", "target_start", "target_chars")
-    met = targets.join(turns, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("position") <= F.col("context_turns")))
-    grouped = met.groupBy("conv_id", "example", "target_start", "target_chars").agg(F.array_sort(F.collect_list(F.struct("position", "formatted"))).alias("t"))
-    return grouped.select("conv_id", "example", F.concat_ws("", "t.formatted").alias("text"), "target_start", "target_chars")
+    return _in_order(expanded).mapInArrow(_render, "conv_id bigint, example bigint, text string, target_start bigint, target_chars bigint")
 
 
 def _plain(text: str, table=ESCAPES) -> str:
@@ -104,15 +150,24 @@ def _plain(text: str, table=ESCAPES) -> str:
 
 
 class _Reader:
-    """Reads one conversation's formatted text as it streams by: turns by the marks of the template, replies by the spans of the examples.
+    """Reads one conversation's examples: turns by the marks of the template, replies by the spans of the loss masks.
 
-    Only text behind the last mark read is kept, and examples whose reply is not read yet.
+    `read` takes whole examples, `feed` text as it streams by.
     """
 
     def __init__(self, conv_id):
         self.row = {"conv_id": conv_id, "n_turns": 0, "loss_chars": 0, "formatted_chars": 0, "n_examples": 0, "expanded_chars": 0}
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.rest, self.at, self.spans = "", 0, deque()
+        self.rest, self.at, self.spans, self.known = "", 0, deque(), ""
+
+    def read(self, text: str, start: int | None, chars: int | None) -> None:
+        """An example, or the whole conversation, which begins with every example read before and ends with a turn."""
+        if not text.startswith(self.known):
+            raise ValueError(f"conversation {self.row['conv_id']}: an example does not begin as the one before")
+        self.feed(text[len(self.known) :], start, chars)
+        if self.at != len(text) or self.spans or (start is not None and start + chars + len(TAIL) != len(text)):
+            raise ValueError(f"conversation {self.row['conv_id']}: an example does not end with its reply")
+        self.known = text
 
     def feed(self, formatted: str, start: int | None, chars: int | None) -> None:
         self.rest += formatted
@@ -144,22 +199,21 @@ class _Reader:
 
 
 def _digests(batches):
-    """Digest formatted text sorted by conversation and position; what is kept between batches is one reader."""
+    """Write the examples out and digest what is read in them; what is kept between batches is one reader and the last text."""
     import pyarrow as pa
 
-    reader = None
-    for batch in batches:
-        done = []
-        for conv, *piece in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "formatted", "target_start", "target_chars")]):
-            if reader is None or reader.row["conv_id"] != conv:
-                if reader is not None:
-                    done.append(reader.close())
-                reader = _Reader(conv)
-            reader.feed(*piece)
-        if done:
+    reader, done = None, []
+    for conv, example, text, start, chars in written_examples(batches):
+        reader = reader or _Reader(conv)
+        reader.read(text, start, chars)
+        if example is None:
+            done.append(reader.close())
+            reader = None
+        if len(done) == 1024:
             yield pa.RecordBatch.from_pylist(done, schema=_schema())
-    if reader is not None:
-        yield pa.RecordBatch.from_pylist([reader.close()], schema=_schema())
+            done = []
+    if done:
+        yield pa.RecordBatch.from_pylist(done, schema=_schema())
 
 
 def _schema():
@@ -174,16 +228,14 @@ DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigin
 
 
 def conversation_digests(expanded: DataFrame) -> DataFrame:
-    """What reading the formatted text back gives, one row per conversation.
+    """What reading the written examples back gives, one row per conversation.
 
-    A digest is read in order, so the text of a conversation streams through one
-    task, sorted by Spark; the task keeps the state of the digest and the turn
-    that it reads. Lengths of rows play no part: a text that held a mark of the
-    template would read back as other turns.
+    A digest is read in order, so a conversation streams through one task, sorted
+    by Spark. The task writes one example after the other and reads it: the turns
+    by the marks of the template, the reply by the loss mask. Lengths of rows play
+    no part: a text that held a mark of the template would read back as other turns.
     """
-    # The id is hashed as text, so that a null one has a place too.
-    text = expanded.select("conv_id", "position", "formatted", "target_start", "target_chars")
-    return text.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInArrow(_digests, DIGESTS)
+    return _in_order(expanded).mapInArrow(_digests, DIGESTS)
 
 
 def chat_query(conversations: DataFrame) -> DataFrame:

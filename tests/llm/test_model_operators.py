@@ -4,6 +4,7 @@ import zlib
 
 import data
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,33 @@ def test_reading_back_goes_by_the_marks():
             bad.close()
 
 
+def test_the_digests_are_read_in_written_out_examples(spark, monkeypatch):
+    turns = spark.createDataFrame([(7, t, "assistant" if t % 2 else "user", f"t<{t}>#") for t in range(13)] + [(8, 0, "user", "alone")], TURNS)
+    rows = [r.asDict() for r in cp.expand_prefixes(turns).orderBy("conv_id", "position").collect()]
+    batches = [pa.RecordBatch.from_pylist(rows[:5]), pa.RecordBatch.from_pylist(rows[5:])]
+    written = list(cp.written_examples(batches))
+    assert [(c, e) for c, e, *_ in written] == [(7, 0), (7, 1), (7, 2), (7, 3), (7, 4), (7, 5), (7, None), (8, None)]
+    whole = "".join(r["formatted"] for r in rows if r["conv_id"] == 7)
+    assert all(whole.startswith(t) and t.count(cp.TAIL) == 2 * e + 2 for c, e, t, *_ in written if e is not None) and written[6][2] == whole
+    out = pa.Table.from_batches(cp._digests(batches)).to_pylist()
+    assert [(r["conv_id"], r["n_turns"], r["n_examples"]) for r in out] == [(7, 13, 6), (8, 1, 0)]
+    assert out[0]["expanded_chars"] == sum(len(t) for c, e, t, *_ in written if e is not None)
+    # An example that is not the prefix it should be, or ends elsewhere, does not go unseen.
+    for change in (lambda t: "x" + t[1:], lambda t: t + "### user:\nx\n</turn>\n", lambda t: t[:-1]):
+        forged = [(c, e, change(t) if e == 2 else t, *rest) for c, e, t, *rest in written]
+        with monkeypatch.context() as m, pytest.raises(ValueError):
+            m.setattr(cp, "written_examples", lambda _: iter(forged))
+            list(cp._digests(batches))
+
+
+def test_written_examples_shuffle_the_turns_once_and_pair_none(spark):
+    out = cp.render_examples(cp.expand_prefixes(spark.createDataFrame(CONVERSATIONS, TURNS)))
+    own = cp.expand_prefixes(spark.createDataFrame(CONVERSATIONS, TURNS))
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join") for df in (out, own)]
+    assert joins[0] == joins[1]
+    assert {(r["conv_id"], r["example"]) for r in out.collect()} == {(1, 0), (1, 1), (3, 0), (None, 0), (4, 0), (4, 1)}
+
+
 def test_chats_with_clashing_columns_and_none_at_all(spark):
     turns = spark.createDataFrame(CONVERSATIONS, TURNS)
     wide = turns.withColumns({c: F.lit("z") for c in ("formatted", "start", "example", "__block", "position")})
