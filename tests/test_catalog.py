@@ -71,3 +71,14 @@ def test_char_span_shuffles_lists_of_numbers_and_equals_its_sql(spark):
     got = QUERIES["char_span"](spark, SMALL)
     assert "collect_list(struct" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert rows(got.select("sent_id", "pos", "tok")) == sorted(con.execute(ORACLES["char_span"]).fetchall(), key=repr)
+
+
+@needs_data
+def test_gathered_vectors_are_rounded_before_they_are_attached(spark):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = QUERIES["gather_positions"](spark, SMALL)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan[: plan.index("Join")]
+    assert rows(got.select("doc_id", "pos", "id", "v")) == sorted((plain(r) for r in con.execute(ORACLES["gather_positions"]).fetchall()), key=repr)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,19 @@ def test_token_ids(spark, limit):
     assert rows(got) == [(1, (6, 5, -1)), (2, ()), (3, (5, 5))]
 
 
+def test_a_batch_goes_through_the_vocabulary_once(monkeypatch):
+    from glossvec.plans import lookups
+
+    names, numbers, seen = pa.array(["a", "b", None]), pa.array([5, 6, 7], pa.int64()), []
+    look_up = lookups.pc.index_in
+    monkeypatch.setattr(lookups.pc, "index_in", lambda values, value_set: seen.append(len(values)) or look_up(values, value_set=value_set))
+    values = pa.array(["b", "x", None, "a"] * lookups.TOKENS_AT_A_TIME)
+    assert lookups.numbers_of(values, names, numbers, -1).tolist() == [6, -1, 7, 5] * lookups.TOKENS_AT_A_TIME
+    assert seen == [4]  # not the vocabulary hashed anew for every slice of the batch
+    assert lookups.numbers_of(pa.array([], pa.string()), names, numbers, -1).tolist() == []
+    assert lookups.numbers_of(values[:2], names[:0], numbers[:0], -1).tolist() == [-1, -1]
+
+
 def test_describe_and_histogram(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "norm double")
     r = sm.describe_column(df, "norm").first()

@@ -80,6 +80,18 @@ def test_band_words_in_definitions(lexicon):
     assert rows(flt.definition_band_words(lexicon, 0.9, 1.5)) == [("bird",), ("owl",), ("prey",)]
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_band_word_positions_of_odd_definitions(spark, limit):
+    odd = [(1, "a", " b\tc  a\x0b\n", 1.0), (2, "b", None, 1.0), (3, "c", "", 9.0), (4, "d", " \r\f", 9.0), (5, "e", "b\u00a0b \x1c \u0085 b", 9.0),
+           (None, "f", "x a", 9.0), (None, "f", "b x", 9.0), (6, None, "a", 1.0), (7, "g", "a x b", 9.0), (7, "g", "x x a", 9.0), (7, "h", "b", 9.0)]
+    df = spark.createDataFrame(odd, "token_id bigint, word string, definition string, norm double")
+    got = flt.band_word_positions(df, 0.9, 1.1, limit=limit)
+    want = [(1, "a", (1, 3)), (2, "b", ()), (3, "c", ()), (4, "d", ()), (5, "e", (4,)), (6, None, (1,)), (7, "g", (1, 3, 3)), (7, "h", (1,)), (None, "f", (1, 2))]
+    assert rows(got) == sorted(want, key=repr)
+    assert limit == 0 or "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row of a word
+    assert rows(flt.band_word_positions(df, 5.0, 6.0, limit=limit).where("token_id = 7")) == [(7, "g", ()), (7, "h", ())]
+
+
 def test_character_coverage(spark):
     vocab = spark.createDataFrame([("a",), ("b",), ("好",), ("𝒳",)], "ch string")
     df = spark.createDataFrame(

@@ -115,6 +115,19 @@ def test_patch_and_positions(spark, vectors, vocab):
     assert rows(pl.char_mean_word_vector(lex, chars)) == [("aab", (pytest.approx(5 / 3), pytest.approx(11 / 3)))]
 
 
+@pytest.mark.parametrize("limit", [None, 20_000, 1_000, 0])
+def test_positions_beyond_the_limit_are_found_once(spark, vectors, limit):
+    many = vectors.unionByName(spark.range(100, 400).select(F.col("id").alias("token_id"), F.array(*[F.lit(0.5)] * 6).alias("v")))
+    seq = spark.createDataFrame([(7, [4, 5, -1]), (8, [5, 900, 40]), (8, [6])], "doc_id bigint, ids array<bigint>")
+    at = spark.createDataFrame([(7, [1, 2, 9]), (8, [0, 1, 2]), (9, [0])], "doc_id bigint, positions array<bigint>")
+    got = pl.gather_positions(seq, at, many, limit=limit)
+    assert rows(got.select("doc_id", "pos", "id")) == [(7, 1, 5), (8, 0, 5), (8, 0, 6), (8, 2, 40)]
+    assert all(r["v"] == pytest.approx(list(BASE[r["id"]])) for r in got.collect())
+    assert ("asked-ids" in " ".join(got.inputFiles())) == (limit is not None)
+    filled = pl.gather_positions(seq, at, many, unknown=[9.0] * 6, limit=limit).where("id IN (-1, 900)")
+    assert rows(filled) == [(7, 2, -1, (9.0,) * 6), (8, 1, 900, (9.0,) * 6)]
+
+
 def test_reports(spark, vectors, vocab):
     lexicon = spark.createDataFrame([("w1", "first"), ("w2", "two")], "word string, definition string")
     words = vocab.where("token_id IN (1, 2, 3)")
