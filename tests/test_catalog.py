@@ -74,11 +74,13 @@ def test_char_span_shuffles_lists_of_numbers_and_equals_its_sql(spark):
 
 
 @needs_data
-def test_gathered_vectors_are_rounded_before_they_are_attached(spark):
+@pytest.mark.parametrize("name", ["gather_positions", "gather_vectors", "first_token_pool"])
+def test_gathered_vectors_are_rounded_before_they_are_attached(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-    got = QUERIES["gather_positions"](spark, SMALL)
+    got = QUERIES[name](spark, SMALL)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan[: plan.index("Join")]
-    assert rows(got.select("doc_id", "pos", "id", "v")) == sorted((plain(r) for r in con.execute(ORACLES["gather_positions"]).fetchall()), key=repr)
+    cur = con.execute(ORACLES[name])
+    assert rows(got.select(*[d[0] for d in cur.description])) == sorted((plain(r) for r in cur.fetchall()), key=repr)
